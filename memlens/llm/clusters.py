@@ -95,7 +95,7 @@ def component_labels(pairs: DataFrame) -> DataFrame:
             return state
 
 
-def clusters(df: DataFrame, column: str, least: float = 0.85, recall: float = 0.998, visits: int = 3, max_visits: int = 8, id_col: str = "id") -> DataFrame:
+def clusters(df: DataFrame, column: str, least: float = 0.85, recall: float = 0.998, visits: int = 2, max_visits: int = 8, id_col: str = "id") -> DataFrame:
     """cluster_id, id, density: groups of at least two; cluster_id is the smallest id.
 
     Records belong together if the cosine of their vectors reaches ``least``,

@@ -67,7 +67,7 @@ def leaf_neighbours(pdf: pd.DataFrame, k: int, least: float) -> pd.DataFrame:
 
 
 def nearest(
-    df: DataFrame, columns: dict[str, str], k: int = 5, least: float = 0.85, recall: float = 0.998, min_visits: int = 3, max_visits: int = 8, id_col: str = "id"
+    df: DataFrame, columns: dict[str, str], k: int = 5, least: float = 0.85, recall: float = 0.998, min_visits: int = 2, max_visits: int = 8, id_col: str = "id"
 ) -> DataFrame:
     """field_name, id, neighbour_id: for each vector its ``k`` most similar others of the field.
 

@@ -6,19 +6,37 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from memlens.llm.clusters import clusters
+from memlens.llm.history import History
 from memlens.llm.neighbours import nearest
+from memlens.llm.setjoin import near_duplicates
 from memlens.llm.vectors import FIELDS
 from memlens.runtime import table
 
 
+def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    # all pending batches in one call: the same cases as one by one, with one pass over the runs
+    history = History(table(spark, sf_dir, "memories"))
+    return history.absorb(table(spark, sf_dir, "memory_intake"), ["batch_no", "arrival_no"]).select("arrival_no")
+
+
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nearest(table(spark, sf_dir, "memories"), {f: f"embedding_{f}" for f in FIELDS})
 
 
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(table(spark, sf_dir, "memories"), ["context", "action", "result"])
+
+
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = clusters(table(spark, sf_dir, "memories"), "embedding_context")
     return found.where(F.col("cluster_id") != F.col("id")).select("cluster_id", "id")
 
 
-QUERIES = {"p2_found": p2_found, "p6_found": p6_found}
-ORACLE: dict[str, str] = {}
+QUERIES = {"p1_found": p1_found, "p2_found": p2_found, "p4_found": p4_found, "p6_found": p6_found}
+ORACLE: dict[str, str] = {
+    "p4_found": """WITH w AS (SELECT id, unnest(regexp_extract_all(lower(concat_ws(' ', context, action, result)), '[\\p{L}\\p{Nd}]+')) AS word FROM memories),
+t AS (SELECT id, word, count(*) AS c, sum(count(*)) OVER (PARTITION BY id) AS n FROM w GROUP BY id, word),
+p AS (SELECT a.id AS id_a, b.id AS id_b, sum(least(a.c, b.c)) AS common, any_value(a.n) AS na, any_value(b.n) AS nb
+      FROM t a JOIN t b ON a.word = b.word AND a.id < b.id AND a.n >= 12 AND b.n >= 12 GROUP BY a.id, b.id)
+SELECT id_a, id_b FROM p WHERE common / (na + nb - common) >= 0.75""",
+}

@@ -10,12 +10,14 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from memlens.runtime import cut, small
+
 DIM = 64
 FIELDS = ("context", "action", "result")
 #: Rows of the bounded sample a tree is fitted on.
-SAMPLE_ROWS = 24_000
+SAMPLE_ROWS = 32_000
 #: Rows a leaf is planned for, children of a node, k-means steps.
-LEAF_ROWS, BRANCH, STEPS = 400, 16, 8
+LEAF_ROWS, BRANCH, STEPS = 2000, 64, 8
 #: Copies of one vector from which they are collapsed before the index.
 HOT_COPIES = 32
 
@@ -62,11 +64,12 @@ class Tree:
         """``sample``: unit rows drawn evenly from ``total`` rows."""
         x, rng = np.asarray(sample, np.float32), np.random.default_rng(seed)
         dim = x.shape[1] if x.ndim == 2 and len(x) else DIM
-        centres, kids = [np.zeros(dim, np.float32)], [[]]
+        centres, kids, held = [np.zeros(dim, np.float32)], [[]], [np.arange(len(x))]
         share = total / max(1, len(x))
-        stack = [(0, np.arange(len(x)))]
+        stack = [0]
         while stack:
-            node, rows = stack.pop()
+            node = stack.pop()
+            rows = held[node]
             k = min(BRANCH, math.ceil(len(rows) * share / leaf_rows), len(rows) // 4)
             if k < 2:
                 continue
@@ -78,12 +81,19 @@ class Tree:
                 kids[node].append(len(centres))
                 centres.append(c[j])
                 kids.append([])
-                stack.append((kids[node][-1], rows[at == j]))
+                held.append(rows[at == j])
+                stack.append(kids[node][-1])
         self.centres = np.array(centres)
         self.kids = np.full((len(kids), BRANCH), -1, np.int32)
         for n, own in enumerate(kids):
             self.kids[n, : len(own)] = own
         self.leaf = np.array([not own for own in kids])
+        # what the best leaf below a node gains over the node itself, on the sample: nodes queue by the leaf they promise
+        self.gain = np.zeros(len(kids), np.float32)
+        for n in range(len(kids) - 1, -1, -1):
+            if kids[n]:
+                own = x[held[n]]
+                self.gain[n] = ((own @ self.centres[kids[n]].T + self.gain[kids[n]]).max(1) - own @ self.centres[n]).mean()
 
     def visit(self, x: np.ndarray, leaves: int) -> np.ndarray:
         """The first ``leaves`` leaves a best-bin-first walk reaches, one row per vector; -1 where there are no more."""
@@ -107,7 +117,7 @@ class Tree:
             inner = np.flatnonzero(live & ~self.leaf[node])
             if len(inner):
                 kids = self.kids[node[inner]]
-                score = np.einsum("nd,nkd->nk", x[inner], self.centres[kids])
+                score = np.einsum("nd,nkd->nk", x[inner], self.centres[kids]) + self.gain[kids]
                 more, ids = np.full((n, BRANCH), -np.inf, np.float32), np.zeros((n, BRANCH), np.int32)
                 more[inner], ids[inner] = np.where(kids < 0, -np.inf, score), kids
                 queue, node_of = np.concatenate([queue, more], 1), np.concatenate([node_of, ids], 1)
@@ -178,14 +188,15 @@ def split_hot(long: DataFrame, keep: int) -> tuple[DataFrame, DataFrame | None,
     other copies, both None where no vector is that frequent.
     """
     hashed = long.withColumn("h", F.xxhash64("vec"))
-    hot = hashed.groupBy("field", "h").count().where(F.col("count") > HOT_COPIES).select("field", "h")
+    hot = cut(hashed.groupBy("field", "h").count().where(F.col("count") > HOT_COPIES).select("field", "h"))
     if hot.isEmpty():
         return long, None, None
     rank = Window.partitionBy("field", "h").orderBy("id")
-    same = hashed.join(hot, ["field", "h"], "left_semi").select("field", "h", "id")
-    kept = same.withColumn("rank", F.row_number().over(rank)).where(F.col("rank") <= keep)
-    rest = same.join(kept.select("field", "id"), ["field", "id"], "left_anti")
-    return long.join(rest.select("field", "id"), ["field", "id"], "left_anti"), kept, rest
+    same = hashed.join(small(hot), ["field", "h"], "left_semi")
+    kept = cut(same.select("field", "h", "id").withColumn("rank", F.row_number().over(rank)).where(F.col("rank") <= keep))
+    rest = same.select("field", "h", "id").join(small(kept.select("field", "id")), ["field", "id"], "left_anti")
+    rare = hashed.join(small(hot), ["field", "h"], "left_anti").select("field", "id", "vec")
+    return rare.unionByName(same.join(small(kept.select("field", "id")), ["field", "id"], "left_semi").select("field", "id", "vec")), kept, rest
 
 
 def place(long: DataFrame, trees: list[Tree], visits: list[int]) -> DataFrame:
