@@ -74,7 +74,7 @@ def drop_table(df: DataFrame) -> None:
 def estimated_bytes(df: DataFrame) -> int:
     """Spark's size estimate of a plan; true file size for a cut table."""
     stats = df._jdf.queryExecution().optimizedPlan().stats()
-    return int(str(stats.sizeInBytes().toString()))
+    return int(str(stats.sizeInBytes()))
 
 
 def small(df: DataFrame, limit: int = BROADCAST_BYTES) -> DataFrame:
