@@ -7,8 +7,11 @@ from pyspark.sql import functions as F
 
 from memlens.llm.clusters import clusters
 from memlens.llm.history import History
+from memlens.llm.leaks import leaks
 from memlens.llm.neighbours import nearest
+from memlens.llm.reading import fit, reading_levels
 from memlens.llm.setjoin import near_duplicates
+from memlens.llm.tokens import encode
 from memlens.llm.vectors import FIELDS
 from memlens.runtime import table
 
@@ -32,7 +35,21 @@ def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.where(F.col("cluster_id") != F.col("id")).select("cluster_id", "id")
 
 
-QUERIES = {"p1_found": p1_found, "p2_found": p2_found, "p4_found": p4_found, "p6_found": p6_found}
+def p8_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return encode(table(spark, sf_dir, "documents"))
+
+
+def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items"))
+    return found.select("doc_id", "item_id")
+
+
+def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return reading_levels(docs, fit(docs, table(spark, sf_dir, "reading_labels")))
+
+
+QUERIES = {"p1_found": p1_found, "p2_found": p2_found, "p4_found": p4_found, "p6_found": p6_found, "p8_ids": p8_ids, "p9_found": p9_found, "p10_found": p10_found}
 ORACLE: dict[str, str] = {
     "p4_found": """WITH w AS (SELECT id, unnest(regexp_extract_all(lower(concat_ws(' ', context, action, result)), '[\\p{L}\\p{Nd}]+')) AS word FROM memories),
 t AS (SELECT id, word, count(*) AS c, sum(count(*)) OVER (PARTITION BY id) AS n FROM w GROUP BY id, word),
