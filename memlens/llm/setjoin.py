@@ -2,7 +2,8 @@
 
 A record is the set of its (word, occurrence) tokens. In each of several
 independent trees a node passes a record on to children named by those of its
-tokens that hash under a bar of about one in n; nodes that are small enough are
+tokens that hash under a bar; the bar weighs a token by its information, so
+paths through frequent tokens don't linger. Nodes that are small enough are
 compared exhaustively, larger ones branch again. Pairs that pass a 1-bit minwise
 sketch are verified exactly.
 """
@@ -22,10 +23,12 @@ from memlens.runtime import cut
 
 WORD = regex.compile(r"[\p{L}\p{Nd}]+")
 #: Independent trees; expected children of a record in a node are 1 / CHILDREN_SHARE.
-TREES, CHILDREN_SHARE = 6, 0.6
-#: Largest node compared at once, levels before large nodes are compared in blocks, rows of a block.
-NODE_ROWS, LEVELS, BLOCK_ROWS = 256, 6, 4096
-BITS = 256
+TREES, CHILDREN_SHARE = 6, 0.5
+#: Largest node compared at once, rounds before large nodes are compared in blocks, tokens chosen in a round, rows of a block.
+NODE_ROWS, LEVELS, PATH, BLOCK_ROWS = 256, 4, 4, 4096
+#: Tokens in more than one in HEAVY_SHARE sets are counted exactly, others taken for LIGHT; bits of the map of repeated tokens.
+HEAVY_SHARE, LIGHT, BITMAP = 2000, 16, 1 << 24
+BITS = 128
 _M = (1 << 64) - 1
 
 
@@ -88,13 +91,73 @@ def _flat(sets: pd.Series) -> tuple[np.ndarray, np.ndarray]:
     return (np.concatenate(list(sets)).astype(np.int64).view(np.uint64) if len(sets) else np.zeros(0, np.uint64)), size
 
 
-def _choose(tokens: np.ndarray, size: np.ndarray, node: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Children of sets in nodes: (set number, child)."""
-    row = np.repeat(np.arange(len(size)), size)
-    h = mix(tokens ^ mix(node[row]))
-    bar = (float(2**64) / np.maximum(CHILDREN_SHARE * size, 1.001)).astype(np.uint64)
-    pick = h < bar[row]
-    return row[pick], mix(h[pick] + np.uint64(1)).view(np.int64)
+class Frequencies:
+    """What is known of token frequencies: the heavy tokens' counts and a bitmap of tokens that occur in more than one set.
+
+    Both are bounded at every size: at most HEAVY_SHARE * (mean set size) heavy tokens, and BITMAP bits. A full bitmap
+    only makes some useless choices, it loses nothing.
+    """
+
+    def __init__(self, total: int, heavy: np.ndarray, count: np.ndarray, bitmap: np.ndarray):
+        by = np.argsort(heavy)
+        self.total, self.heavy, self.count, self.bitmap = max(1, total), heavy[by], count[by].astype(float), bitmap
+
+    def of(self, tokens: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Estimated sets with each token, and its weight: its information, 0 if it is in one set only."""
+        df = np.full(len(tokens), float(LIGHT))
+        if len(self.heavy):
+            at = np.minimum(np.searchsorted(self.heavy, tokens), len(self.heavy) - 1)
+            hit = self.heavy[at] == tokens
+            df[hit] = self.count[at[hit]]
+        place = (tokens & np.uint64(BITMAP - 1)).astype(np.int64)
+        repeated = (self.bitmap[place >> 3] >> (place & 7).astype(np.uint8)) & 1
+        return df, np.where(repeated == 1, np.maximum(np.log(self.total / df), 0.05), 0.0)
+
+
+def frequencies(sets: DataFrame) -> Frequencies:
+    count = cut(sets.select(F.explode("tokens").alias("token")).groupBy("token").count().where("count > 1"))
+    total = sets.count()
+    heavy = count.where(F.col("count") > max(NODE_ROWS, total // HEAVY_SHARE)).toPandas()
+    place = F.col("token").bitwiseAND(BITMAP - 1) + 1  # the bitmap functions number positions from 1
+    bits = count.select(place.alias("p")).groupBy(F.bitmap_bucket_number("p").alias("b")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("p")).alias("bits"))
+    bitmap = np.zeros(BITMAP // 8, np.uint8)
+    for b, raw in bits.toPandas().itertuples(index=False):
+        part = np.frombuffer(raw, np.uint8)
+        bitmap[(b - 1) * len(part) : b * len(part)] |= part
+    return Frequencies(total, heavy["token"].to_numpy().astype(np.int64).view(np.uint64), heavy["count"].to_numpy(), bitmap)
+
+
+def grow(tokens: np.ndarray, size: np.ndarray, known: Frequencies, record: np.ndarray, node: np.ndarray, expected: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Branch sets from nodes until the nodes are expected to be small: (record, child) rows.
+
+    A node passes a set on to the children of those tokens not on its path that hash under their share of the
+    set's weight, so that frequent tokens, which split little, are chosen less.
+    """
+    df, weight = known.of(tokens)
+    start = np.cumsum(size) - size
+    used: list[np.ndarray] = []
+    out_record, out_node = [], []
+    for depth in range(PATH):
+        lens = size[record]
+        begin = np.cumsum(lens) - lens
+        branch = np.repeat(np.arange(len(record)), lens)
+        at = np.arange(len(branch)) - begin[branch] + start[record][branch]
+        w, t = weight[at], tokens[at]
+        for u in used:
+            w = np.where(t == u[branch], 0.0, w)
+        whole = np.add.reduceat(w, begin) if len(begin) else np.zeros(0)
+        h = mix(t ^ mix(node[branch]))
+        pick = (h >> np.uint64(11)).astype(np.float64) * 2.0**-53 * CHILDREN_SHARE * whole[branch] < w
+        child, source = mix(h[pick] + np.uint64(1)), branch[pick]
+        size_now = expected[source] * df[at[pick]] / known.total
+        done = (size_now <= NODE_ROWS / 2) | (depth == PATH - 1)
+        out_record.append(record[source[done]])
+        out_node.append(child[done])
+        used = [u[source[~done]] for u in used] + [t[pick][~done]]
+        record, node, expected = record[source[~done]], child[~done], size_now[~done]
+        if not len(record):
+            break
+    return np.concatenate(out_record), np.concatenate(out_node).view(np.int64)
 
 
 def _pairs(node: np.ndarray, cid: np.ndarray, n: np.ndarray, sk: np.ndarray, least: float, differing: int) -> tuple[np.ndarray, np.ndarray]:
@@ -121,6 +184,7 @@ def similar_pairs(sets: DataFrame, least: float) -> DataFrame:
     """(a, b) with a < b of ``sets`` (cid, n, tokens), distinct sets, whose Jaccard similarity reaches ``least``."""
     share = (1 - least) / 2
     differing = int(BITS * share + 3 * (BITS * share * (1 - share)) ** 0.5)
+    shared = sets.sparkSession.sparkContext.broadcast(frequencies(sets))
 
     def roots(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in frames:
@@ -128,9 +192,10 @@ def similar_pairs(sets: DataFrame, least: float) -> DataFrame:
                 continue
             tokens, size = _flat(pdf["tokens"])
             sk = [r.tobytes() for r in sketch(tokens, np.cumsum(size) - size)]
-            for tree in range(TREES):
-                row, child = _choose(tokens, size, np.full(len(pdf), tree + 1, np.uint64))
-                yield pd.DataFrame({"node": child, "cid": pdf["cid"].to_numpy()[row], "n": pdf["n"].to_numpy()[row], "sk": [sk[r] for r in row]})
+            every = np.tile(np.arange(len(pdf)), TREES)
+            tree = np.repeat(np.arange(1, TREES + 1, dtype=np.uint64), len(pdf))
+            row, child = grow(tokens, size, shared.value, every, tree, np.full(len(every), float(shared.value.total)))
+            yield pd.DataFrame({"node": child, "cid": pdf["cid"].to_numpy()[row], "n": pdf["n"].to_numpy()[row], "sk": np.array(sk, object)[row]})
 
     def compare(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         """Pairs (node null) of small nodes; members (b null) of large ones. Rows come sorted by node and n."""
@@ -181,10 +246,9 @@ def similar_pairs(sets: DataFrame, least: float) -> DataFrame:
             if not len(pdf):
                 continue
             times = np.fromiter(map(len, pdf["nodes"]), np.int64, len(pdf))
-            which = np.repeat(np.arange(len(pdf)), times)
-            tokens, size = _flat(pdf["tokens"].iloc[which])
-            row, child = _choose(tokens, size, np.concatenate(list(pdf["nodes"])).astype(np.int64).view(np.uint64))
-            at = which[row]
+            tokens, size = _flat(pdf["tokens"])
+            nodes = np.concatenate(list(pdf["nodes"])).astype(np.int64).view(np.uint64)
+            at, child = grow(tokens, size, shared.value, np.repeat(np.arange(len(pdf)), times), nodes, np.full(len(nodes), 8.0 * NODE_ROWS))
             yield pd.DataFrame({"node": child, "cid": pdf["cid"].to_numpy()[at], "n": pdf["n"].to_numpy()[at], "sk": pdf["sk"].to_numpy()[at]})
 
     row = "node bigint, cid bigint, n int, sk binary"
