@@ -26,11 +26,17 @@ def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     memories = table(spark, sf_dir, "memories").select("id", "parent_id", "superseded_by")
-    parts = [
-        resolve_roots(linked(memories, link)).select(F.lit(link).alias("link_field"), "id", "root_id", "depth")
-        for link in ("parent_id", "superseded_by")
-    ]
-    return parts[0].unionByName(parts[1])
+    # both link fields at once: an edge's ids carry the field's name
+    tagged = None
+    for link in ("parent_id", "superseded_by"):
+        edges = linked(memories, link).select(F.concat(F.lit(f"{link}:"), "id").alias("id"), F.concat(F.lit(f"{link}:"), "parent").alias("parent"))
+        tagged = edges if tagged is None else tagged.unionByName(edges)
+    return resolve_roots(tagged).select(
+        F.substring_index("id", ":", 1).alias("link_field"),
+        F.expr("substr(id, instr(id, ':') + 1)").alias("id"),
+        F.when(F.col("depth") < 0, F.col("root_id")).otherwise(F.expr("substr(root_id, instr(root_id, ':') + 1)")).alias("root_id"),
+        "depth",
+    )
 
 
 QUERIES = {"p3_found": p3_found, "p5_found": p5_found, "p7_found": p7_found}
