@@ -9,6 +9,7 @@ from functools import lru_cache
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 ALNUM = r"[\p{IsAlphabetic}\p{N}]+"
 
@@ -129,7 +130,7 @@ def analyze_text(text: str | None) -> list[str]:
     return [porter(t) for t in re.findall(r"[^\W_]+", fold(text or ""))]
 
 
-@F.pandas_udf("array<string>")
+@F.pandas_udf(T.ArrayType(T.StringType()))
 def stemmed_tokens(text: pd.Series) -> pd.Series:
     """Stemming analyser: fold case and diacritics, split at other characters, Porter stem."""
     return text.map(analyze_text)

@@ -8,6 +8,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 FNV_OFFSET, FNV_PRIME, MASK = 0xCBF29CE484222325, 0x100000001B3, (1 << 64) - 1
 
@@ -21,12 +22,12 @@ def encode(vector) -> bytes:
     return struct.pack(f"<{len(vector)}f", *vector)
 
 
-@F.pandas_udf("array<float>")
+@F.pandas_udf(T.ArrayType(T.FloatType()))
 def blob_to_vector(blob: pd.Series) -> pd.Series:
     return blob.map(decode)
 
 
-@F.pandas_udf("binary")
+@F.pandas_udf(T.BinaryType())
 def vector_to_blob(vector: pd.Series) -> pd.Series:
     return vector.map(lambda v: None if v is None else np.asarray(v, "<f4").tobytes())
 
@@ -48,7 +49,7 @@ def deterministic_embedding(dim: int):
         np.add.at(v, np.arange(len(raw)) % dim, raw)
         return v / np.float32(max(float(np.sqrt((v * v).sum())), 1e-10))
 
-    @F.pandas_udf("array<float>")
+    @F.pandas_udf(T.ArrayType(T.FloatType()))
     def run(text: pd.Series) -> pd.Series:
         return text.map(embed)
 
@@ -62,13 +63,13 @@ def fnv1a(data: bytes) -> int:
     return h
 
 
-@F.pandas_udf("bigint")
+@F.pandas_udf(T.LongType())
 def fnv1a_64(text: pd.Series) -> pd.Series:
     """FNV-1a of the UTF-8 bytes, as the signed integer of the same bits."""
     return text.map(lambda t: None if t is None else int(np.uint64(fnv1a(t.encode())).astype(np.int64)))
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def hash_uniform(h: pd.Series) -> pd.Series:
     """A number in [0, 1) from a 64-bit hash."""
     return h.map(lambda x: None if x is None else (((int(x) & MASK) * 0x9E3779B97F4A7C15 & MASK) >> 11) / float(1 << 53))

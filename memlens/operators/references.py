@@ -13,6 +13,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from memlens.functions.packed import split_packed
 from memlens.functions.timeutil import instant, month_utc
@@ -22,7 +23,7 @@ from memlens.runtime import clean_key, cut
 CONTAINER, RANGE_KEYS = 1 << 16, 1 << 14
 
 
-@F.pandas_udf("binary")
+@F.pandas_udf(T.BinaryType())
 def pack_bits(lows: pd.Series) -> pd.Series:
     """Compressed bitmap of positions under ``CONTAINER``."""
 
@@ -34,7 +35,7 @@ def pack_bits(lows: pd.Series) -> pd.Series:
     return lows.map(pack)
 
 
-@F.pandas_udf("array<int>")
+@F.pandas_udf(T.ArrayType(T.IntegerType()))
 def and_not(have: pd.Series, parents: pd.Series) -> pd.Series:
     """Positions set in ``have`` and not in ``parents`` (null: no parents)."""
 

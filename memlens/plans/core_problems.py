@@ -72,6 +72,12 @@ def _key(column: str) -> str:
     return f"lower(regexp_replace({column}, '^[\\s\\p{{Z}}]+|[\\s\\p{{Z}}]+$', '', 'g'))"
 
 
+def ts_sql(column: str) -> str:
+    """A text time as a UTC timestamp in DuckDB; without an offset it is UTC."""
+    full = f"CASE WHEN regexp_matches({column}, '(Z|[+-]\\d\\d:?\\d\\d)$') THEN {column} ELSE {column} || 'Z' END"
+    return f"make_timestamp(epoch_us(CAST({full} AS TIMESTAMPTZ)))"
+
+
 ORACLE = {
     "p3_found": "\nUNION ALL\n".join(
         (
@@ -87,7 +93,7 @@ ORACLE = {
     UNION ALL SELECT 'memories.superseded_by', superseded_by, created_at FROM memories
     UNION ALL SELECT 'memories.source_ids', s.item, m.created_at FROM ({_SOURCES}) s JOIN memories m ON m.id = s.record_id
     UNION ALL SELECT 'feedback_tracking.memory_id', memory_id, searched_at FROM feedback_tracking)
-SELECT DISTINCT ref_field, {_key('k')} AS missing_id, strftime(CAST(seen AS TIMESTAMP), '%Y-%m') AS ref_month
+SELECT DISTINCT ref_field, {_key('k')} AS missing_id, strftime({ts_sql('seen')}, '%Y-%m') AS ref_month
 FROM refs WHERE {_key('k')} <> '' AND {_key('k')} NOT IN (SELECT {_key('id')} FROM memories)""",
     "p7_found": f"""WITH RECURSIVE n AS (SELECT id, {_key('id')} AS k, {_key('parent_id')} AS p, {_key('superseded_by')} AS s FROM memories),
 e AS (SELECT 'parent_id' AS link_field, a.id, b.id AS up FROM n a JOIN n b ON a.p = b.k
