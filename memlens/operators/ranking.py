@@ -66,7 +66,7 @@ def bm25(memories: DataFrame, tokens: DataFrame, k: int | None, stem: bool = Fal
     total = words.join(scored, "token").groupBy("query_id", "id").agg((-F.sum(F.col("w") * F.col("times"))).alias("rank"))
     if k is None:
         return total
-    return top(total, k, [F.col("rank").asc()])
+    return top(total, k, [F.round("rank", 9).asc()])
 
 
 def top(df: DataFrame, k: int, order: list[Column], by: str = "query_id") -> DataFrame:
@@ -210,6 +210,6 @@ def search(
     else:
         hits = [knn(vectors.where(F.col("field") == f).select("id", "vec"), queries.select("query_id", "vec"), limit) for f in TEXT_COLUMNS]
         near = three_field(hits, limit).select("query_id", "id", "pos")
-    fused = rrf(near, text, k, w_vector, w_text).where(F.col("place") <= limit)
+    fused = rrf(near, text, k, w_vector, w_text).where(F.col("place") <= limit).withColumnRenamed("score", "rrf")
     shown = memories.where("superseded_by is null").where(has_tags(F.col("tags"), tags or []))
-    return small(fused).join(shown, "id").select("query_id", "place", "id", fused["score"].alias("rrf"), shown["score"], "context", "action", "result", "memory_type", "tags")
+    return small(fused).join(shown, "id").select("query_id", "place", "id", "rrf", "score", "context", "action", "result", "memory_type", "tags")
