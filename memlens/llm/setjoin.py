@@ -23,7 +23,7 @@ from memlens.runtime import cut
 
 WORD = regex.compile(r"[\p{L}\p{Nd}]+")
 #: Independent trees; expected children of a record in a node are 1 / CHILDREN_SHARE.
-TREES, CHILDREN_SHARE = 6, 0.5
+TREES, CHILDREN_SHARE = 6, 0.65
 #: Largest node compared at once, rounds before large nodes are compared in blocks, tokens chosen in a round, rows of a block.
 NODE_ROWS, LEVELS, PATH, BLOCK_ROWS = 256, 4, 4, 4096
 #: Tokens in more than one in HEAVY_SHARE sets are counted exactly, others taken for LIGHT; bits of the map of repeated tokens.
