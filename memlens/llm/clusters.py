@@ -11,7 +11,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from memlens.llm.vectors import distinct_rows, exact_cosine, fit_trees, matrix, place, row_chunks, split_hot, unpivot
@@ -87,10 +87,10 @@ def component_labels(pairs: DataFrame) -> DataFrame:
         new = cut(
             spread.join(hop, "label", "left").select("node", F.least("label", F.coalesce("next", "label")).alias("label"))
         )
-        changed = new.join(state.withColumnRenamed("label", "old"), "node").where("label <> old").isEmpty()
+        settled = new.join(state.withColumnRenamed("label", "old"), "node").where("label <> old").isEmpty()
         drop_table(state)
         state = new
-        if changed:
+        if settled:
             drop_table(links)
             return state
 
@@ -126,8 +126,6 @@ def clusters(df: DataFrame, column: str, least: float = 0.85, recall: float = 0.
 
 def describe(found: DataFrame, typical: int = 3) -> DataFrame:
     """cluster_id, size, typical: ids of the densest members (ties to the smaller id)."""
-    from pyspark.sql import Window
-
     rank = Window.partitionBy("cluster_id").orderBy(F.desc("density"), "id")
     top = found.withColumn("r", F.row_number().over(rank)).where(F.col("r") <= typical)
     best = top.groupBy("cluster_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("r", "id"))), lambda s: s["id"]).alias("typical"))

@@ -56,35 +56,47 @@ def running(code: np.ndarray, length: int) -> np.ndarray:
     return h
 
 
-def tile(doc: np.ndarray, item: np.ndarray, seeds: list[tuple[int, int]], shortest: int) -> list[tuple[int, int, int]]:
-    """Greedy tiles (start in doc, start in item, length), longest first, from seed positions (doc, item)."""
+def seeds_of(doc: np.ndarray, sorted_: np.ndarray, at_of: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(doc position, number in ``at_of``) of all equal hashes; ``sorted_`` holds the items' hashes ascending."""
+    lo, hi = np.searchsorted(sorted_, doc), np.searchsorted(sorted_, doc, side="right")
+    times = hi - lo
+    d = np.repeat(np.arange(len(doc)), times)
+    within = np.arange(len(d)) - np.repeat(np.cumsum(times) - times, times)
+    return d, at_of[np.repeat(lo, times) + within]
+
+
+def tile(doc: np.ndarray, item: np.ndarray, at: tuple[np.ndarray, np.ndarray], shortest: int) -> list[tuple[int, int, int]]:
+    """Greedy tiles (start in doc, start in item, length), longest first, ties to the earliest.
+
+    ``at`` are the seeds' positions. Seeds that follow one another on a diagonal, their words unmarked, are a match; each round
+    marks the longest one. An item's words are marked once, so there are at most as many rounds as tiles fit into it.
+    """
+    d, i = at
+    true = np.ones(len(d), bool)
+    for j in range(shortest):  # no trust in the hash alone
+        true &= doc[d + j] == item[i + j]
+    d, i = d[true], i[true]
+    by = np.lexsort((d, d - i))
+    d, i = d[by], i[by]
     free_d, free_i = np.ones(len(doc), bool), np.ones(len(item), bool)
     tiles = []
-    while True:
-        best = (0, 0, 0)
-        seen: set[tuple[int, int]] = set()
-        for d, i in seeds:
-            if (d, i) in seen or not (free_d[d : d + shortest].all() and free_i[i : i + shortest].all()):
-                continue
-            lo = 0
-            while d - lo > 0 and i - lo > 0 and free_d[d - lo - 1] and free_i[i - lo - 1] and doc[d - lo - 1] == item[i - lo - 1]:
-                lo += 1
-            a, b, n = d - lo, i - lo, shortest + lo
-            while a + n < len(doc) and b + n < len(item) and free_d[a + n] and free_i[b + n] and doc[a + n] == item[b + n]:
-                n += 1
-            if not (doc[a : a + n] == item[b : b + n]).all():
-                continue
-            seen.update((a + s, b + s) for s in range(n - shortest + 1))
-            if n > best[2]:
-                best = (a, b, n)
-        if best[2] < shortest:
-            return tiles
-        tiles.append(best)
-        free_d[best[0] : best[0] + best[2]] = False
-        free_i[best[1] : best[1] + best[2]] = False
-
-
-def _tiled(doc: np.ndarray, item: np.ndarray, at: list[tuple[int, int]], shortest: int) -> tuple[int, float]:
+    while len(d):
+        runs_d, runs_i = np.concatenate([[0], np.cumsum(free_d)]), np.concatenate([[0], np.cumsum(free_i)])
+        open_ = (runs_d[d + shortest] - runs_d[d] == shortest) & (runs_i[i + shortest] - runs_i[i] == shortest)
+        d, i = d[open_], i[open_]
+        if not len(d):
+            break
+        first = np.concatenate([[0], np.flatnonzero((np.diff(d) != 1) | (np.diff(i) != 1)) + 1])
+        length = np.diff(np.concatenate([first, [len(d)]])) + shortest - 1
+        best = np.lexsort((i[first], d[first], -length))[0]
+        a, b, n = int(d[first[best]]), int(i[first[best]]), int(length[best])
+        tiles.append((a, b, n))
+        free_d[a : a + n] = False
+        free_i[b : b + n] = False
+    return tiles
+
+
+def _tiled(doc: np.ndarray, item: np.ndarray, at: tuple[np.ndarray, np.ndarray], shortest: int) -> tuple[int, float]:
     tiles = tile(doc, item, at, shortest)
     return max((t[2] for t in tiles), default=0), sum(t[2] for t in tiles) / max(1, len(item))
 
@@ -103,18 +115,15 @@ def _by_block(docs: DataFrame, key: str, text: str, items: list[tuple[str, np.nd
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         sorted_, item_of, at_of, parts = shared.value
         cache: dict[str, int] = {}
+        places = np.arange(len(sorted_))
         for pdf in frames:
             out = []
             for doc_id, t in zip(pdf["_key"], pdf["_text"]):
                 code = codes(words(t), cache)
-                h = running(code, shortest)
-                lo, hi = np.searchsorted(sorted_, h), np.searchsorted(sorted_, h, side="right")
-                hits: dict[int, list[tuple[int, int]]] = {}
-                for d in np.flatnonzero(hi > lo):
-                    for s in range(lo[d], hi[d]):
-                        hits.setdefault(int(item_of[s]), []).append((int(d), int(at_of[s])))
-                for i, at in hits.items():
-                    longest, coverage = _tiled(code, parts[i][1], at, shortest)
+                d, at = seeds_of(running(code, shortest), sorted_, places)
+                for i in np.unique(item_of[at]):
+                    own = item_of[at] == i
+                    longest, coverage = _tiled(code, parts[i][1], (d[own], at_of[at[own]]), shortest)
                     if longest:
                         out.append((doc_id, parts[i][0], longest, coverage))
             yield pd.DataFrame(out, columns=["_key", "item_id", "longest", "coverage"])
@@ -132,7 +141,8 @@ def _by_join(docs: DataFrame, key: str, text: str, items: DataFrame, shortest: i
         for pdf in frames:
             for k, t in zip(pdf["_key"], pdf["_text"]):
                 h = np.unique(running(codes(words(t), cache), shortest)).view(np.int64)
-                yield pd.DataFrame({"_key": [k] * len(h), "h": h})
+                if len(h):
+                    yield pd.DataFrame({"_key": [k] * len(h), "h": h})
 
     d = docs.select(F.col(key).alias("_key"), F.col(text).alias("_text"))
     i = items.select(F.col("item_id").alias("_key"), F.col("passage").alias("_text"))
@@ -146,11 +156,9 @@ def _by_join(docs: DataFrame, key: str, text: str, items: DataFrame, shortest: i
             out = []
             for k, item_id, t, p in zip(pdf["_key"], pdf["item_id"], pdf["_text"], pdf["_passage"]):
                 a, b = codes(words(t), cache), codes(words(p), cache)
-                hb: dict[int, list[int]] = {}
-                for j, v in enumerate(running(b, shortest).tolist()):
-                    hb.setdefault(v, []).append(j)
-                at = [(x, y) for x, v in enumerate(running(a, shortest).tolist()) for y in hb.get(v, ())]
-                longest, coverage = _tiled(a, b, at, shortest)
+                h = running(b, shortest)
+                by = np.argsort(h, kind="stable")
+                longest, coverage = _tiled(a, b, seeds_of(running(a, shortest), h[by], by), shortest)
                 if longest:
                     out.append((k, item_id, longest, coverage))
             yield pd.DataFrame(out, columns=["_key", "item_id", "longest", "coverage"])
