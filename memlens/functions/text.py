@@ -195,7 +195,7 @@ def merge_verdict(reply: Column) -> Column:
 def reply_score(reply: Column) -> Column:
     """Score of a JSON reply {score, reason}, clamped to [0, 1]; null if unreadable."""
     score = F.from_json(reply, "score double, reason string", {"mode": "PERMISSIVE"})["score"]
-    return F.greatest(F.least(score, F.lit(1.0)), F.lit(0.0))
+    return F.when(score.isNotNull(), F.greatest(F.least(score, F.lit(1.0)), F.lit(0.0)))
 
 
 def audit_ids(raw: Column) -> Column:
