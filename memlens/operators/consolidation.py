@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -10,7 +9,7 @@ from memlens.functions.text import probe_text
 from memlens.functions.timeutil import days_between, instant
 from memlens.operators.ranking import bm25, query_tokens
 from memlens.operators.store import set_fields
-from memlens.runtime import clean_key, cut
+from memlens.runtime import clean_key, cut, drop_table
 
 PROBE_HITS = 5
 # Confidences of the recommendations.
@@ -53,35 +52,41 @@ def text_probes(memories: DataFrame, k: int = PROBE_HITS, stem: bool = False) ->
 def text_groups(memories: DataFrame, probes: DataFrame, floor: float = 0.0) -> DataFrame:
     """(primary_id, id, similarity): groups taken greedily in order of creation from probe hits.
 
-    A row joins the first group that meets it; rows of exact groups are taken already. Order decides, so the pass over
-    the at most PROBE_HITS links a row is sequential within a connected component of the links, and
-    components run in parallel. Similarity is the mean of the absolute ranks of the group.
+    A row joins the first group that meets it; rows of exact groups are taken already. Similarity is the mean of the
+    absolute ranks of the group; groups under ``floor`` are not made and take nothing. The order is kept without
+    running through it: in each round every open probe that no earlier open probe shares a row with is decided, so
+    the rows it meets are settled, and the result is that of the sequential pass. Rounds are as many as the longest run of
+    probes that wait for one another.
     """
-    taken = exact_members(memories).select("id").distinct()
-    rows = candidates(memories).select("id", "created_at").join(taken.withColumn("taken", F.lit(True)), "id", "left")
-    links = cut(probes.select(F.col("probe_id").alias("a"), F.col("id").alias("b"), "rank", "pos"))
-    comp = components(links.select("a", "b"))
-    facts = rows.join(comp, "id").select("component", F.col("id").alias("a"), "created_at", F.coalesce("taken", F.lit(False)).alias("taken"))
-    joined = facts.join(links, "a", "left").select("component", "a", "created_at", "taken", "b", "rank", "pos")
-
-    def greedy(pdf: pd.DataFrame) -> pd.DataFrame:
-        used = set(pdf.loc[pdf["taken"], "a"])
-        out = []
-        for (_, a), own in pdf.sort_values(["created_at", "a", "pos"]).groupby(["created_at", "a"], sort=True):
-            if a in used:
-                continue
-            free = [(b, abs(r)) for b, r in zip(own["b"], own["rank"]) if b is not None and b == b and b not in used]
-            if not free:
-                continue
-            similarity = sum(r for _, r in free) / len(free)
-            if similarity < floor:
-                continue
-            used.add(a)
-            used.update(b for b, _ in free)
-            out += [(a, a, similarity)] + [(a, b, similarity) for b, _ in free]
-        return pd.DataFrame(out, columns=["primary_id", "id", "similarity"])
-
-    return joined.groupBy("component").applyInPandas(greedy, "primary_id string, id string, similarity double")
+    taken = cut(exact_members(memories).select("id").distinct())
+    order = F.struct("created_at", F.col("id").alias("probe"))
+    rows = candidates(memories).select("id", "created_at")
+    links = rows.select(F.col("id").alias("probe_id"), order.alias("at")).join(probes.select("probe_id", "id", F.abs("rank").alias("rank")), "probe_id")
+    open_ = cut(links.join(taken.withColumnRenamed("id", "probe_id"), "probe_id", "left_anti").join(taken, "id", "left_anti"))
+    made: list[DataFrame] = []
+    while not open_.isEmpty():
+        # a probe meets itself and its free hits
+        meets = open_.select("at", "id").unionByName(open_.select("at", F.col("probe_id").alias("id"))).distinct()
+        first = meets.groupBy("id").agg(F.min("at").alias("first"))
+        waits = meets.join(first, "id").groupBy("at").agg(F.bool_and(F.col("at") == F.col("first")).alias("ready"))
+        ready = cut(open_.join(waits.where("ready").select("at"), "at", "left_semi").groupBy("at", "probe_id").agg(F.avg("rank").alias("similarity")))
+        good = ready.where(F.col("similarity") >= floor)
+        group = cut(
+            open_.join(good.select("at", "similarity"), "at").select(F.col("probe_id").alias("primary_id"), "id", "similarity").unionByName(
+                good.select(F.col("probe_id").alias("primary_id"), F.col("probe_id").alias("id"), "similarity")
+            )
+        )
+        made.append(group)
+        used = group.select("id").distinct()
+        rest = open_.join(ready.select("at"), "at", "left_anti")
+        before, open_ = open_, cut(rest.join(used, "id", "left_anti").join(used.withColumnRenamed("id", "probe_id"), "probe_id", "left_anti"))
+        drop_table(before)
+    if not made:
+        return rows.select(F.col("id").alias("primary_id"), "id", F.lit(0.0).alias("similarity")).limit(0)
+    out = made[0]
+    for more in made[1:]:
+        out = out.unionByName(more)
+    return out
 
 
 def components(links: DataFrame) -> DataFrame:

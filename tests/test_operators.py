@@ -264,6 +264,26 @@ def test_text_groups_are_greedy(spark):
     assert con.text_groups(m, probes, floor=1e6).count() == 0
 
 
+def test_text_groups_equal_the_sequential_pass(spark):
+    import random
+
+    rng = random.Random(8)
+    ids = [f"r{i:03d}" for i in range(80)]
+    when = {i: f"2024-01-{rng.randint(1, 20):02d}T00:00:00Z" for i in ids}
+    m = memories(spark, *[dict(id=i, context=i, created_at=when[i]) for i in ids])
+    found = [(p, h, -rng.random() * 9) for p in ids for h in rng.sample(ids, 4) if h != p]
+    probes = spark.createDataFrame(found, "probe_id string, id string, rank double")
+    for floor in (0.0, 4.5):
+        used, want = set(), set()
+        for p in sorted(ids, key=lambda i: (when[i], i)):
+            free = [(h, -r) for q, h, r in found if q == p and h not in used]
+            if p in used or not free or sum(r for _, r in free) / len(free) < floor:
+                continue
+            used |= {p, *(h for h, _ in free)}
+            want |= {(p, p), *((p, h) for h, _ in free)}
+        assert {(r.primary_id, r.id) for r in con.text_groups(m, probes, floor).collect()} == want
+
+
 def test_components_of_a_long_chain(spark):
     links = spark.createDataFrame([(f"n{i:03d}", f"n{i + 1:03d}") for i in range(120)] + [("x", "y")], "a string, b string")
     got = con.components(links).groupBy("component").count()
