@@ -18,6 +18,8 @@ FIELDS = ("context", "action", "result")
 SAMPLE_ROWS = 32_000
 #: Rows a leaf is planned for, children of a node, k-means steps.
 LEAF_ROWS, BRANCH, STEPS = 2000, 64, 8
+#: Every so many rows of the sample are kept from the fit, to calibrate visits with.
+HELD_OUT = 8
 #: Copies of one vector from which they are collapsed before the index.
 HOT_COPIES = 32
 
@@ -125,13 +127,14 @@ class Tree:
     def calibrate(self, sample: np.ndarray, threshold: float, recall: float, least: int, most: int, seed: int = 11) -> int:
         """Fewest visits on both sides at which pairs of at least ``threshold`` share a leaf with rate ``recall``.
 
-        Real pairs of the sample are used; where it has under 200, pairs made
-        halfway between the threshold and 1 stand in for them.
+        Pairs of the sample with one of its rows that the tree was not fitted on (see :func:`fit_trees`) are used; where
+        there are under 200, pairs made halfway between the threshold and 1 stand in for them.
         """
         x, rng = np.asarray(sample, np.float32), np.random.default_rng(seed)
-        if len(x) < 2:
+        if len(x) < 2 * HELD_OUT:
             return least
-        q = rng.choice(len(x), min(len(x), 2000), replace=False)
+        held = np.arange(0, len(x), HELD_OUT)
+        q = rng.choice(held, min(len(held), 4000), replace=False)
         left, right = [], []
         for i in range(0, len(q), 256):
             s = x[q[i : i + 256]] @ x.T
@@ -170,7 +173,8 @@ def fit_trees(df: DataFrame, columns: list[str], leaf_rows: int = LEAF_ROWS, id_
     for c in columns:
         ok = usable(pdf[c])
         x = matrix(pdf[c][ok]) if ok.any() else np.zeros((0, DIM))
-        out[c] = (Tree(x, int(total * ok.mean()) if len(ok) else 0, leaf_rows), x)
+        fit = np.arange(len(x)) % HELD_OUT != 0 if len(x) >= 2 * HELD_OUT else slice(None)
+        out[c] = (Tree(x[fit], int(total * ok.mean()) if len(ok) else 0, leaf_rows), x)
     return out
 
 
