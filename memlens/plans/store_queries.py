@@ -366,12 +366,25 @@ def ranker_accuracy(s, d):
     return mining.accuracy(model.transform(rows))
 
 
-@query("chain_insights")
+_ID = "sha256(concat_ws('|', insight_type, context, action, result, source_ids))"
+
+
+@query("chain_insights", f"""WITH RECURSIVE t AS ({_TRAIN}),
+f AS (SELECT parent_id, arg_min(id, created_at || ' ' || id) AS next FROM t WHERE parent_id IS NOT NULL GROUP BY 1),
+w AS (SELECT t.id AS root_id, 0 AS place, t.id FROM t JOIN f ON f.parent_id = t.id WHERE t.parent_id IS NULL
+      UNION ALL SELECT w.root_id, w.place + 1, f.next FROM w JOIN f ON f.parent_id = w.id),
+c AS (SELECT root_id, list(id ORDER BY place) AS ids FROM w GROUP BY 1),
+i AS (SELECT 'Causal chain of ' || len(ids) || ' memories' AS context, 'Root type: ' || memory_type AS action, 'Chain: ' || array_to_string(ids, ' -> ') AS result, 'causal' AS insight_type,
+      array_to_string(ids, ',') AS source_ids, NULL AS tags FROM c JOIN memories m ON m.id = c.root_id)
+SELECT {_ID} AS id, * FROM i""")
 def chain_insights(s, d):
     m = _m(s, d)
     return mining.chain_insights(mining.explicit_chains(m), m)
 
 
-@query("temporal_insights")
+@query("temporal_insights", f"""WITH r AS ({ORACLE['temporal_recurrence']}),
+i AS (SELECT 'Recurring ' || memory_type || ' pattern detected' AS context, occurrences || ' occurrences with ~' || printf('%.1f', interval_hours) || 'h interval' AS action,
+      'Temporal pattern in ' || memory_type || ' memories' AS result, 'temporal' AS insight_type, '' AS source_ids, NULL AS tags FROM r)
+SELECT {_ID} AS id, * FROM i""")
 def temporal_insights(s, d):
     return mining.temporal_insights(mining.recurrence(_m(s, d)))
