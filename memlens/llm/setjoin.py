@@ -127,7 +127,7 @@ def frequencies(sets: DataFrame) -> Frequencies:
     return Frequencies(total, heavy["token"].to_numpy().astype(np.int64).view(np.uint64), heavy["count"].to_numpy(), bitmap)
 
 
-def grow(tokens: np.ndarray, size: np.ndarray, known: Frequencies, record: np.ndarray, node: np.ndarray, expected: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def grow(tokens: np.ndarray, size: np.ndarray, known: Frequencies, record: np.ndarray, node: np.ndarray, expected: np.ndarray, share: float) -> tuple[np.ndarray, np.ndarray]:
     """Branch sets from nodes until the nodes are expected to be small: (record, child) rows.
 
     A node passes a set on to the children of those tokens not on its path that hash under their share of the
@@ -147,7 +147,7 @@ def grow(tokens: np.ndarray, size: np.ndarray, known: Frequencies, record: np.nd
             w = np.where(t == u[branch], 0.0, w)
         whole = np.add.reduceat(w, begin) if len(begin) else np.zeros(0)
         h = mix(t ^ mix(node[branch]))
-        pick = (h >> np.uint64(11)).astype(np.float64) * 2.0**-53 * CHILDREN_SHARE * whole[branch] < w
+        pick = (h >> np.uint64(11)).astype(np.float64) * 2.0**-53 * share * whole[branch] < w
         child, source = mix(h[pick] + np.uint64(1)), branch[pick]
         size_now = expected[source] * df[at[pick]] / known.total
         done = (size_now <= NODE_ROWS / 2) | (depth == PATH - 1)
@@ -194,7 +194,7 @@ def similar_pairs(sets: DataFrame, least: float) -> DataFrame:
             sk = [r.tobytes() for r in sketch(tokens, np.cumsum(size) - size)]
             every = np.tile(np.arange(len(pdf)), TREES)
             tree = np.repeat(np.arange(1, TREES + 1, dtype=np.uint64), len(pdf))
-            row, child = grow(tokens, size, shared.value, every, tree, np.full(len(every), float(shared.value.total)))
+            row, child = grow(tokens, size, shared.value, every, tree, np.full(len(every), float(shared.value.total)), CHILDREN_SHARE)
             yield pd.DataFrame({"node": child, "cid": pdf["cid"].to_numpy()[row], "n": pdf["n"].to_numpy()[row], "sk": np.array(sk, object)[row]})
 
     def compare(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -241,14 +241,14 @@ def similar_pairs(sets: DataFrame, least: float) -> DataFrame:
         if carry is not None and len(carry):
             yield from work(carry)
 
-    def branch(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def branch(frames: Iterator[pd.DataFrame], share: float) -> Iterator[pd.DataFrame]:
         for pdf in frames:
             if not len(pdf):
                 continue
             times = np.fromiter(map(len, pdf["nodes"]), np.int64, len(pdf))
             tokens, size = _flat(pdf["tokens"])
             nodes = np.concatenate(list(pdf["nodes"])).astype(np.int64).view(np.uint64)
-            at, child = grow(tokens, size, shared.value, np.repeat(np.arange(len(pdf)), times), nodes, np.full(len(nodes), 8.0 * NODE_ROWS))
+            at, child = grow(tokens, size, shared.value, np.repeat(np.arange(len(pdf)), times), nodes, np.full(len(nodes), 8.0 * NODE_ROWS), share)
             yield pd.DataFrame({"node": child, "cid": pdf["cid"].to_numpy()[at], "n": pdf["n"].to_numpy()[at], "sk": pdf["sk"].to_numpy()[at]})
 
     row = "node bigint, cid bigint, n int, sk binary"
@@ -265,7 +265,9 @@ def similar_pairs(sets: DataFrame, least: float) -> DataFrame:
             break
         # a large node is one whose members are all here; a record's nodes travel together
         held = large.groupBy("cid").agg(F.collect_list("node").alias("nodes"), F.first("sk").alias("sk"))
-        level = sets.join(held, "cid").select("cid", "n", "tokens", "nodes", "sk").mapInPandas(branch, row)
+        # a group of near copies shrinks in no round: from the second on rows don't multiply
+        share = CHILDREN_SHARE if depth == 0 else 1.0
+        level = sets.join(held, "cid").select("cid", "n", "tokens", "nodes", "sk").mapInPandas(lambda frames, share=share: branch(frames, share), row)
     pairs = found[0]
     for more in found[1:]:
         pairs = pairs.unionByName(more)

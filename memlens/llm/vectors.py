@@ -46,6 +46,16 @@ def exact_cosine(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return (a * b).sum(1)
 
 
+def all_above(pairs: list[tuple[np.ndarray, np.ndarray]], r: np.ndarray, c: np.ndarray, least: float, step: int = 1 << 15) -> np.ndarray:
+    """Mask of pairs (row ``r`` of the left, ``c`` of the right unit rows) whose cosine is above ``least`` in every field; memory stays bounded."""
+    ok = np.ones(len(r), bool)
+    for i in range(0, len(r), step):
+        part = ok[i : i + step]
+        for left, right in pairs:
+            part[part] = exact_cosine(left[r[i : i + step][part]], right[c[i : i + step][part]]) > least
+    return ok
+
+
 def _kmeans(x: np.ndarray, k: int, rng: np.random.Generator) -> tuple[np.ndarray, np.ndarray]:
     c = x[rng.choice(len(x), k, replace=False)]
     for _ in range(STEPS):
