@@ -77,8 +77,8 @@ def top(df: DataFrame, k: int, order: list[Column], by: str = "query_id") -> Dat
 
 # -- vectors
 
-#: Rows of the query block that one broadcast may hold.
-QUERY_ROWS = 50_000
+#: Bytes of the query block that one broadcast may hold.
+QUERY_BYTES = 32 << 20
 
 
 def knn(vectors: DataFrame, queries: DataFrame, k: int, least: float | None = None) -> DataFrame:
@@ -88,10 +88,10 @@ def knn(vectors: DataFrame, queries: DataFrame, k: int, least: float | None = No
     nulls and other widths than the query's are skipped. The stated queries are broadcast in blocks and every task
     keeps its own best ``k``, so k rows a task and query are shuffled.
     """
-    total = queries.count()
+    total, width = queries.agg(F.count("*"), F.coalesce(F.max(F.size("vec")), F.lit(0))).first()
     if not total:
         return vectors.sparkSession.createDataFrame([], "query_id string, id string, sim double, pos int")
-    parts = -(-total // QUERY_ROWS)
+    parts = -(-total * (8 * max(width, 1) + 64) // QUERY_BYTES)
     out: DataFrame | None = None
     for part in range(parts):
         block = queries if parts == 1 else queries.where(F.pmod(F.xxhash64("query_id"), F.lit(parts)) == part)
@@ -212,4 +212,4 @@ def search(
         near = three_field(hits, limit).select("query_id", "id", "pos")
     fused = rrf(near, text, k, w_vector, w_text).where(F.col("place") <= limit).withColumnRenamed("score", "rrf")
     shown = memories.where("superseded_by is null").where(has_tags(F.col("tags"), tags or []))
-    return small(fused).join(shown, "id").select("query_id", "place", "id", "rrf", "score", "context", "action", "result", "memory_type", "tags")
+    return small(cut(fused)).join(shown, "id").select("query_id", "place", "id", "rrf", "score", "context", "action", "result", "memory_type", "tags")

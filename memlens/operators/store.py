@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from memlens.functions.text import normalize_tags, tag_form
-from memlens.runtime import small
+from memlens.runtime import cut, small
 from memlens.schemas import INSIGHT_TYPES, MEMORY, MEMORY_TYPES, PORTABLE, STATUSES
 
 
@@ -191,7 +191,7 @@ def upsert_meta(meta: DataFrame, updates: DataFrame) -> DataFrame:
 def mark_judged(feedback: DataFrame, judged: DataFrame) -> DataFrame:
     """``judged`` (memory_id, at): all unjudged rows of those memories become judged at that time."""
     by = judged.groupBy("memory_id").agg(F.max("at").alias("_at"))
-    out = feedback.join(small(by), "memory_id", "left")
+    out = feedback.join(small(cut(by)), "memory_id", "left")
     hit = F.col("_at").isNotNull() & ~F.coalesce("judged", F.lit(False))
     return out.select("memory_id", "query_id", "searched_at", (F.col("judged") | hit).alias("judged"), F.when(hit, F.col("_at")).otherwise(F.col("judged_at")).alias("judged_at"))
 
