@@ -46,9 +46,33 @@ def shared_dir(spark: SparkSession) -> str:
     return path.rstrip("/")
 
 
+#: This process's own part of the shared folder, so that ending it can't touch what others wrote.
+_OWN = f"memlens-{uuid.uuid4().hex}"
+
+
 def new_table(spark: SparkSession) -> str:
     """A fresh path for a written table in the shared folder."""
-    return f"{shared_dir(spark)}/memlens/{uuid.uuid4().hex}"
+    folder = f"{shared_dir(spark)}/{_OWN}"
+    _folders.add(folder)
+    return f"{folder}/{uuid.uuid4().hex}"
+
+
+_folders: set[str] = set()
+
+
+def release(spark: SparkSession) -> None:
+    """Delete all written tables of this process; results that still read them become unusable."""
+    for folder in list(_folders):
+        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+        _folders.discard(folder)
+
+
+@atexit.register
+def _clean() -> None:
+    """On a mounted folder the tables go with the process; elsewhere :func:`release` has to be called."""
+    for folder in _folders:
+        shutil.rmtree(folder.removeprefix("file://"), ignore_errors=True)
 
 
 def cut(df: DataFrame) -> DataFrame:

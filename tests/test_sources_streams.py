@@ -1,6 +1,7 @@
 """Files, configuration and streams."""
 
 import json
+import uuid
 from datetime import datetime
 
 import pytest
@@ -81,7 +82,7 @@ def test_request_stream(spark, tmp_path):
         seen["good"] += [r.method for r in good.collect()]
         seen["bad"] += [r.code for r in bad.collect()]
 
-    q = jobs.serve(spark, str(tmp_path / "in"), f"r{tmp_path.name}", handle)
+    q = jobs.serve(spark, str(tmp_path / "in"), f"r{uuid.uuid4().hex}", handle)
     q.awaitTermination(60)
     assert seen == {"good": ["memory_search"], "bad": [4000, 4000]}
 
