@@ -97,13 +97,16 @@ def implicit_chains(memories: DataFrame, hours: int = CHAIN_HOURS, least: float
     return at.join(times, "b").groupBy("component").applyInPandas(grow, "root_id string, place bigint, id string")
 
 
-def average_linkage(vectors: np.ndarray, limit: float) -> np.ndarray:
-    """Labels of average-linkage clusters by cosine distance, merged while the least distance is under ``limit``."""
+def average_linkage(vectors: np.ndarray, limit: float, copies: np.ndarray | None = None) -> np.ndarray:
+    """Labels of average-linkage clusters by cosine distance, merged while the least distance is under ``limit``.
+
+    A vector may stand for several ``copies``.
+    """
     norm = np.linalg.norm(vectors, axis=1, keepdims=True)
     x = np.divide(vectors, norm, out=np.zeros_like(vectors), where=norm > 0)
     d = np.clip(1 - x @ x.T, 0, None)
     np.fill_diagonal(d, np.inf)
-    size, label, alive = np.ones(len(x)), np.arange(len(x)), np.ones(len(x), bool)
+    size, label, alive = np.ones(len(x)) if copies is None else copies.astype(float), np.arange(len(x)), np.ones(len(x), bool)
     while alive.sum() > 1:
         i, j = divmod(int(d.argmin()), len(x))
         if d[i, j] >= limit:
@@ -129,9 +132,11 @@ def average_linkage_clusters(memories: DataFrame, pairs: DataFrame, least: float
 
     def link(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("id")
-        label = average_linkage(np.array(pdf["vec"].tolist(), np.float64), 1 - least)
-        ids = pdf["id"].to_numpy()
-        out = pd.DataFrame({"cluster_id": ids[label], "id": ids})
+        x, ids = np.array(pdf["vec"].tolist(), np.float64), pdf["id"].to_numpy()
+        of, _ = pd.factorize(np.array([v.tobytes() for v in x], object))  # equal vectors are merged before all others
+        _, first, copies = np.unique(of, return_index=True, return_counts=True)
+        label = average_linkage(x[first], 1 - least, copies)
+        out = pd.DataFrame({"cluster_id": ids[first[label[of]]], "id": ids})
         return out[out.groupby("cluster_id")["id"].transform("size") > 1]
 
     return rows.groupBy("component").applyInPandas(link, "cluster_id string, id string")

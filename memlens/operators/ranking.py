@@ -79,6 +79,8 @@ def top(df: DataFrame, k: int, order: list[Column], by: str = "query_id") -> Dat
 
 #: Bytes of the query block that one broadcast may hold.
 QUERY_BYTES = 32 << 20
+#: Cells of a block of cosines that :func:`all_near` holds at once.
+NEAR_CELLS = 1 << 20
 
 
 def knn(vectors: DataFrame, queries: DataFrame, k: int, least: float | None = None) -> DataFrame:
@@ -141,6 +143,71 @@ def _knn_block(vectors: DataFrame, block: pd.DataFrame, k: int, least: float | N
     return vectors.select(F.col("id").cast("string").alias("id"), "vec").mapInPandas(run, "query_id string, id string, sim double")
 
 
+def all_near(rows: DataFrame, queries: DataFrame, columns: tuple[str, ...], least: float, strict: bool = False) -> DataFrame:
+    """(query_id, id, sim): every row whose cosine to the query is at least ``least`` (above it if ``strict``) in all ``columns``.
+
+    ``rows`` (id, columns) and ``queries`` (query_id, columns) hold float arrays; sim is the least of the cosines. Hits are not cut,
+    the row itself is one if it is among the queries. Vectors are treated as in :func:`knn`, queries broadcast in blocks too.
+    """
+    sizes = [F.coalesce(F.max(F.size(c)), F.lit(0)) for c in columns]
+    total, *widths = queries.agg(F.count("*"), *sizes).first()
+    if not total:
+        return rows.sparkSession.createDataFrame([], "query_id string, id string, sim double")
+    parts = -(-total * sum(8 * max(w, 1) + 64 for w in widths) // QUERY_BYTES)
+    out: DataFrame | None = None
+    for part in range(parts):
+        block = queries if parts == 1 else queries.where(F.pmod(F.xxhash64("query_id"), F.lit(parts)) == part)
+        hits = _near_block(rows, block.select(F.col("query_id").cast("string"), *columns).dropna().toPandas(), columns, least, strict)
+        out = hits if out is None else out.unionByName(hits)
+    return out
+
+
+def _near_block(rows: DataFrame, block: pd.DataFrame, columns: tuple[str, ...], least: float, strict: bool) -> DataFrame:
+    units = lambda pdf: [_unit(np.array(pdf[c].tolist(), np.float64)) for c in columns]
+    width = lambda pdf: pd.Series(list(zip(*[pdf[c].map(len) for c in columns])), pdf.index, dtype=object)
+    groups = [(key, own["query_id"].to_numpy(), units(own)) for key, own in block.groupby(width(block)) if all(key)]
+    shared = rows.sparkSession.sparkContext.broadcast(groups)
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in frames:
+            sizes = width(pdf)
+            for key, names, q in shared.value:
+                own = pdf[sizes == key]
+                if not len(own):
+                    continue
+                x, ids = units(own), own["id"].to_numpy()
+                step = max(1, NEAR_CELLS // len(own))
+                for i in range(0, len(names), step):
+                    s = np.minimum.reduce([a[i : i + step] @ b.T for a, b in zip(q, x)])
+                    r, c = np.nonzero(s > least if strict else s >= least)
+                    yield pd.DataFrame({"query_id": names[i + r], "id": ids[c], "sim": s[r, c]})
+
+    return rows.select(F.col("id").cast("string").alias("id"), *columns).dropna().mapInPandas(run, "query_id string, id string, sim double")
+
+
+def vector_classes(vectors: DataFrame, least: float) -> tuple[DataFrame, DataFrame]:
+    """(class, id) and (a, b, sim) of :func:`all_near` classes a <= b: rows of equal vectors are one class, named by its smallest id."""
+    own = vectors.select(F.col("id").cast("string").alias("id"), "vec").where("vec is not null")
+    kinds = cut(own.groupBy("vec").agg(F.min("id").alias("class")))
+    near = all_near(kinds.select(F.col("class").alias("id"), "vec"), kinds.select(F.col("class").alias("query_id"), "vec"), ("vec",), least)
+    links = near.where("query_id <= id").select(F.col("query_id").alias("a"), F.col("id").alias("b"), "sim")
+    return cut(own.join(kinds, "vec").select("class", "id")), cut(links)
+
+
+def near_pairs(vectors: DataFrame, least: float) -> DataFrame:
+    """(a, b, sim), a < b: all pairs of rows (id, vec) of cosine at least ``least``."""
+    members, links = vector_classes(vectors, least)
+    both = links.join(members.select(F.col("class").alias("a"), F.col("id").alias("x")), "a").join(members.select(F.col("class").alias("b"), F.col("id").alias("y")), "b")
+    return both.where("a < b or x < y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), "sim")
+
+
+def near_links(vectors: DataFrame, least: float) -> DataFrame:
+    """(a, b): links that join the same rows, directly or through others, as :func:`near_pairs`, without the pairs within a class."""
+    members, links = vector_classes(vectors, least)
+    alike = links.where("a = b").select(F.col("a").alias("class")).join(members, "class").where("class <> id")
+    return links.where("a < b").select("a", "b").unionByName(alike.select(F.col("class").alias("a"), F.col("id").alias("b")))
+
+
 def three_field(hits: list[DataFrame], k: int) -> DataFrame:
     """Hits of several fields merged by their best similarity, cut to ``k`` a query."""
     both = hits[0]

@@ -270,19 +270,16 @@ def implicit_chains(s, d):
     return mining.implicit_chains(_with_blobs(s, d))
 
 
-def _cluster_pairs(s, d):
-    # equal vectors come from rows that share one number, so an equi-join meets all pairs over the threshold in these tables' vectors
-    v = document_vectors(s, d).where("field = 'context'")
-    q = v.select(F.col("id").alias("query_id"), "vec")
-    return ranking.knn(v.select("id", "vec"), q, 8, 0.85).where("query_id < id").select(F.col("query_id").alias("a"), F.col("id").alias("b"), "sim")
+def _context_vectors(s, d):
+    return document_vectors(s, d).where("field = 'context'").select("id", "vec")
 
 
 @query("cluster_edges", f"""WITH {_EDGES.replace("WHERE superseded_by IS NULL AND memory_type <> 'insight'", '')} SELECT a.id AS a, b.id AS b, round(list_cosine_similarity(CAST(a.vec AS DOUBLE[]), CAST(b.vec AS DOUBLE[])), 6) AS similarity
 FROM r a JOIN r b ON a.id < b.id WHERE list_cosine_similarity(CAST(a.vec AS DOUBLE[]), CAST(b.vec AS DOUBLE[])) >= 0.85 QUALIFY row_number() OVER (PARTITION BY a.id ORDER BY b.id) <= 8""")
 def cluster_edges(s, d):
-    return _cluster_pairs(s, d).select("a", "b", F.round("sim", 6).alias("similarity"))
+    return ranking.near_pairs(_context_vectors(s, d), mining.CLUSTER_SIMILARITY).select("a", "b", F.round("sim", 6).alias("similarity"))
 
 
 @query("average_linkage")
 def average_linkage(s, d):
-    return mining.average_linkage_clusters(_with_blobs(s, d).where("embedding_context is not null"), _cluster_pairs(s, d).select("a", "b"))
+    return mining.average_linkage_clusters(_with_blobs(s, d).where("embedding_context is not null"), ranking.near_links(_context_vectors(s, d), mining.CLUSTER_SIMILARITY))

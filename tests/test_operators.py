@@ -321,6 +321,25 @@ def test_average_linkage(spark):
     assert rows(mining.average_linkage_clusters(m, pairs)) == [("m1", "m1"), ("m1", "m2"), ("m3", "m3"), ("m3", "m4")]
 
 
+def few_vectors(spark, path, docs=120):
+    """Tables of ``docs`` documents whose vectors are copies of three: two near ones and one by itself."""
+    spark.range(docs).select(F.col("id").alias("doc_id"), F.lit("some text").alias("text"), F.lit("en").alias("lang"), F.lit("s").alias("source")).write.parquet(f"{path}/documents.parquet")
+    spark.createDataFrame([(0, [1.0, 0.0]), (1, [1.0, 0.1]), (2, [0.0, 1.0])], "vec_id long, embedding array<float>").write.parquet(f"{path}/embeddings.parquet")
+    return str(path)
+
+
+def test_clusters_of_many_copies_are_whole(spark, tmp_path):
+    from memlens.plans.search_queries import average_linkage, cluster_edges, document_vectors
+
+    d = few_vectors(spark, tmp_path)
+    group = {r.id: r.vec[0] > 0 for r in document_vectors(spark, d).where("field = 'context'").collect()}
+    truth = {(a, b) for a in group for b in group if a < b and group[a] == group[b]}
+    edges = [(r.a, r.b) for r in cluster_edges(spark, d).collect()]
+    assert len(edges) == len(truth) and set(edges) == truth
+    first = {g: min(i for i in group if group[i] == g) for g in (True, False)}
+    assert rows(average_linkage(spark, d)) == sorted((first[g], i) for i, g in group.items())
+
+
 def test_rouge_and_models(spark):
     df = spark.createDataFrame([("a b c", "a b c"), ("a b", "c d"), ("c b a", "a b c"), (None, "x")], "c string, r string")
     assert [round(r.s, 3) for r in df.select(mining.rouge_l("c", "r").alias("s")).collect()] == [1.0, 0.0, 0.333, 0.0]
