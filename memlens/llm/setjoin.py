@@ -24,7 +24,7 @@ from memlens.runtime import cut
 WORD = regex.compile(r"[\p{L}\p{Nd}]+")
 #: Independent trees; expected children of a record in a node are 1 / CHILDREN_SHARE.
 TREES, CHILDREN_SHARE = 6, 0.65
-#: Largest node compared at once, rounds before large nodes are compared in blocks, tokens chosen in a round, rows of a block.
+#: Largest node compared at once, most rounds before large nodes are compared in blocks, tokens chosen in a round, rows of a block.
 NODE_ROWS, LEVELS, PATH, BLOCK_ROWS = 256, 4, 4, 4096
 #: Tokens in more than one in HEAVY_SHARE sets are counted exactly, others taken for LIGHT; bits of the map of repeated tokens.
 HEAVY_SHARE, LIGHT, BITMAP = 2000, 16, 1 << 24
@@ -127,14 +127,27 @@ def frequencies(sets: DataFrame) -> Frequencies:
     return Frequencies(total, heavy["token"].to_numpy().astype(np.int64).view(np.uint64), heavy["count"].to_numpy(), bitmap)
 
 
-def grow(tokens: np.ndarray, size: np.ndarray, known: Frequencies, record: np.ndarray, node: np.ndarray, expected: np.ndarray, share: float) -> tuple[np.ndarray, np.ndarray]:
+def _shared_weight(weight: np.ndarray, size: np.ndarray, start: np.ndarray, least: float) -> np.ndarray:
+    """What a partner of equal size and similarity ``least`` shares of each set's weight if it lacks the heaviest tokens, over what it shares of the tokens."""
+    lacking = (1 - least) / (1 + least)
+    of = np.repeat(np.arange(len(size)), size)
+    by = np.lexsort((-weight, of))
+    alone = np.add.reduceat((weight == 0).astype(np.int64), start) if len(size) else size  # no partner has these
+    heavy = np.arange(len(by)) - start[of] < (np.floor(lacking * size) - alone)[of]
+    whole, lost = (np.add.reduceat(w, start) if len(size) else np.zeros(0) for w in (weight, np.where(heavy, weight[by], 0.0)))
+    return np.minimum(1 - np.divide(lost, whole, out=np.zeros(len(size)), where=whole > 0), 1 - lacking) / (1 - lacking)
+
+
+def grow(tokens: np.ndarray, size: np.ndarray, known: Frequencies, record: np.ndarray, node: np.ndarray, expected: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray]:
     """Branch sets from nodes until the nodes are expected to be small: (record, child) rows.
 
     A node passes a set on to the children of those tokens not on its path that hash under their share of the
-    set's weight, so that frequent tokens, which split little, are chosen less.
+    set's weight, so that frequent tokens, which split little, are chosen less. A set whose weight lies in few tokens gets
+    more children, as a partner may lack just these.
     """
     df, weight = known.of(tokens)
     start = np.cumsum(size) - size
+    share = CHILDREN_SHARE * _shared_weight(weight, size, start, least)
     used: list[np.ndarray] = []
     out_record, out_node = [], []
     for depth in range(PATH):
@@ -147,7 +160,7 @@ def grow(tokens: np.ndarray, size: np.ndarray, known: Frequencies, record: np.nd
             w = np.where(t == u[branch], 0.0, w)
         whole = np.add.reduceat(w, begin) if len(begin) else np.zeros(0)
         h = mix(t ^ mix(node[branch]))
-        pick = (h >> np.uint64(11)).astype(np.float64) * 2.0**-53 * share * whole[branch] < w
+        pick = (h >> np.uint64(11)).astype(np.float64) * 2.0**-53 * (share[record] * whole)[branch] < w
         child, source = mix(h[pick] + np.uint64(1)), branch[pick]
         size_now = expected[source] * df[at[pick]] / known.total
         done = (size_now <= NODE_ROWS / 2) | (depth == PATH - 1)
@@ -194,7 +207,7 @@ def similar_pairs(sets: DataFrame, least: float) -> DataFrame:
             sk = [r.tobytes() for r in sketch(tokens, np.cumsum(size) - size)]
             every = np.tile(np.arange(len(pdf)), TREES)
             tree = np.repeat(np.arange(1, TREES + 1, dtype=np.uint64), len(pdf))
-            row, child = grow(tokens, size, shared.value, every, tree, np.full(len(every), float(shared.value.total)), CHILDREN_SHARE)
+            row, child = grow(tokens, size, shared.value, every, tree, np.full(len(every), float(shared.value.total)), least)
             yield pd.DataFrame({"node": child, "cid": pdf["cid"].to_numpy()[row], "n": pdf["n"].to_numpy()[row], "sk": np.array(sk, object)[row]})
 
     def compare(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -241,14 +254,14 @@ def similar_pairs(sets: DataFrame, least: float) -> DataFrame:
         if carry is not None and len(carry):
             yield from work(carry)
 
-    def branch(frames: Iterator[pd.DataFrame], share: float) -> Iterator[pd.DataFrame]:
+    def branch(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in frames:
             if not len(pdf):
                 continue
             times = np.fromiter(map(len, pdf["nodes"]), np.int64, len(pdf))
             tokens, size = _flat(pdf["tokens"])
             nodes = np.concatenate(list(pdf["nodes"])).astype(np.int64).view(np.uint64)
-            at, child = grow(tokens, size, shared.value, np.repeat(np.arange(len(pdf)), times), nodes, np.full(len(nodes), 8.0 * NODE_ROWS), share)
+            at, child = grow(tokens, size, shared.value, np.repeat(np.arange(len(pdf)), times), nodes, np.full(len(nodes), 8.0 * NODE_ROWS), least)
             yield pd.DataFrame({"node": child, "cid": pdf["cid"].to_numpy()[at], "n": pdf["n"].to_numpy()[at], "sk": pdf["sk"].to_numpy()[at]})
 
     row = "node bigint, cid bigint, n int, sk binary"
@@ -260,14 +273,19 @@ def similar_pairs(sets: DataFrame, least: float) -> DataFrame:
         large = out.where("b is null").select("node", F.col("a").alias("cid"), "n", "sk")
         if large.isEmpty():
             break
-        if depth == LEVELS - 1:
+        # branching may lose pairs of a dense group, which shrinks in no round: what fits a block is compared whole at once
+        if depth < min(1, LEVELS - 1):
+            huge = cut(large.groupBy("node").count().where(F.col("count") > BLOCK_ROWS).select("node"))
+            found.append(_blocks(large.join(huge, "node", "left_anti"), least, differing))
+            large = large.join(huge, "node", "left_semi")
+        else:
             found.append(_blocks(large, least, differing))
             break
+        if huge.isEmpty():
+            break
         # a large node is one whose members are all here; a record's nodes travel together
         held = large.groupBy("cid").agg(F.collect_list("node").alias("nodes"), F.first("sk").alias("sk"))
-        # a group of near copies shrinks in no round: from the second on rows don't multiply
-        share = CHILDREN_SHARE if depth == 0 else 1.0
-        level = sets.join(held, "cid").select("cid", "n", "tokens", "nodes", "sk").mapInPandas(lambda frames, share=share: branch(frames, share), row)
+        level = sets.join(held, "cid").select("cid", "n", "tokens", "nodes", "sk").mapInPandas(branch, row)
     pairs = found[0]
     for more in found[1:]:
         pairs = pairs.unionByName(more)

@@ -59,6 +59,35 @@ def test_set_join_branches_and_blocks_large_nodes(spark, monkeypatch):
     assert got <= truth and len(got) / len(truth) > 0.97
 
 
+def one_group(count, others, seed=5, length=60, edits=9):
+    """Distinct near copies of one text, each with up to ``edits`` other words, among unlike records."""
+    rng = random.Random(seed)
+    rare = [f"r{i}" for i in range(3000)]
+    base = [f"b{i}" for i in range(length)]
+    out = []
+    for i in range(count):
+        text = list(base)
+        for at in rng.sample(range(length), rng.randint(3, edits)):
+            text[at] = rng.choice(rare)
+        out.append((f"g{i:05d}", " ".join(text), None, None))
+    return out + [(f"o{i:05d}", " ".join(rng.choice(rare) for _ in range(length)), None, None) for i in range(others)]
+
+
+def test_set_join_of_a_large_group_of_near_copies(spark):
+    """With the constants as they are, nodes of over a thousand distinct near copies lose under a hundredth of the pairs."""
+    data = one_group(2500, 2500)
+    vocab = {}
+    at = [[vocab.setdefault(w, len(vocab)) for w in set(r[1].split())] for r in data]
+    x = np.zeros((2500, len(vocab)), np.float32)
+    for i in range(2500):
+        x[i, at[i]] = 1
+    common, n = x @ x.T, x.sum(1)
+    true = np.triu(common / (n[:, None] + n - common) >= 0.75 - 1e-6, 1)
+    got = near_duplicates(spark.createDataFrame(data, SCHEMA), ["a", "b", "c"]).toPandas()
+    a, b = (got[c].str[1:].astype(int).to_numpy() for c in ("id_a", "id_b"))
+    assert true[a, b].all() and true.sum() > 100_000 and len(got) / true.sum() > 0.99
+
+
 def test_set_join_of_nothing(spark):
     empty = spark.createDataFrame([], SCHEMA)
     assert near_duplicates(empty, ["a", "b", "c"]).count() == 0
