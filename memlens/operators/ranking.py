@@ -185,6 +185,13 @@ def _near_block(rows: DataFrame, block: pd.DataFrame, columns: tuple[str, ...],
     return rows.select(F.col("id").cast("string").alias("id"), *columns).dropna().mapInPandas(run, "query_id string, id string, sim double")
 
 
+def nearest_in_all(rows: DataFrame, queries: DataFrame, columns: tuple[str, ...], threshold: float) -> DataFrame:
+    """(query_id, id, sim): the other row above ``threshold`` in all ``columns`` with the best least similarity; ties to the smaller id."""
+    others = all_near(rows, queries, columns, threshold, strict=True).where("query_id <> id")
+    best = F.min(F.struct((-F.round("sim", 9)).alias("by"), "id", "sim"))
+    return others.groupBy("query_id").agg(best.alias("b")).select("query_id", "b.id", "b.sim")
+
+
 def vector_classes(vectors: DataFrame, least: float) -> tuple[DataFrame, DataFrame]:
     """(class, id) and (a, b, sim) of :func:`all_near` classes a <= b: rows of equal vectors are one class, named by its smallest id."""
     own = vectors.select(F.col("id").cast("string").alias("id"), "vec").where("vec is not null")

@@ -98,12 +98,9 @@ m AS (SELECT query_id, id, min(sim) AS sim FROM p WHERE sim > 0.95 GROUP BY 1, 2
 SELECT query_id, id, round(sim, 6) AS sim FROM m QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY round(sim, 9) DESC, id) = 1""")
 def near_dup_lookup(s, d):
     v = document_vectors(s, d)
-    hits = []
-    for f in ranking.TEXT_COLUMNS:
-        own = v.where(F.col("field") == f).select("id", "vec")
-        q = own.where(F.col("id").endswith("00")).withColumnRenamed("id", "query_id")
-        hits.append(ranking.knn(own, q, 16, 0.95).where("query_id <> id"))
-    return ranking.near_duplicate(hits).select("query_id", "id", F.round("sim", 6).alias("sim"))
+    wide = lambda df: df.groupBy("id").pivot("field", list(ranking.TEXT_COLUMNS)).agg(F.first("vec"))
+    asked = wide(v.where(F.col("id").endswith("00"))).withColumnRenamed("id", "query_id")
+    return ranking.nearest_in_all(wide(v), asked, ranking.TEXT_COLUMNS, 0.95).select("query_id", "id", F.round("sim", 6).alias("sim"))
 
 
 @query("rrf_fuse", f"WITH {_BOTH} SELECT query_id, id, round(score, 9) AS score, CAST(place AS INTEGER) AS place FROM fp")

@@ -321,10 +321,10 @@ def test_average_linkage(spark):
     assert rows(mining.average_linkage_clusters(m, pairs)) == [("m1", "m1"), ("m1", "m2"), ("m3", "m3"), ("m3", "m4")]
 
 
-def few_vectors(spark, path, docs=120):
-    """Tables of ``docs`` documents whose vectors are copies of three: two near ones and one by itself."""
+def few_vectors(spark, path, docs=120, vectors=([1.0, 0.0], [1.0, 0.1], [0.0, 1.0])):
+    """Tables of ``docs`` documents whose vectors are copies of a few: if not given two near ones and one by itself."""
     spark.range(docs).select(F.col("id").alias("doc_id"), F.lit("some text").alias("text"), F.lit("en").alias("lang"), F.lit("s").alias("source")).write.parquet(f"{path}/documents.parquet")
-    spark.createDataFrame([(0, [1.0, 0.0]), (1, [1.0, 0.1]), (2, [0.0, 1.0])], "vec_id long, embedding array<float>").write.parquet(f"{path}/embeddings.parquet")
+    spark.createDataFrame(list(enumerate(vectors)), "vec_id long, embedding array<float>").write.parquet(f"{path}/embeddings.parquet")
     return str(path)
 
 
@@ -340,6 +340,18 @@ def test_clusters_of_many_copies_are_whole(spark, tmp_path):
     assert rows(average_linkage(spark, d)) == sorted((first[g], i) for i, g in group.items())
 
 
+def test_near_duplicates_among_many_copies_are_found(spark, tmp_path):
+    from memlens.plans.search_queries import document_vectors, near_dup_lookup
+
+    one = lambda i: [float(j == i) for j in range(121)]
+    d = few_vectors(spark, tmp_path, 240, [one(120) if i < 40 or i == 100 else one(i) for i in range(120)])
+    vec = {}
+    for r in document_vectors(spark, d).collect():
+        vec.setdefault(r.id, {})[r.field] = r.vec
+    truth = {q: min((i for i in vec if i != q and vec[i] == vec[q]), default=None) for q in vec if q.endswith("00")}
+    assert {r.query_id: r.id for r in near_dup_lookup(spark, d).collect()} == truth and None not in truth.values()
+
+
 def test_rouge_and_models(spark):
     df = spark.createDataFrame([("a b c", "a b c"), ("a b", "c d"), ("c b a", "a b c"), (None, "x")], "c string, r string")
     assert [round(r.s, 3) for r in df.select(mining.rouge_l("c", "r").alias("s")).collect()] == [1.0, 0.0, 0.333, 0.0]
