@@ -56,6 +56,21 @@ def first_wins(rows: DataFrame, edges: DataFrame) -> DataFrame:
     return state.select("n", "into")
 
 
+def within_batch(rows: DataFrame, threshold: float) -> DataFrame:
+    """(n, into) as :func:`first_wins` for ``rows`` (n, the three vectors): all earlier near rows count.
+
+    Rows of three equal vectors share the first one's case: they fall to it or where it fell.
+    """
+    lead = cut(rows.groupBy(*FIELDS).agg(F.min("n").alias("lead")))
+    near = cut(ranking.all_near(lead.withColumnRenamed("lead", "id"), lead.withColumnRenamed("lead", "query_id"), FIELDS, threshold, strict=True))
+    pairs = near.select(F.col("query_id").cast("long").alias("n"), F.col("id").cast("long").alias("near"))
+    alike = pairs.where("n = near").select(F.col("n").alias("lead"))  # not so where a vector is null or zero
+    copies = cut(rows.join(lead, list(FIELDS)).where("n <> lead").join(alike, "lead").select("n", "lead"))
+    told = cut(first_wins(rows.select("n").join(copies.select("n"), "n", "left_anti"), pairs.where("near < n")))
+    fallen = copies.join(told.withColumnRenamed("n", "lead"), "lead").select("n", F.coalesce("into", "lead").alias("into"))
+    return told.unionByName(fallen)
+
+
 def store_batch(
     memories: DataFrame, vectors: DataFrame, batch: DataFrame, provider: Callable[[Column], Column], at: str, threshold: float = DEDUP
 ) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -69,21 +84,17 @@ def store_batch(
         raise ValueError(f"{bad['id']}: {bad['problem']}")
     fresh = cut(embed_fields(batch, provider))
     number = batch.select("id", "n")
-    stored, own = [], []
+    stored = []
     for f in FIELDS:
         q = fresh.where(F.col("field") == f).join(number, "id").select(F.col("n").cast("string").alias("query_id"), "vec")
         stored.append(ranking.knn(vectors.where(F.col("field") == f).select("id", "vec"), q, HITS_PER_FIELD, threshold))
-        mates = ranking.knn(q.select(F.col("query_id").alias("id"), "vec"), q, HITS_PER_FIELD, threshold)
-        own.append(mates.where((F.col("id").cast("long") < F.col("query_id").cast("long")) & (F.col("sim") > threshold)).select("query_id", "id"))
     hits = cut(ranking.near_duplicate(stored, threshold).select(F.col("query_id").cast("long").alias("n"), F.col("id").alias("hit")))
-    near = own[0].join(own[1], ["query_id", "id"]).join(own[2], ["query_id", "id"])
-    edges = near.select(F.col("query_id").cast("long").alias("n"), F.col("id").cast("long").alias("near"))
+    wide = fresh.groupBy("id").pivot("field", list(FIELDS)).agg(F.first("vec"))
     rest = cut(number.join(hits.select("n"), "n", "left_anti"))
-    edges = cut(edges.join(rest.select("n"), "n", "left_semi").join(rest.select(F.col("n").alias("near")), "near", "left_semi"))
-    inside = first_wins(rest, edges).join(rest, "n").join(rest.select(F.col("n").alias("into"), F.col("id").alias("mate")), "into", "left")
+    into = within_batch(cut(wide.join(rest, "id").select("n", *FIELDS)), threshold)
+    inside = rest.join(into, "n").join(rest.select(F.col("n").alias("into"), F.col("id").alias("mate")), "into", "left")
     outcome = cut(hits.join(number, "n").select("n", "id", F.col("hit").alias("merged_into")).unionByName(inside.select("n", "id", F.col("mate").alias("merged_into"))))
     kept = outcome.where("merged_into is null").select("id")
-    wide = fresh.groupBy("id").pivot("field", list(FIELDS)).agg(F.first("vec"))
     blobs = wide.select("id", *[vector_to_blob(f).alias(f"embedding_{f}") for f in FIELDS])
     given = {"score": F.lit(0.0), "indexed": F.lit(True), "created_at": F.lit(at), "updated_at": F.lit(at), "used_count": F.lit(0)}
     have = set(batch.columns) | {f"embedding_{f}" for f in FIELDS}

@@ -25,6 +25,30 @@ def test_store_merges_with_history_and_within_the_batch(spark):
         ingest.store_batch(m, new, two.withColumn("context", F.lit("x" * 10_001)), EMBED, "t3")
 
 
+def test_store_merges_many_copies_of_a_batch(spark):
+    import numpy as np
+    import pandas as pd
+
+    rng = np.random.default_rng(1)
+    x = np.concatenate([np.tile([1.0, 0, 0], (40, 1)), [1.0, 0, 0] + 0.05 * rng.standard_normal((40, 3)), [1.0, 0, 0] + 0.5 * rng.standard_normal((40, 3))])
+    x = x[rng.permutation(len(x))]
+    known = {f"t{n}": v.tolist() for n, v in enumerate(x)} | {"zero": [0.0, 0.0, 0.0]}
+
+    @F.pandas_udf("array<float>")
+    def provider(text: pd.Series) -> pd.Series:
+        return text.map(known.get)
+
+    texts = [f"t{n}" for n in range(len(x))] + ["zero", "zero"]
+    batch = spark.createDataFrame([(n, f"i{n:03d}", "bugfix", t, t, t, None) for n, t in enumerate(texts)], BATCH)
+    _, _, out = ingest.store_batch(memories(spark).limit(0), spark.createDataFrame([], "field string, id string, vec array<float>"), batch, lambda c: provider(c), "t1")
+    unit = x / np.linalg.norm(x, axis=1)[:, None]
+    into = {}
+    for n in range(len(x)):
+        into[n] = next((m for m in range(n) if into[m] is None and unit[m] @ unit[n] > 0.95), None)
+    truth = {f"i{n:03d}": None if m is None else f"i{m:03d}" for n, m in into.items()} | {"i120": None, "i121": None}
+    assert {r.id: r.merged_into for r in out.collect()} == truth
+
+
 def test_first_wins_is_the_sequential_pass(spark):
     import random
 
