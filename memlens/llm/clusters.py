@@ -15,20 +15,21 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from memlens.llm.vectors import distinct_rows, exact_cosine, fit_trees, matrix, place, row_chunks, split_hot, unpivot
-from memlens.runtime import cut, drop_table
+from memlens.runtime import cut, drop_table, small
 
 SCREEN = 1e-5
 
 
-def block_labels(ids: np.ndarray, vec: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray]:
+def block_labels(ids: np.ndarray, vec: np.ndarray, least: float, copies: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
     """For each member of a block the smallest position of its cluster, and its density there.
 
-    ``ids`` must be ascending. Density counts neighbours, the copies of a vector included.
+    ``ids`` must be ascending. Density counts neighbours, the copies of a vector included; a
+    member may stand for several ``copies`` of its vector.
     """
     first, of = distinct_rows(vec)
     x = matrix(vec[first])
     x4 = x.astype(np.float32)
-    weight = np.bincount(of, minlength=len(first))
+    weight = np.bincount(of, copies, len(first)).astype(np.int64)
 
     def near(rows: slice) -> tuple[np.ndarray, np.ndarray]:
         s = x4[rows] @ x4.T
@@ -109,11 +110,17 @@ def clusters(df: DataFrame, column: str, least: float = 0.85, recall: float = 0.
     def block(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("id", kind="stable")
         ids = pdf["id"].to_numpy()
-        label, density = block_labels(ids, pdf["vec"].to_numpy(), least)
+        label, density = block_labels(ids, pdf["vec"].to_numpy(), least, pdf["copies"].to_numpy())
         out = pd.DataFrame({"node": ids, "via": ids[label], "density": density})
         return out[out["density"] > 0]
 
-    local = cut(place(index, [tree], [v]).groupBy("field", "leaf").applyInPandas(block, "node string, via string, density long"))
+    placed = place(index, [tree], [v])
+    if kept is None:
+        placed = placed.withColumn("copies", F.lit(1).cast("long"))
+    else:  # the first of the two kept copies stands for all others
+        count = kept.select("id", F.when(F.col("rank") == 1, F.col("copies") - 1).otherwise(1).alias("copies"))
+        placed = placed.join(small(count), "id", "left").withColumn("copies", F.coalesce("copies", F.lit(1).cast("long")))
+    local = cut(placed.groupBy("field", "leaf").applyInPandas(block, "node string, via string, density long"))
     labels = component_labels(local.select("node", "via"))
     dense = local.groupBy("node").agg(F.max("density").alias("density"))
     out = labels.join(dense, "node").select(F.col("label").alias("cluster_id"), F.col("node").alias("id"), "density")

@@ -198,16 +198,17 @@ def unpivot(df: DataFrame, columns: list[str], id_col: str = "id") -> DataFrame:
 def split_hot(long: DataFrame, keep: int) -> tuple[DataFrame, DataFrame | None, DataFrame | None]:
     """Take all but the ``keep`` smallest ids of each vector with over HOT_COPIES copies out of the index.
 
-    Returns the rows to index, then (field, h, id, rank) of the kept and (field, h, id) of the
-    other copies, both None where no vector is that frequent.
+    Returns the rows to index, then (field, h, id, rank, copies) of the kept, with the number of all copies, and (field, h, id)
+    of the other copies, both None where no vector is that frequent.
     """
     hashed = long.withColumn("h", F.xxhash64("vec"))
-    hot = cut(hashed.groupBy("field", "h").count().where(F.col("count") > HOT_COPIES).select("field", "h"))
+    hot = cut(hashed.groupBy("field", "h").count().where(F.col("count") > HOT_COPIES).select("field", "h", F.col("count").alias("copies")))
     if hot.isEmpty():
         return long, None, None
     rank = Window.partitionBy("field", "h").orderBy("id")
     same = hashed.join(small(hot), ["field", "h"], "left_semi")
-    kept = cut(same.select("field", "h", "id").withColumn("rank", F.row_number().over(rank)).where(F.col("rank") <= keep))
+    kept = same.select("field", "h", "id").withColumn("rank", F.row_number().over(rank)).where(F.col("rank") <= keep)
+    kept = cut(kept.join(small(hot), ["field", "h"]).select("field", "h", "id", "rank", "copies"))
     rest = same.select("field", "h", "id").join(small(kept.select("field", "id")), ["field", "id"], "left_anti")
     rare = hashed.join(small(hot), ["field", "h"], "left_anti").select("field", "id", "vec")
     return rare.unionByName(same.join(small(kept.select("field", "id")), ["field", "id"], "left_semi").select("field", "id", "vec")), kept, rest

@@ -129,6 +129,18 @@ def test_clusters_with_a_frequent_vector(spark):
     assert {i for c, i in found if c == "m00030"} == {f"m{i:05d}" for i in range(30, 100)}
 
 
+def test_density_counts_all_copies_of_a_frequent_vector(spark):
+    """70 copies outweigh 20 rows by their side, which are near some of the others only."""
+    angles = np.concatenate([np.linspace(-0.6, -0.5, 20), np.zeros(70), [0.4]])
+    v = np.zeros((len(angles), DIM), "<f4")
+    v[:, 0], v[:, 1] = np.cos(angles), np.sin(angles)
+    near = cosines(v) >= 0.85
+    found = clusters(table(spark, triple(v)), BLOBS[0])
+    assert {r.id: r.density for r in found.collect()} == {f"m{i:05d}": int(near[i].sum()) - 1 for i in range(len(v))}
+    best = sorted(range(len(v)), key=lambda i: (-near[i].sum(), i))[:3]
+    assert [r.typical for r in describe(found).collect()] == [[f"m{i:05d}" for i in best]]
+
+
 def test_chains_of_neighbours_are_one_block_cluster():
     angles = np.arange(30) * 0.4  # each near the next only
     v = np.zeros((30, DIM), "<f4")
