@@ -166,7 +166,7 @@ def fts_probe_top5(s, d):
 
 @query("fts_dup_groups")
 def fts_dup_groups(s, d):
-    m = document_memories(s, d)
+    m = document_memories(s, d, whole=True)
     return con.text_groups(m, con.text_probes(m))
 
 

@@ -11,8 +11,11 @@ from memlens.runtime import table
 _TYPES = ("decision", "pattern", "bugfix", "context", "antipattern")
 
 
-def document_memories(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents as memories: texts are slices, other columns follow from the number by integer rules."""
+def document_memories(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
+    """Documents as memories: texts are slices, other columns follow from the number by integer rules.
+
+    With ``whole`` the result holds all the rest of the text, else, as in ``dm``, 160 characters.
+    """
     d = table(spark, sf_dir, "documents")
     n = F.col("doc_id")
     by_rest = F.element_at(F.array(*[F.lit(t) for t in _TYPES]), (n % 5 + 1).cast("int"))
@@ -26,7 +29,7 @@ def document_memories(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(n % 20 == 19, "insight").otherwise(by_rest).alias("memory_type"),
         F.substring(text, 1, 160).alias("context"),
         F.substring(text, 161, 160).alias("action"),
-        F.substring(text, 321, 160).alias("result"),
+        F.substring(text, 321, 2**31 - 1 if whole else 160).alias("result"),
         ((n * 37 % 101) / 100).cast("float").alias("score"),
         (n % 10 != 9).alias("indexed"),
         F.when(n % 17 == 0, None)

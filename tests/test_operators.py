@@ -253,6 +253,16 @@ def test_exact_groups_survivor_plan_and_apply(spark):
     assert con.plan(con.exact_members(m.limit(0)), stale.limit(0), lost.limit(0), m.limit(0)).count() == 0
 
 
+def test_documents_are_memories_with_their_whole_text(spark, tmp_path, monkeypatch):
+    from memlens.plans import search_queries
+
+    texts = ["start " + "filler " * 90 + "late", "late words", ""]
+    spark.createDataFrame([(i, t, "en", "s") for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    monkeypatch.setattr(search_queries.con, "text_groups", lambda m, probes: m)
+    got = search_queries.fts_dup_groups(spark, str(tmp_path)).orderBy("doc_id")
+    assert [r.context + r.action + r.result for r in got.collect()] == texts
+
+
 def test_text_groups_are_greedy(spark):
     t = lambda n: f"2024-01-0{n}T00:00:00Z"
     m = memories(
