@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 
 #: Largest table (bytes as Spark estimates them) that an operator may broadcast.
 BROADCAST_BYTES = 32 << 20
+#: Keys that a hot key of a join is made of.
+SALTS = 64
 
 
 def session(app: str = "memlens", cpus: str | int = "*") -> SparkSession:
@@ -34,10 +36,12 @@ def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share, from ``spark.checkpoint.dir``.
 
     Only where the cluster names none (tests, local runs) a temporary folder is
-    made and set.
+    made and set. Off a local master that would lie on one machine, so it is refused.
     """
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise RuntimeError("spark.checkpoint.dir names no folder that all executors share")
         path = getattr(spark, "_memlens_dir", None)
         if not path or not os.path.isdir(path):
             path = tempfile.mkdtemp(prefix="memlens-")
@@ -84,7 +88,9 @@ def cut(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     path = new_table(spark)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._memlens_cut = True
+    return out
 
 
 def drop_table(df: DataFrame) -> None:
@@ -102,11 +108,26 @@ def estimated_bytes(df: DataFrame) -> int:
 
 
 def small(df: DataFrame, limit: int = BROADCAST_BYTES) -> DataFrame:
-    """``df`` with a broadcast hint if its size is proven under ``limit``, else as it is.
+    """``df`` with a broadcast hint if it is proven under ``limit``, else as it is.
 
-    Past the limit Spark plans an ordinary shuffled join.
+    An estimate proves nothing (an explode or a join may exceed it), so a table that is not cut yet is cut first and its files
+    are measured. Past the limit Spark plans an ordinary shuffled join.
     """
-    return F.broadcast(df) if estimated_bytes(df) <= limit else df
+    known = df if getattr(df, "_memlens_cut", False) else cut(df)
+    return F.broadcast(known) if estimated_bytes(known) <= limit else known
+
+
+def skew_join(rows: DataFrame, few: DataFrame, on: list[str], salts: int = SALTS) -> DataFrame:
+    """Inner join of ``rows`` with ``few`` on keys of which one may hold most of ``rows``.
+
+    ``few`` is broadcast if proven small; else each of its rows is repeated for every salt and ``rows`` are spread over the salts by a hash of
+    themselves, so a hot key becomes ``salts`` keys.
+    """
+    few = cut(few)
+    if estimated_bytes(few) <= BROADCAST_BYTES:
+        return rows.join(F.broadcast(few), on)
+    salted = few.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    return rows.withColumn("_salt", F.pmod(F.xxhash64(*rows.columns), F.lit(salts)).cast("int")).join(salted, [*on, "_salt"]).drop("_salt")
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
