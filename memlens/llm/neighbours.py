@@ -1,7 +1,7 @@
 """The most similar vectors for every vector, by a hierarchical k-means tree.
 
 Every vector is put into the leaves that its best-bin-first walk visits; in each
-leaf all members are compared exactly. Visits are widened until pairs of the
+leaf all members are compared exactly, in blocks where a leaf is large. Visits are widened until pairs of the
 sample share a leaf at the wanted rate.
 """
 
@@ -12,7 +12,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from memlens.llm.vectors import distinct_rows, exact_cosine, fit_trees, matrix, place, row_chunks, split_hot, unpivot
+from memlens.llm.vectors import BLOCK, distinct_rows, exact_cosine, fit_trees, hot_leaves, matrix, place, row_chunks, split_hot, unpivot
+from memlens.runtime import skew_join
 
 #: Slack of the float32 screen before the exact test in double precision.
 SCREEN = 1e-5
@@ -67,7 +68,7 @@ def leaf_neighbours(pdf: pd.DataFrame, k: int, least: float) -> pd.DataFrame:
 
 
 def nearest(
-    df: DataFrame, columns: dict[str, str], k: int = 5, least: float = 0.85, recall: float = 0.998, min_visits: int = 3, max_visits: int = 8, id_col: str = "id"
+    df: DataFrame, columns: dict[str, str], k: int = 5, least: float = 0.85, recall: float = 0.998, min_visits: int = 3, id_col: str = "id"
 ) -> DataFrame:
     """field_name, id, neighbour_id: for each vector its ``k`` most similar others of the field.
 
@@ -79,22 +80,21 @@ def nearest(
     names, blobs = list(columns), list(columns.values())
     fitted = fit_trees(df, blobs, id_col=id_col)
     trees = [fitted[c][0] for c in blobs]
-    visits = [fitted[c][0].calibrate(fitted[c][1], least, recall, min_visits, max_visits) for c in blobs]
+    visits = [fitted[c][0].calibrate(fitted[c][1], least, recall, min_visits) for c in blobs]
     index, kept, rest = split_hot(unpivot(df, blobs, id_col), k + 1)
 
     def leaf(pdf: pd.DataFrame) -> pd.DataFrame:
         return leaf_neighbours(pdf, k, least)
 
     schema = "field int, id string, near array<struct<c:double,n:string>>"
-    lists = place(index, trees, visits).groupBy("field", "leaf").applyInPandas(leaf, schema)
+    lists = place(index, trees, visits, *hot_leaves(index, trees, visits)).groupBy(*BLOCK).applyInPandas(leaf, schema)
     merged = lists.groupBy("field", "id").agg(F.slice(F.array_sort(F.array_distinct(F.flatten(F.collect_list("near")))), 1, k).alias("near"))
     found = merged.select("field", "id", F.explode("near.n").alias("neighbour_id"))
     if rest is not None:  # the other copies of a frequent vector: its smallest ids, cosine 1
-        ok = found.sparkSession.createDataFrame([(i,) for i in range(len(names))], "field int")
-        best = kept.where(F.col("rank") <= k).select("field", "h", F.col("id").alias("neighbour_id"))
-        usable_hot = index.join(kept, ["field", "id"]).groupBy("field", "h").agg(F.first("vec").alias("vec"))
-        usable_hot = place(usable_hot.select("field", F.col("h").cast("string").alias("id"), "vec"), trees, [1] * len(trees)).select("field", F.col("id").cast("long").alias("h"))
-        best = best.join(usable_hot, ["field", "h"], "left_semi").join(F.broadcast(ok), "field")
-        found = found.unionByName(rest.join(best, ["field", "h"]).select("field", "id", "neighbour_id"))
+        first = index.join(kept.where("rank = 1").select("field", "id", "h"), ["field", "id"]).select("field", F.col("h").cast("string").alias("id"), "vec")
+        usable_hot = place(first, trees, [1] * len(trees)).select("field", F.col("id").cast("long").alias("h"))
+        best = kept.where(F.col("rank") <= k).join(usable_hot, ["field", "h"], "left_semi").groupBy("field", "h").agg(F.collect_list("id").alias("best"))
+        more = skew_join(rest, best, ["field", "h"]).select("field", "id", F.explode("best").alias("neighbour_id"))
+        found = found.unionByName(more)
     label = F.element_at(F.array(*[F.lit(n) for n in names]), F.col("field") + 1)
     return found.select(label.alias("field_name"), "id", "neighbour_id")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -22,6 +23,8 @@ LEAF_ROWS, BRANCH, STEPS = 2000, 64, 8
 HELD_OUT = 8
 #: Copies of one vector from which they are collapsed before the index.
 HOT_COPIES = 32
+#: Visits of a leaf from which it is split into blocks, the columns that name a block, and bytes of vectors dealt to one task.
+BLOCK_ROWS, BLOCK, TASK_BYTES = 8000, ("field", "leaf", "i", "j"), 8 << 20
 
 
 def usable(blobs: pd.Series | list, dim: int = DIM) -> np.ndarray:
@@ -134,18 +137,16 @@ class Tree:
                 more[inner], ids[inner] = np.where(kids < 0, -np.inf, score), kids
                 queue, node_of = np.concatenate([queue, more], 1), np.concatenate([node_of, ids], 1)
 
-    def calibrate(self, sample: np.ndarray, threshold: float, recall: float, least: int, most: int, seed: int = 11) -> int:
-        """Fewest visits on both sides at which pairs of at least ``threshold`` share a leaf with rate ``recall``.
+    def near_sample(self, sample: np.ndarray, threshold: float, seed: int = 11) -> tuple[np.ndarray, np.ndarray]:
+        """Pairs of at least ``threshold`` to calibrate with, as two arrays of unit rows.
 
         Pairs of the sample with one of its rows that the tree was not fitted on (see :func:`fit_trees`) are used; where
         there are under 200, pairs made halfway between the threshold and 1 stand in for them.
         """
         x, rng = np.asarray(sample, np.float32), np.random.default_rng(seed)
-        if len(x) < 2 * HELD_OUT:
-            return least
         held = np.arange(0, len(x), HELD_OUT)
         q = rng.choice(held, min(len(held), 4000), replace=False)
-        left, right = [], []
+        left, right = [np.zeros((0, x.shape[1]), np.float32)], [np.zeros((0, x.shape[1]), np.float32)]
         for i in range(0, len(q), 256):
             s = x[q[i : i + 256]] @ x.T
             s[np.arange(len(s)), q[i : i + 256]] = -1
@@ -160,12 +161,31 @@ class Tree:
             d -= (d * a).sum(1, keepdims=True) * a
             cos = (1 + threshold) / 2
             b = cos * a + math.sqrt(1 - cos * cos) * d / np.linalg.norm(d, axis=1, keepdims=True)
-        va, vb = self.visit(a, most), self.visit(b, most)
-        for v in range(least, most):
-            shared = (va[:, :v, None] == vb[:, None, :v]) & (va[:, :v, None] >= 0)
-            if shared.any((1, 2)).mean() >= recall:
-                return v
-        return most
+        return a, b
+
+    def calibrate(self, sample: np.ndarray, threshold: float, recall: float, least: int, one_sided: bool = False) -> int:
+        """Fewest visits at which pairs of at least ``threshold`` share a leaf with rate ``recall``, ``least`` or more.
+
+        Both rows visit so many leaves, or with ``one_sided`` one of them visits its first leaf only. There is no most: visits
+        widen until the rate is reached, and with as many visits as there are leaves every pair meets.
+        """
+        leaves = int(self.leaf.sum())
+        if len(sample) < 2 * HELD_OUT:
+            return leaves if leaves < least else least
+        a, b = self.near_sample(sample, threshold)
+        most, met, done = 8, np.zeros(len(a), bool), 0
+        while True:
+            va, vb = self.visit(a, most), self.visit(b, 1 if one_sided else most)
+            for v in range(done, most):
+                other = slice(0, 1) if one_sided else slice(0, v + 1)
+                met |= ((va[:, v : v + 1] == vb[:, other]) & (va[:, v : v + 1] >= 0)).any(1)
+                if not one_sided:
+                    met |= ((vb[:, v : v + 1] == va[:, :v]) & (vb[:, v : v + 1] >= 0)).any(1)
+                if v + 1 >= min(least, leaves) and met.mean() >= recall:
+                    return v + 1
+            if most >= leaves:
+                return leaves
+            done, most = most, min(2 * most, leaves)
 
 
 def draw(df: DataFrame, columns: list[str], rows: int = SAMPLE_ROWS, id_col: str = "id") -> tuple[pd.DataFrame, int]:
@@ -214,8 +234,38 @@ def split_hot(long: DataFrame, keep: int) -> tuple[DataFrame, DataFrame | None,
     return rare.unionByName(same.join(small(kept.select("field", "id")), ["field", "id"], "left_semi").select("field", "id", "vec")), kept, rest
 
 
-def place(long: DataFrame, trees: list[Tree], visits: list[int]) -> DataFrame:
-    """Each vector once per leaf it visits: (field, leaf, id, vec). Unusable ones fall out."""
+def spread(vec: pd.Series, blocks: int) -> np.ndarray:
+    """The block of a split leaf that each vector belongs to; copies share it."""
+    return np.fromiter((zlib.crc32(v) % blocks for v in vec), np.int32, len(vec))
+
+
+def hot_leaves(long: DataFrame, trees: list[Tree], visits: list[int], rows: int = BLOCK_ROWS) -> tuple[dict[tuple[int, int], int], int]:
+    """Blocks of each (field, leaf) that more than ``rows`` rows visit, and the number of all visits.
+
+    Leaves are as many as the bounded sample allows, so the counts are small at every size.
+    """
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in frames:
+            pdf = pdf[usable(pdf["vec"])]
+            for f, own in pdf.groupby("field"):
+                leaf, n = np.unique(trees[f].visit(matrix(own["vec"]), visits[f]), return_counts=True)
+                yield pd.DataFrame({"field": np.int32(f), "leaf": leaf[leaf >= 0].astype(np.int32), "n": n[leaf >= 0]})
+
+    counts = long.select("field", "vec").mapInPandas(run, "field int, leaf int, n bigint").groupBy("field", "leaf").agg(F.sum("n").alias("n")).toPandas()
+    hot = counts[counts["n"] > rows]
+    return {(int(f), int(x)): -(-int(n) // rows) for f, x, n in hot.itertuples(index=False)}, int(counts["n"].sum())
+
+
+def place(long: DataFrame, trees: list[Tree], visits: list[int], hot: dict[tuple[int, int], int] | None = None, total: int = 0, extra: str = "", lower: bool = False) -> DataFrame:
+    """Each vector once per leaf it visits: (field, leaf, i, j, side, id, vec). Unusable ones fall out.
+
+    A leaf that ``hot`` names is split: each pair (i, j) of its blocks is a group of its own, in which a row stands on the ``side``
+    of its block. Other leaves are one group. ``extra`` columns (as in a schema) come along. ``lower`` adds the leaves before this one
+    that the row visits too, so that a pair can be told where it meets first. Rows are dealt to tasks of about TASK_BYTES each.
+    """
+    hot = hot or {}
+    names = [c.split()[0] for c in extra.split(",")] if extra else []
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in frames:
@@ -224,9 +274,25 @@ def place(long: DataFrame, trees: list[Tree], visits: list[int]) -> DataFrame:
                 leaves = trees[f].visit(matrix(own["vec"]), visits[f])
                 row, _ = np.nonzero(leaves >= 0)
                 at = leaves[leaves >= 0]
-                yield pd.DataFrame({"field": np.int32(f), "leaf": at, "id": own["id"].to_numpy()[row], "vec": own["vec"].to_numpy()[row]})
-
-    return long.select("field", "id", "vec").mapInPandas(run, "field int, leaf int, id string, vec binary")
+                parts = np.fromiter((hot.get((int(f), int(x)), 1) for x in at), np.int64, len(at)) if hot else np.ones(len(at), np.int64)
+                side = np.zeros(len(at), np.int32)
+                if (split := np.flatnonzero(parts > 1)).size:
+                    crc = spread(own["vec"].iloc[row[split]], 1 << 31).astype(np.int64)
+                    side[split] = crc % parts[split]
+                again = np.repeat(np.arange(len(at)), parts)  # a row of a split leaf meets each of its blocks
+                other = (np.arange(len(again)) - np.repeat(np.cumsum(parts) - parts, parts)).astype(np.int32)
+                row, at, side = row[again], at[again], side[again]
+                out = {"field": np.int32(f), "leaf": at, "i": np.minimum(side, other), "j": np.maximum(side, other), "side": side}
+                out |= {c: own[c].to_numpy()[row] for c in ("id", "vec", *names)}
+                if lower:
+                    out["lower"] = [x[(x >= 0) & (x < y)] for x, y in zip(leaves[row], at)]
+                yield pd.DataFrame(out)
+
+    schema = "field int, leaf int, i int, j int, side int, id string, vec binary" + (f", {extra}" if extra else "") + (", lower array<int>" if lower else "")
+    placed = long.select("field", "id", "vec", *names).mapInPandas(run, schema)
+    if total:
+        placed = placed.repartition(max(8, -(-total * (4 * DIM + 64) // TASK_BYTES)), *BLOCK)
+    return placed
 
 
 def distinct_rows(vec: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

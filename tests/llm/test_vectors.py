@@ -4,7 +4,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from memlens.llm.clusters import block_labels, clusters, describe
+from memlens.llm import vectors
+from memlens.llm.clusters import clusters, describe
 from memlens.llm.history import History
 from memlens.llm.neighbours import nearest
 from memlens.llm.vectors import DIM, Tree, matrix, usable
@@ -91,7 +92,7 @@ def test_tree_recall_on_many_leaves():
     x = v / np.linalg.norm(v, axis=1)[:, None]
     tree = Tree(x[::2], len(x), leaf_rows=100)
     assert tree.leaf.sum() > 40
-    visits = tree.calibrate(x[::2], 0.8, 0.99, 1, 12)
+    visits = tree.calibrate(x[::2], 0.8, 0.99, 1)
     at = tree.visit(x, visits)
     c = x @ x.T
     np.fill_diagonal(c, 0)
@@ -141,13 +142,58 @@ def test_density_counts_all_copies_of_a_frequent_vector(spark):
     assert [r.typical for r in describe(found).collect()] == [[f"m{i:05d}" for i in best]]
 
 
-def test_chains_of_neighbours_are_one_block_cluster():
-    angles = np.arange(30) * 0.4  # each near the next only
-    v = np.zeros((30, DIM), "<f4")
-    v[:, 0], v[:, 1] = np.cos(angles), np.sin(angles)
-    v = v[:8]
-    label, density = block_labels(np.arange(8), np.array([r.tobytes() for r in v], object), 0.85)
-    assert (label == 0).all() and density[0] == 1 and density[3] == 2
+def peaks_of(v, ids, least):
+    """Density, delta and peak of every row by the definition."""
+    c = cosines(v)
+    near = c >= least
+    density = near.sum(1) - 1
+    rank = {i: r for r, i in enumerate(sorted(range(len(v)), key=lambda i: (-density[i], ids[i])))}
+    up = {}
+    for i in range(len(v)):
+        denser = [j for j in range(len(v)) if near[i, j] and rank[j] < rank[i]]
+        up[i] = min(denser, key=lambda j: (-round(c[i, j], 9), rank[j]), default=None)
+    out = {}
+    for i in range(len(v)):
+        at = i
+        while up[at] is not None:
+            at = up[at]
+        out[ids[i]] = (density[i], None if up[i] is None else round(1 - c[i, up[i]], 6), ids[at])
+    return {k: t for k, t in out.items() if t[0]}
+
+
+@pytest.mark.parametrize("rows", [8000, 40])
+def test_density_delta_and_peaks_are_global(spark, monkeypatch, rows):
+    """Chains of groups over many leaves, with leaves split into blocks too."""
+    monkeypatch.setattr(vectors, "LEAF_ROWS", 60)
+    monkeypatch.setattr("memlens.llm.vectors.hot_leaves.__defaults__", (rows,))
+    monkeypatch.setattr("memlens.llm.vectors.fit_trees.__defaults__", (60, "id"))
+    angles = np.random.default_rng(4).uniform(0, 12, 150)
+    v = np.concatenate([groups(60, 4, 0.35, seed=2), np.zeros((150, DIM), "<f4")])
+    v[240:, 0], v[240:, 1], v[240:, 2] = np.cos(angles), np.sin(angles), angles / 3
+    ids = [f"m{i:05d}" for i in range(len(v))]
+    got = {r.id: (r.density, r.delta if r.delta is None else round(r.delta, 6), r.peak) for r in clusters(table(spark, triple(v)), BLOBS[0], recall=1.0).collect()}
+    truth = peaks_of(v, ids, 0.85)
+    assert got == truth and len({t[2] for t in truth.values()}) > 50
+    label = true_groups(v, 0.85)
+    found = {(r.cluster_id, r.id) for r in clusters(table(spark, triple(v)), BLOBS[0], recall=1.0).collect()}
+    assert found == {(ids[label[i]], ids[i]) for i in range(len(v)) if (label == label[i]).sum() > 1}
+
+
+def test_neighbours_in_split_leaves(spark, monkeypatch):
+    v = groups(30, 8, 0.3, seed=6)
+    plain = {tuple(r) for r in nearest(table(spark, triple(v)), {"context": BLOBS[0]}, k=5).collect()}
+    monkeypatch.setattr("memlens.llm.vectors.hot_leaves.__defaults__", (50,))
+    assert {tuple(r) for r in nearest(table(spark, triple(v)), {"context": BLOBS[0]}, k=5).collect()} == plain and len(plain) > 1000
+
+
+def test_visits_widen_until_the_rate_is_reached():
+    rng = np.random.default_rng(0)
+    x = rng.standard_normal((3000, DIM))
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    tree = Tree(x, len(x), leaf_rows=30)
+    leaves = int(tree.leaf.sum())
+    assert leaves > 30 and 8 < tree.calibrate(x, 0.1, 0.97, 1) <= leaves and tree.calibrate(x, 0.5, 1.1, 1) == leaves
+    assert tree.calibrate(x, 0.5, 0.97, 1, one_sided=True) >= tree.calibrate(x, 0.5, 0.97, 1)
 
 
 def greedy(old, new, least):
