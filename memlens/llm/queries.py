@@ -17,9 +17,11 @@ from memlens.runtime import table
 
 
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    # all pending batches in one call: the same cases as one by one, with one pass over the runs
-    history = History(table(spark, sf_dir, "memories"))
-    return history.absorb(table(spark, sf_dir, "memory_intake"), ["batch_no", "arrival_no"]).select("arrival_no")
+    history, intake = History(table(spark, sf_dir, "memories")), table(spark, sf_dir, "memory_intake")
+    found = intake.select("arrival_no").limit(0)
+    for batch in intake.select("batch_no").distinct().orderBy("batch_no").collect():  # as they came in, each against all before
+        found = found.unionByName(history.absorb(intake.where(F.col("batch_no").eqNullSafe(batch[0])), ["batch_no", "arrival_no"]).select("arrival_no"))
+    return found
 
 
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from memlens.llm import vectors
+from memlens.llm import history, vectors
 from memlens.llm.clusters import clusters, describe
 from memlens.llm.history import History
 from memlens.llm.neighbours import nearest
@@ -221,17 +221,19 @@ def test_history_accepts_as_one_by_one(spark, together):
     old, new = v[order[:60]], v[order[60:]]
     new = np.concatenate([new, new[:5], old[:2]])
     truth = greedy(old, new, 0.95)
-    history = History(table(spark, old))
+    store = History(table(spark, old))
     if together:
-        got = [r.arrival for r in history.absorb(batch(spark, new), ["arrival"]).collect()]
+        got = [r.arrival for r in store.absorb(batch(spark, new), ["arrival"]).collect()]
     else:
         got = []
         for i in range(0, len(new), 90):
-            got += [r.arrival for r in history.absorb(batch(spark, new[i : i + 90], i), ["arrival"]).collect()]
-        assert len(history.runs) == 1 + -(-len(new) // 90)
-        history.compact(1)
-        assert len(history.runs) == 1
-        assert history.absorb(batch(spark, new), ["arrival"]).count() == len(new)
+            got += [r.arrival for r in store.absorb(batch(spark, new[i : i + 90], i), ["arrival"]).collect()]
+        assert len(store.runs) == 1 + -(-len(new) // 90)
+        store.compact(1)
+        assert len(store.runs) == 1
+        again = History.open(spark, store.path)  # as another process would
+        assert again.absorb(batch(spark, new), ["arrival"]).count() == len(new)
+        assert len(History.open(spark, store.path).runs) == len(again.runs)
     assert sorted(got) == truth and len(truth) > 50
 
 
@@ -252,6 +254,39 @@ def test_history_asks_for_more_neighbours_than_it_lists(spark):
     assert sorted(r.arrival for r in got.collect()) == truth
 
 
+def test_history_reads_only_the_ranges_of_a_batch(spark, monkeypatch):
+    """A record reads the same few files of a history ten times as large, and small runs are merged on the way."""
+    monkeypatch.setattr(history, "PART_ROWS", 100)
+    monkeypatch.setattr(history, "LEAF_ROWS", 20)
+    v = triple(groups(1000, 2, 0.2, seed=8))
+    read = []
+    for rows in (200, 2000):
+        h = History(table(spark, v[:rows]))
+        assert [r.arrival for r in h.absorb(batch(spark, v[3:4]), ["arrival"]).collect()] == [0]
+        read.append(h.touched)
+    most = sum(k.probes for k in h.keys.values())  # a file for each leaf looked into, however many there are
+    assert read[0][1] <= 5 and read[1][1] > 36 and read[1][0] <= most and read[1][0] < 14
+    for i in range(6):
+        h.append(spark.createDataFrame([(b.tobytes(), b.tobytes(), b.tobytes()) for b in groups(5, 1, 0, seed=20 + i)], "vec0 binary, vec1 binary, vec2 binary"))
+        h.compact()
+    assert len(h.runs) <= 5 and max(r["rows"] for r in h.runs) == 2000
+
+
+def test_history_holds_equal_rows_once(spark):
+    v = triple(np.concatenate([np.repeat(groups(1, 1, 0), 500, 0), groups(20, 2, 0.1, seed=3)]))
+    h = History(table(spark, v))
+    assert h._read(h.runs).count() == 2 * 41
+    assert h.absorb(batch(spark, v[:2]), ["arrival"]).count() == 2
+
+
+def test_a_batch_in_split_leaves(spark, monkeypatch):
+    v = triple(groups(40, 8, 0.22, seed=5))
+    truth = greedy([], v, 0.95)
+    monkeypatch.setattr(history, "BLOCK_ROWS", 30)
+    got = History(table(spark, v[:0])).absorb(batch(spark, v), ["arrival"])
+    assert sorted(r.arrival for r in got.collect()) == truth
+
+
 def test_history_of_nothing(spark):
     v = triple(groups(3, 1, 0))
     assert History(table(spark, v[:0])).absorb(batch(spark, v[:0]), ["arrival"]).count() == 0
