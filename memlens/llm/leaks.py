@@ -17,11 +17,12 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from memlens.runtime import skew_join
 
 WORD = regex.compile(r"[\p{L}\p{N}]+")
 DROPPED = regex.compile(r"[\p{M}\p{Cf}]+")
-#: Seeds of one broadcast block of items; more items are taken in several blocks, and past MOST_BLOCKS by a join.
-BLOCK_SEEDS, MOST_BLOCKS = 1_000_000, 8
+#: Seeds of items that are broadcast as sorted arrays; more are joined, behind a broadcast bitmap of so many bits.
+BROADCAST_SEEDS, BITMAP = 1_000_000, 1 << 26
 _BASE = 0x9E3779B97F4A7C15
 _M = (1 << 64) - 1
 
@@ -133,22 +134,40 @@ def _by_block(docs: DataFrame, key: str, text: str, items: list[tuple[str, np.nd
 
 
 def _by_join(docs: DataFrame, key: str, text: str, items: DataFrame, shortest: int) -> DataFrame:
-    """Seeds of both sides joined by their hash; whole texts are fetched for pairs that share one."""
+    """Seeds of both sides joined by their hash; whole texts are fetched for pairs that share one.
+
+    A document gives only seeds that the items' bitmap may hold, so what moves is about what leaks; a stock phrase of many documents is
+    spread over many keys.
+    """
     kind = dict(docs.select(F.col(key).alias("_key")).dtypes)["_key"]
 
-    def seeds(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        cache: dict[str, int] = {}
-        for pdf in frames:
-            for k, t in zip(pdf["_key"], pdf["_text"]):
-                h = np.unique(running(codes(words(t), cache), shortest)).view(np.int64)
-                if len(h):
-                    yield pd.DataFrame({"_key": [k] * len(h), "h": h})
+    def seeds_with(bits):
+        def seeds(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            cache: dict[str, int] = {}
+            for pdf in frames:
+                keys, found = [], []
+                for k, t in zip(pdf["_key"], pdf["_text"]):
+                    h = np.unique(running(codes(words(t), cache), shortest))
+                    if bits is not None:
+                        at = (h & np.uint64(BITMAP - 1)).astype(np.int64)
+                        h = h[(bits.value[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1]
+                    keys += [k] * len(h)
+                    found.append(h.view(np.int64))
+                yield pd.DataFrame({"_key": pd.Series(keys, dtype=pdf["_key"].dtype), "h": np.concatenate([np.zeros(0, np.int64), *found])})
+
+        return seeds
 
     d = docs.select(F.col(key).alias("_key"), F.col(text).alias("_text"))
     i = items.select(F.col("item_id").alias("_key"), F.col("passage").alias("_text"))
-    ds = d.mapInPandas(seeds, f"_key {kind}, h bigint")
-    is_ = i.mapInPandas(seeds, "_key string, h bigint").withColumnRenamed("_key", "item_id")
-    pairs = ds.join(is_, "h").select("_key", "item_id").distinct()
+    is_ = i.mapInPandas(seeds_with(None), "_key string, h bigint").withColumnRenamed("_key", "item_id")
+    place = F.col("h").bitwiseAND(BITMAP - 1) + 1  # the bitmap functions number positions from 1
+    parts = is_.select(place.alias("p")).groupBy(F.bitmap_bucket_number("p").alias("b")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("p")).alias("bits"))
+    bitmap = np.zeros(BITMAP // 8, np.uint8)
+    for b, raw in parts.toPandas().itertuples(index=False):
+        part = np.frombuffer(raw, np.uint8)
+        bitmap[(b - 1) * len(part) : b * len(part)] |= part
+    ds = d.mapInPandas(seeds_with(docs.sparkSession.sparkContext.broadcast(bitmap)), f"_key {kind}, h bigint")
+    pairs = skew_join(ds, is_, ["h"], 16).select("_key", "item_id").distinct()
 
     def check(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         cache: dict[str, int] = {}
@@ -163,39 +182,27 @@ def _by_join(docs: DataFrame, key: str, text: str, items: DataFrame, shortest: i
                     out.append((k, item_id, longest, coverage))
             yield pd.DataFrame(out, columns=["_key", "item_id", "longest", "coverage"])
 
-    full = pairs.join(d, "_key").join(i.select(F.col("_key").alias("item_id"), F.col("_text").alias("_passage")), "item_id")
+    full = pairs.withColumnRenamed("_key", "_k").join(d, F.col("_k").eqNullSafe(F.col("_key"))).drop("_k").join(i.select(F.col("_key").alias("item_id"), F.col("_text").alias("_passage")), "item_id")
     return full.mapInPandas(check, f"_key {kind}, item_id string, {FOUND}")
 
 
-def leaks(docs: DataFrame, items: DataFrame, shortest: int = 12, key: str = "doc_id", text: str = "text", block_seeds: int = BLOCK_SEEDS) -> DataFrame:
+def leaks(docs: DataFrame, items: DataFrame, shortest: int = 12, key: str = "doc_id", text: str = "text", coverage: float = 0.0, broadcast_seeds: int = BROADCAST_SEEDS) -> DataFrame:
     """(key, item_id, longest, coverage) of each document that holds ``shortest`` words in a row of an item.
 
-    ``coverage`` is the share of the item's words in tiles. Null and empty texts
-    and items under ``shortest`` words are in no pair; whole texts are compared, copies and ties alike.
-    Items are the query set: their seeds are broadcast in blocks of a checked
-    size, and joined by shuffle where they would take too many blocks.
+    ``coverage`` is the share of the item's words in tiles, wherever they stand; pairs under the ``coverage`` asked for are left out.
+    Null and empty texts and items under ``shortest`` words are in no pair; whole texts are compared, copies and ties alike.
+    Items are the query set: the corpus is read once, against their broadcast seeds where these are proven few, else by a join.
     """
     known = items.where(F.col("item_id").isNotNull() & F.col("passage").isNotNull()).select(F.col("item_id").cast("string").alias("item_id"), "passage")
     # at least two characters a word, so this bounds the seeds from above before anything is collected
     bound = known.agg(F.coalesce(F.sum(F.length("passage")), F.lit(0))).first()[0] // 2
-    if bound > block_seeds * MOST_BLOCKS:
-        return _by_join(docs, key, text, known, shortest).withColumnRenamed("_key", key)
-    cache: dict[str, int] = {}
-    coded = [(r["item_id"], codes(words(r["passage"]), cache)) for r in known.toLocalIterator()]
-    blocks: list[list] = [[]]
-    size = 0
-    for item in coded:
-        n = max(0, len(item[1]) - shortest + 1)
-        if size + n > block_seeds and blocks[-1]:
-            blocks.append([])
-            size = 0
-        if n:
-            blocks[-1].append(item)
-            size += n
-    out = _by_block(docs, key, text, blocks[0], shortest)
-    for block in blocks[1:]:
-        out = out.unionByName(_by_block(docs, key, text, block, shortest))
-    return out.withColumnRenamed("_key", key)
+    if bound > broadcast_seeds:
+        out = _by_join(docs, key, text, known, shortest)
+    else:
+        cache: dict[str, int] = {}
+        coded = [(r["item_id"], codes(words(r["passage"]), cache)) for r in known.toLocalIterator()]
+        out = _by_block(docs, key, text, [c for c in coded if len(c[1]) >= shortest], shortest)
+    return out.where(F.col("coverage") >= coverage).withColumnRenamed("_key", key)
 
 
 def report(found: DataFrame) -> DataFrame:

@@ -1,8 +1,8 @@
 """Reading level of English prose, by smoothed unigram language models per grade.
 
 The models are trained on rated documents. A document's running prose is what is
-left without headings, code, tables, lists of values and markup; it is graded if
-enough of it is English.
+left without headings, code, tables, lists of values and markup. Whether it is English prose is learnt
+from the rated documents too: by the words that many of them share, and how much of a text these make up.
 """
 
 from __future__ import annotations
@@ -16,18 +16,14 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from memlens.runtime import cut
+
 #: Rated documents the models are fitted on at most (drawn by hash of the id), words of prose a case needs,
-#: share of function words in English prose, share of prose in a document that is mainly prose, additive smoothing.
-RATED_DOCUMENTS, LEAST_WORDS, ENGLISH_SHARE, PROSE_SHARE, SMOOTHING = 50_000, 40, 0.15, 0.5, 0.1
-
-# English function words.
-FUNCTION_WORDS = frozenset(
-    """a about above across after again all also although an and another any are as at be because been before being below between both but by can
-    could did do does during each either every few for from had has have he her here him his how i if in inside into is it its many may might more
-    most much must my near neither no nor not of off on one only onto or other our out over own same shall she should since so some such than that
-    the their them then there these they this those though through to too under unless until up upon us very was we were what when where whether
-    which while who whom whose why will with within without would yet you your behind beyond""".split()
-)
+#: share of prose in a document that is mainly prose, additive smoothing.
+RATED_DOCUMENTS, LEAST_WORDS, PROSE_SHARE, SMOOTHING = 50_000, 40, 0.5, 0.1
+#: A word is common if it is in this share of the rated documents; a text is of their kind if its share of common words
+#: reaches SLACK times the share that all but one in TAIL of them reach.
+COMMON, SLACK, TAIL = 0.3, 0.7, 200
 
 _FENCE = regex.compile(r"(?ms)^[ \t]*(```|~~~).*?(?:^[ \t]*\1[^\n]*$|\Z)")
 _FRONT = regex.compile(r"(?s)\A\s*---\s*\n.*?\n---\s*(?:\n|\Z)")
@@ -53,24 +49,35 @@ def prose_lines(text: str) -> list[str]:
     return out
 
 
-def prose_words(text: str | None) -> list[str]:
-    """Words of running prose, in lower case, if the text is mainly English prose of enough words; else none."""
+class Gate:
+    """Tells texts of the kind of the rated documents by their common words, which no list names."""
+
+    def __init__(self, common: set[str], share: float):
+        self.common, self.share = frozenset(common), share
+
+    def of(self, words: list[str]) -> float:
+        return sum(w in self.common for w in words) / max(1, len(words))
+
+    def passes(self, words: list[str]) -> bool:
+        return self.of(words) >= self.share
+
+
+def prose_words(text: str | None, gate: Gate | None = None) -> list[str]:
+    """Words of running prose, in lower case, if the text is mainly prose of enough words that passes the gate; else none."""
     if not text:
         return []
     lines = prose_lines(text)
-    words = [w.lower().replace("​", "").replace("­", "").replace("’", "'") for s in lines for w in _TOKEN.findall(s)]
-    if len(words) < LEAST_WORDS:
-        return []
-    whole = len(_ANY.findall(text))
-    if len(words) < PROSE_SHARE * whole or sum(w in FUNCTION_WORDS for w in words) < ENGLISH_SHARE * len(words):
+    words = [w.lower().replace("\u200b", "").replace("\u00ad", "").replace("\u2019", "'") for s in lines for w in _TOKEN.findall(s)]
+    if len(words) < LEAST_WORDS or len(words) < PROSE_SHARE * len(_ANY.findall(text)):
         return []
-    return words
+    return words if gate is None or gate.passes(words) else []
 
 
 class GradeModel:
     """Log-likelihood of each word under each grade, for at most the words of RATED_DOCUMENTS documents."""
 
-    def __init__(self, counts: pd.DataFrame, documents: pd.DataFrame):
+    def __init__(self, counts: pd.DataFrame, documents: pd.DataFrame, gate: Gate | None = None):
+        self.gate = gate
         self.grades = sorted(int(g) for g in documents["grade"])
         place = {g: i for i, g in enumerate(self.grades)}
         vocabulary = sorted(set(counts["word"]))
@@ -105,27 +112,39 @@ def consensus(labels: DataFrame) -> DataFrame:
 
 
 def fit(docs: DataFrame, labels: DataFrame, most: int = RATED_DOCUMENTS) -> GradeModel:
-    """Models of the grades. At most ``most`` rated documents are used, all of their words."""
+    """Models of the grades and the gate. At most ``most`` rated documents are used, all of their words."""
     rated = consensus(labels)
     total = rated.count()
     if total > most:
         rated = rated.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < int(1_000_000 * most / total))
+    own = cut(docs.select("doc_id", "text").join(rated, "doc_id").select("grade", "text"))
 
     def count(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in frames:
             by: dict[int, Counter] = {}
+            inside: dict[int, Counter] = {}
             docs_of: Counter = Counter()
             for g, t in zip(pdf["grade"], pdf["text"]):
                 if w := prose_words(t):
                     by.setdefault(int(g), Counter()).update(w)
+                    inside.setdefault(int(g), Counter()).update(set(w))
                     docs_of[int(g)] += 1
-            rows = [(g, w, n) for g, c in by.items() for w, n in c.items()] + [(g, None, n) for g, n in docs_of.items()]
-            yield pd.DataFrame(rows, columns=["grade", "word", "n"]).astype({"grade": "int32", "n": "int64"})
+            rows = [(g, w, n, inside[g][w]) for g, c in by.items() for w, n in c.items()] + [(g, None, n, n) for g, n in docs_of.items()]
+            yield pd.DataFrame(rows, columns=["grade", "word", "n", "docs"]).astype({"grade": "int32", "n": "int64", "docs": "int64"})
+
+    rows = own.mapInPandas(count, "grade int, word string, n bigint, docs bigint")
+    pdf = rows.groupBy("grade", "word").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs")).toPandas()
+    told = pdf["word"].isna()
+    documents = pdf[told].rename(columns={"n": "documents"})[["grade", "documents"]]
+    frequent = pdf[~told].groupby("word")["docs"].sum()
+    gate = Gate(set(frequent[frequent >= COMMON * documents["documents"].sum()].index), 0.0)
+
+    def shares(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in frames:
+            yield pd.DataFrame({"share": [gate.of(w) for t in pdf["text"] if (w := prose_words(t))]}, dtype=float)
 
-    rows = docs.select("doc_id", "text").join(rated, "doc_id").mapInPandas(count, "grade int, word string, n bigint")
-    pdf = rows.groupBy("grade", "word").agg(F.sum("n").alias("n")).toPandas()
-    documents = pdf[pdf["word"].isna()].rename(columns={"n": "documents"})[["grade", "documents"]]
-    return GradeModel(pdf[pdf["word"].notna()], documents)
+    tail = own.mapInPandas(shares, "share double").agg(F.percentile_approx("share", 1 / TAIL).alias("s")).first()["s"]
+    return GradeModel(pdf[~told], documents, Gate(gate.common, SLACK * (tail or 0.0)))
 
 
 def reading_levels(docs: DataFrame, model: GradeModel, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
@@ -138,7 +157,7 @@ def reading_levels(docs: DataFrame, model: GradeModel, keep: tuple[str, ...] = (
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         m = shared.value
         for pdf in frames:
-            grades = [m.grade(w) if (w := prose_words(t)) else None for t in pdf["_text"]]
+            grades = [m.grade(w) if (w := prose_words(t, m.gate)) else None for t in pdf["_text"]]
             out = pdf.drop(columns="_text").assign(grade=pd.array(grades, "Int32"))
             yield out[out["grade"].notna()]
 

@@ -144,10 +144,11 @@ def test_leaks_find_runs_of_twelve(spark):
     assert {r.item_id: r.documents for r in report(found).collect()} == {"a": 6, "b": 1, "e": 1}
 
 
-def test_leaks_in_blocks_and_by_join_are_the_same(spark):
+def test_leaks_by_broadcast_and_by_join_are_the_same(spark):
     docs, items = leak_tables(spark)
     want = sorted(map(tuple, leaks(docs, items).collect()))
-    assert sorted(map(tuple, leaks(docs, items, block_seeds=60).collect())) == want
+    assert sorted(map(tuple, leaks(docs, items, broadcast_seeds=60).collect())) == want
+    assert sorted(map(tuple, leaks(docs, items, coverage=0.9, broadcast_seeds=60).collect())) == [w for w in want if w[3] >= 0.9] != want
     joined = _by_join(docs.where("doc_id <> 5"), "doc_id", "text", items.where("item_id is not null and passage is not null"), 12)
     assert sorted(map(tuple, joined.collect())) == [w for w in want if w[0] != 5]
     assert leaks(docs.limit(0), items).count() == 0 and leaks(docs, items.limit(0)).count() == 0
@@ -176,6 +177,35 @@ def test_reading_levels_of_prose_only(spark):
     assert got == {**dict.fromkeys([0, 1, 2, 3, 4, 27], 1), **dict.fromkeys([10, 11, 12, 13, 14, 28], 5)}
 
 
+def test_the_gate_is_learnt(spark):
+    """What rated documents share tells their kind; other words, however many, don't pass."""
+    docs, labels = grade_tables(spark)
+    model = fit(docs, labels)
+    assert {"the", "cat", "institutional"} <= model.gate.common and "hund" not in model.gate.common and 0 < model.gate.share < 1
+    assert model.gate.passes(EASY.lower().replace(".", "").split()) and not model.gate.passes("der hund und die katze".split())
+
+
+def test_held_out_gate():
+    """The gate of one half of the rated documents passes the other half, and of documents labelled with another language only those that are English all the same."""
+    import pyarrow.parquet as pq
+
+    from memlens.llm.reading import COMMON, SLACK, TAIL, Gate
+
+    d = "/root/testdata/sf0.1"
+    docs = pq.read_table(f"{d}/documents.parquet", columns=["doc_id", "text", "lang"]).to_pandas().set_index("doc_id")
+    rated = sorted(pq.read_table(f"{d}/reading_labels.parquet").to_pandas().dropna()["doc_id"].unique())
+    known, held = ([prose_words(docs["text"][i]) for i in rated[k::2]] for k in (0, 1))
+    inside = Counter(w for words in known for w in set(words))
+    gate = Gate({w for w, n in inside.items() if n >= COMMON * len(known)}, 0)
+    gate = Gate(gate.common, SLACK * sorted(map(gate.of, known))[len(known) // TAIL])
+    assert np.mean([gate.passes(w) for w in held]) > 0.995
+    foreign = docs[docs["lang"].isin(["de", "fr", "es", "ru", "zh", "ja", "it", "pt", "nl"])]
+    passed = [t for t in foreign["text"] if (w := prose_words(t)) and gate.passes(w)]
+    stop = set("the a an our one this each every and".split())
+    english = [sum(w in stop for w in prose_words(t)) / len(prose_words(t)) for t in passed]
+    assert min(english, default=1) > 0.05  # what passes is English prose under a wrong label
+
+
 def test_reading_levels_without_labels_or_texts(spark):
     docs, labels = grade_tables(spark)
     assert reading_levels(docs, fit(docs, labels.limit(0))).count() == 0
