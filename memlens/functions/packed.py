@@ -11,8 +11,6 @@ from pyspark.sql import functions as F
 
 #: Marks a placeholder. Where it stands in the text outside quotes it is a delimiter, so none can collide.
 MARK = "\ue000"
-#: Layers of JSON text around a whole field, and around one value, that are undone.
-FIELD_LAYERS, VALUE_LAYERS = 4, 3
 
 _SPAN = r"""(?s)"[^"\\]*+(?:(?:\\.|"")[^"\\]*+)*+"|'[^'\\]*+(?:\\.[^'\\]*+)*+'"""
 _WHOLE = r"""(?s)^\s*"[^"\\]*+(?:\\.[^"\\]*+)*+"\s*$"""
@@ -27,8 +25,10 @@ def _json_string(text: Column) -> Column:
     return F.from_json(F.concat(F.lit("["), text, F.lit("]")), "array<string>", {"allowUnquotedControlChars": "true"})[0]
 
 
-def _repeat(start: Column, times: int, step) -> Column:
-    return F.aggregate(F.array_repeat(F.lit(0), times), start, lambda acc, _: step(acc))
+def _repeat(start: Column, step) -> Column:
+    """``step`` until it changes nothing more: each layer of encoding doubles the escapes, so there are no more layers than the logarithm of the length."""
+    layers = F.when(start.rlike(_WHOLE), F.floor(F.log2(F.length(start).cast("double"))) + 2).otherwise(0).cast("int")
+    return F.aggregate(F.array_repeat(F.lit(0), layers), start, lambda acc, _: step(acc))
 
 
 def _unwrap_field(text: Column) -> Column:
@@ -38,7 +38,7 @@ def _unwrap_field(text: Column) -> Column:
         inner = _json_string(t)
         return F.when(t.rlike(_WHOLE) & inner.rlike(r"""^\s*[\[{"]"""), inner).otherwise(t)
 
-    return _repeat(text, FIELD_LAYERS, step)
+    return _repeat(text, step)
 
 
 def _decode_span(span: Column) -> Column:
@@ -52,7 +52,7 @@ def _decode_span(span: Column) -> Column:
         inner = _json_string(t)
         return F.when(t.rlike(_WHOLE) & inner.isNotNull(), inner).otherwise(t)
 
-    return _repeat(plain, VALUE_LAYERS, step)
+    return _repeat(plain, step)
 
 
 def split_packed(text: Column, kind: str = "tag") -> Column:

@@ -6,6 +6,7 @@ import re
 import unicodedata
 from functools import lru_cache
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -25,8 +26,8 @@ def probe_text(text: Column) -> Column:
 
 
 def plain_tokens(text: Column) -> Column:
-    """Unstemmed analyser: lower case runs of ASCII letters and digits."""
-    return F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit("[a-z0-9]+"), F.lit(0))
+    """Unstemmed analyser: lower case runs of letters and digits of any script."""
+    return F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(r"[\p{L}\p{N}]+"), F.lit(0))
 
 
 def judge_tokens(text: Column) -> Column:
@@ -131,9 +132,23 @@ def analyze_text(text: str | None) -> list[str]:
 
 
 @F.pandas_udf(T.ArrayType(T.StringType()))
-def stemmed_tokens(text: pd.Series) -> pd.Series:
-    """Stemming analyser: fold case and diacritics, split at other characters, Porter stem."""
-    return text.map(analyze_text)
+def _stem_words(words: pd.Series) -> pd.Series:
+    """Terms of the words of each row: every distinct word of the batch is analysed once."""
+    size = words.map(len).to_numpy()
+    if not size.sum():
+        return pd.Series([[] for _ in size], dtype=object)
+    code, kinds = pd.factorize(np.concatenate(words.to_list()))
+    terms = [analyze_text(w) for w in kinds]
+    if all(len(t) == 1 for t in terms):
+        flat = np.array([t[0] for t in terms], object)[code]
+        return pd.Series(np.split(flat, np.cumsum(size)[:-1]))
+    ends = np.cumsum(size)
+    return pd.Series([[t for c in code[e - n : e] for t in terms[c]] for e, n in zip(ends, size)])
+
+
+def stemmed_tokens(text: Column) -> Column:
+    """Stemming analyser: fold case and diacritics, split at other characters, Porter stem. Texts are split in the JVM."""
+    return _stem_words(F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(r"[\p{L}\p{M}\p{N}]+"), F.lit(0)))
 
 
 # -- tags
@@ -192,12 +207,6 @@ def merge_verdict(reply: Column) -> Column:
     return F.when(F.upper(first) == "MERGE", "merge").otherwise("keep")
 
 
-def reply_score(reply: Column) -> Column:
-    """Score of a JSON reply {score, reason}, clamped to [0, 1]; null if unreadable."""
-    score = F.from_json(reply, "score double, reason string", {"mode": "PERMISSIVE"})["score"]
-    return F.when(score.isNotNull(), F.greatest(F.least(score, F.lit(1.0)), F.lit(0.0)))
-
-
 def audit_ids(raw: Column) -> Column:
     """Ids of an audit row: the JSON array, or the raw text as one id."""
     return F.coalesce(json_strings(raw), F.array(raw))

@@ -6,11 +6,11 @@ import struct
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-FNV_OFFSET, FNV_PRIME, MASK = 0xCBF29CE484222325, 0x100000001B3, (1 << 64) - 1
+FNV_OFFSET, FNV_PRIME = 0xCBF29CE484222325, 0x100000001B3
 
 
 def decode(blob: bytes | None) -> np.ndarray | None:
@@ -27,6 +27,22 @@ def blob_to_vector(blob: pd.Series) -> pd.Series:
     return blob.map(decode)
 
 
+def usable_vector(blob: Column, dim: int) -> Column:
+    """The vector of a blob of exactly ``dim`` finite float32 that are not all zero, else null."""
+
+    def run(blobs: pd.Series) -> pd.Series:
+        ok = blobs.map(lambda b: b is not None and len(b) == 4 * dim).to_numpy(bool)
+        out = pd.Series([None] * len(blobs), dtype=object)
+        if ok.any():
+            v = np.frombuffer(b"".join(blobs[ok]), "<f4").reshape(-1, dim)
+            good = np.isfinite(v).all(1) & (v != 0).any(1)
+            at = np.flatnonzero(ok)[good]
+            out.iloc[at] = pd.Series(list(v[good]), index=at, dtype=object)
+        return out
+
+    return F.pandas_udf(run, T.ArrayType(T.FloatType()))(blob)
+
+
 @F.pandas_udf(T.BinaryType())
 def vector_to_blob(vector: pd.Series) -> pd.Series:
     return vector.map(lambda v: None if v is None else np.asarray(v, "<f4").tobytes())
@@ -56,20 +72,42 @@ def deterministic_embedding(dim: int):
     return run
 
 
-def fnv1a(data: bytes) -> int:
-    h = FNV_OFFSET
-    for byte in data:
-        h = ((h ^ byte) * FNV_PRIME) & MASK
+def fnv1a(texts: list[bytes]) -> np.ndarray:
+    """FNV-1a of each text, a byte of all texts at a time, so steps are as many as the longest has bytes."""
+    h = np.full(len(texts), FNV_OFFSET, np.uint64)
+    size = np.fromiter(map(len, texts), np.int64, len(texts))
+    flat = np.frombuffer(b"".join(texts), np.uint8)
+    start = np.cumsum(size) - size
+    by = np.argsort(-size, kind="stable")
+    for i in range(int(size.max(initial=0))):
+        by = by[size[by] > i]
+        h[by] = (h[by] ^ flat[start[by] + i]) * np.uint64(FNV_PRIME)
     return h
 
 
 @F.pandas_udf(T.LongType())
 def fnv1a_64(text: pd.Series) -> pd.Series:
     """FNV-1a of the UTF-8 bytes, as the signed integer of the same bits."""
-    return text.map(lambda t: None if t is None else int(np.uint64(fnv1a(t.encode())).astype(np.int64)))
+    have = text.notna().to_numpy()
+    out = pd.array(np.zeros(len(text), np.int64), "Int64")
+    out[have] = fnv1a([t.encode() for t in text[have]]).view(np.int64)
+    out[~have] = pd.NA
+    return pd.Series(out)
 
 
 @F.pandas_udf(T.DoubleType())
 def hash_uniform(h: pd.Series) -> pd.Series:
     """A number in [0, 1) from a 64-bit hash."""
-    return h.map(lambda x: None if x is None else (((int(x) & MASK) * 0x9E3779B97F4A7C15 & MASK) >> 11) / float(1 << 53))
+    bits = h.fillna(0).astype("int64").to_numpy().view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    return pd.Series((bits >> np.uint64(11)) / float(1 << 53)).where(h.notna())
+
+
+def hash_collisions(rows: DataFrame, column: str = "id") -> DataFrame:
+    """(hash, ids): hashes that several different ids share; none in practice, and an insert that would make one has to be refused."""
+    by = rows.where(F.col(column).isNotNull()).select(F.col(column).alias("id"), fnv1a_64(F.col(column)).alias("hash"))
+    return by.groupBy("hash").agg(F.count_distinct("id").alias("ids")).where("ids > 1")
+
+
+def resolve_hashes(hashes: DataFrame, rows: DataFrame) -> DataFrame:
+    """``hashes`` (hash) with the id of the row that has it; hashes of no row are left out."""
+    return hashes.join(rows.select("id", fnv1a_64(F.col("id")).alias("hash")), "hash")

@@ -38,7 +38,7 @@ def exact_members(memories: DataFrame) -> DataFrame:
     return own.join(groups, "k").select("primary_id", "id", F.lit(1.0).alias("similarity"))
 
 
-def text_probes(memories: DataFrame, k: int = PROBE_HITS, stem: bool = False) -> DataFrame:
+def text_probes(memories: DataFrame, k: int = PROBE_HITS, stem: bool = True) -> DataFrame:
     """(probe_id, id, rank, pos): best ``k`` rows for each row's own context, then without the probe, insights and superseded rows.
 
     The cut comes first, so a probe may have fewer hits than ``k``.

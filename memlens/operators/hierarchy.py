@@ -2,8 +2,7 @@
 
 Frontiers grow from the roots: in round r every node knows its ancestor 2^r
 links up, so a chain of depth d takes log2(d) joins and not d. A node whose walk
-is still open after more rounds than the longest possible walk is on, or leads
-into, a cycle.
+is still open beyond what the number of open walks allows is on, or leads into, a cycle.
 """
 
 from __future__ import annotations
@@ -11,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from memlens.runtime import clean_key, cut, drop_table
+from memlens.runtime import clean_key, cut
 
 CYCLE = "cycle"
 
@@ -31,32 +30,41 @@ def linked(df: DataFrame, link: str, node: str = "id") -> DataFrame:
 def resolve_roots(edges: DataFrame, with_path: bool = False) -> DataFrame:
     """For edges (id, parent), one per id: id, root_id, depth (bigint), and path if asked for.
 
-    ``path`` lists the walk from the node to its root, both included. A walk that
-    never ends has root_id ``cycle``, depth -1 and a null path. Walks that have
-    ended are not joined again.
+    ``path`` lists the walk from the node to its root, both included. A walk that never ends has root_id ``cycle``, depth -1 and a null
+    path; paths are only built for walks that end.
     """
+    ends = _walks(edges, False)
+    if not with_path:
+        return ends
+    ends = cut(ends)
+    whole = _walks(edges.join(ends.where("depth > 0").select("id"), "id", "left_semi"), True)
+    return whole.unionByName(ends.where("depth < 0").withColumn("path", F.lit(None).cast("array<string>")))
+
+
+def _walks(edges: DataFrame, with_path: bool) -> DataFrame:
+    """Walks by doubling. What has ended stays in its files and is not written again; only open walks go on."""
     has_link = edges.select(F.col("id").alias("parent"), F.lit(True).alias("open"))
-    state = edges.join(has_link, "parent", "left").select(
-        "id",
-        F.col("parent").alias("anc"),
-        F.lit(1).cast("long").alias("depth"),
-        F.coalesce("open", F.lit(False)).alias("open"),
-        *([F.array("id", "parent").alias("path")] if with_path else []),
-    )
-    state = cut(state)
-    total, reach = state.count(), 1
-    while reach <= total and not (todo := state.where("open")).isEmpty():
-        far = state.select(F.col("id").alias("anc"), F.col("anc").alias("to"), F.col("depth").alias("more"), F.col("open").alias("still"), *([F.col("path").alias("rest")] if with_path else []))
-        hopped = todo.join(far, "anc").select(
-            "id",
-            F.col("to").alias("anc"),
-            (F.col("depth") + F.col("more")).alias("depth"),
-            F.col("still").alias("open"),
-            *([F.when(F.size("path") <= total, F.concat("path", F.slice("rest", 2, F.size("rest")))).alias("path")] if with_path else []),
-        )
-        before, state = state, cut(state.where("not open").unionByName(hopped))
-        drop_table(before)
+    path = [F.array("id", "parent").alias("path")] if with_path else []
+    first = edges.join(has_link, "parent", "left").select("id", F.col("parent").alias("anc"), F.lit(1).cast("long").alias("depth"), F.coalesce("open", F.lit(False)).alias("open"), *path)
+    tables = [cut(first)]
+    reach, still = 1, tables[0].where("open").count()
+    # beside a walk of L links that ends, L - reach of its nodes are open too; so no open walk longer than this ends
+    longest = still + reach
+    while still and reach < longest:
+        known = tables[-1]
+        for t in tables[:-1]:
+            known = known.unionByName(t.where("not open"))
+        rest = [F.col("path").alias("rest")] if with_path else []
+        far = known.select(F.col("id").alias("anc"), F.col("anc").alias("to"), F.col("depth").alias("more"), F.col("open").alias("still"), *rest)
+        path = [F.concat("path", F.slice("rest", 2, F.size("rest"))).alias("path")] if with_path else []
+        hopped = tables[-1].where("open").join(far, "anc").select("id", F.col("to").alias("anc"), (F.col("depth") + F.col("more")).alias("depth"), F.col("still").alias("open"), *path)
+        tables.append(cut(hopped))
         reach *= 2
+        still = tables[-1].where("open").count()
+        longest = min(longest, still + reach)
+    state = tables[-1]
+    for t in tables[:-1]:
+        state = state.unionByName(t.where("not open"))
     return state.select(
         "id",
         F.when(F.col("open"), CYCLE).otherwise(F.col("anc")).alias("root_id"),

@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from memlens.functions.text import normalize_tags, word_count
+from memlens.functions.prompts import hypothesis_prompt
+from memlens.functions.text import normalize_tags, strip_thinking, word_count
 from memlens.functions.vectors import vector_to_blob
 from memlens.operators import ranking, store
 from memlens.runtime import cut, drop_table
@@ -36,6 +37,20 @@ def hyde_text(query: Column, hypothesis: Column, threshold: int) -> Column:
     return F.when((F.lit(threshold) > 0) & (n > 0) & (n < threshold), F.coalesce(hypothesis, query)).otherwise(query)
 
 
+def embed_queries(queries: DataFrame, provider: Callable[[Column], Column], generate: Callable[[Column], Column] | None = None, threshold: int = 0) -> DataFrame:
+    """``queries`` (query_id, query) with ``vec``; every distinct query is embedded once, and by its hypothesis where it is short.
+
+    What is remembered goes by the query itself, not by the hypothesis. A hypothesis that fails leaves the query as it is.
+    """
+    known = queries.where("query is not null").select("query").distinct()
+    text = F.col("query")
+    if generate is not None:
+        known = known.withColumn("hypothesis", generate(F.when(hyde_text(text, F.lit("\0"), threshold) == "\0", hypothesis_prompt(text))))
+        text = hyde_text(text, strip_thinking(F.col("hypothesis")), threshold)
+    known = cut(known.select("query", text.alias("text")).select("query", provider(F.col("text")).alias("vec")))
+    return queries.join(known, "query", "left")
+
+
 def first_wins(rows: DataFrame, edges: DataFrame) -> DataFrame:
     """(n, into): ``into`` is null where the row stays, else the smallest kept earlier row it is near to.
 
@@ -130,7 +145,7 @@ def status(memories: DataFrame, feedback: DataFrame, few: int = 20, many_pending
     """One row: memories, indexed, pending, and hints for what to do next."""
     pending = feedback.groupBy("memory_id").agg(F.max(F.coalesce("judged", F.lit(False))).alias("j")).agg(F.count_if(~F.col("j")).alias("pending"))
     counts = memories.agg(F.count("*").alias("memories"), F.count_if("indexed").alias("indexed")).crossJoin(F.broadcast(pending))
-    hints = F.array_compact(F.array(F.when(F.col("memories") >= few, F.lit("train")), F.when(F.col("pending") >= many_pending, F.lit("judge")), F.when(F.col("indexed") < F.col("memories"), F.lit("reindex"))))
+    hints = F.array_compact(F.array(F.when(F.col("memories") >= few, F.lit("train")), F.when(F.col("pending") > many_pending, F.lit("judge")), F.when(F.col("indexed") < F.col("memories"), F.lit("reindex"))))
     return counts.withColumn("hints", hints)
 
 

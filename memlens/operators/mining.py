@@ -8,12 +8,14 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from memlens.functions.prompts import training_text
 from memlens.functions.timeutil import days_between, hours_between, instant
 from memlens.functions.vectors import blob_to_vector, cosine
 from memlens.operators.consolidation import components
 from memlens.operators.store import training_rows
-from memlens.runtime import cut
+from memlens.runtime import cut, small
 
+# Windows and thresholds of the insights; their wording stands with the builders below.
 WINDOW_HOURS, LEAST_RECURRING = 168, 3
 CHAIN_HOURS, CHAIN_SIMILARITY, CLUSTER_SIMILARITY = 6, 0.7, 0.85
 
@@ -25,7 +27,7 @@ def recurrence(memories: DataFrame, window_hours: int = WINDOW_HOURS, least: int
     """
     rows = training_rows(memories).select("memory_type", instant(F.col("created_at")).alias("ts")).where("ts is not null")
     latest = rows.groupBy("memory_type").agg(F.max("ts").alias("latest"), F.count("*").alias("all"))
-    inside = rows.join(F.broadcast(latest), "memory_type").where(hours_between(F.col("ts"), F.col("latest")) <= window_hours)
+    inside = rows.join(small(latest), "memory_type").where(hours_between(F.col("ts"), F.col("latest")) <= window_hours)
     found = inside.groupBy("memory_type").agg(F.count("*").alias("occurrences"), F.min("ts").alias("a"), F.max("ts").alias("b"))
     return found.where(F.col("occurrences") >= least).select(
         "memory_type", "occurrences", (hours_between(F.col("a"), F.col("b")) / (F.col("occurrences") - 1)).alias("interval_hours")
@@ -42,13 +44,16 @@ def explicit_chains(memories: DataFrame) -> DataFrame:
     roots = rows.where("parent_id is null").select("id").join(first.select(F.col("parent_id").alias("id")), "id", "left_semi")
     # follow the chosen child; a link is a row's next, and walks backwards from ends are trees, so roots resolve by doubling
     steps = cut(first.join(rows.select(F.col("id").alias("parent_id")), "parent_id", "left_semi").select(F.col("parent_id").alias("id"), "next"))
-    out = cut(roots.select(F.col("id").alias("root_id"), F.lit(0).cast("long").alias("place"), "id"))
+    parts = [cut(roots.select(F.col("id").alias("root_id"), F.lit(0).cast("long").alias("place"), "id"))]
     reach, jump = 1, steps
     while True:
+        out = parts[0]
+        for part in parts[1:]:
+            out = out.unionByName(part)
         more = cut(out.join(jump, "id").select("root_id", (F.col("place") + reach).alias("place"), F.col("next").alias("id")))
         if more.isEmpty():
             return out
-        out = cut(out.unionByName(more))
+        parts.append(more)
         jump = cut(jump.join(jump.select(F.col("id").alias("next"), F.col("next").alias("far")), "next").select("id", F.col("far").alias("next")))
         reach *= 2
 
@@ -97,6 +102,12 @@ def implicit_chains(memories: DataFrame, hours: int = CHAIN_HOURS, least: float
     return at.join(times, "b").groupBy("component").applyInPandas(grow, "root_id string, place bigint, id string")
 
 
+def chains(memories: DataFrame, hours: int = CHAIN_HOURS, least: float = CHAIN_SIMILARITY) -> DataFrame:
+    """(kind, root_id, place, id): the explicit chains and, of the rows in none of them, the implicit ones."""
+    told = explicit_chains(memories).select(F.lit("explicit").alias("kind"), "root_id", "place", "id")
+    return told.unionByName(implicit_chains(memories, hours, least).select(F.lit("implicit").alias("kind"), "root_id", "place", "id"))
+
+
 def average_linkage(vectors: np.ndarray, limit: float, copies: np.ndarray | None = None) -> np.ndarray:
     """Labels of average-linkage clusters by cosine distance, merged while the least distance is under ``limit``.
 
@@ -142,7 +153,7 @@ def average_linkage_clusters(memories: DataFrame, pairs: DataFrame, least: float
     return rows.groupBy("component").applyInPandas(link, "cluster_id string, id string")
 
 
-# -- insight texts
+# -- insight texts (fixed values: the wording)
 
 def _insight(kind: str, context: Column, action: Column, result: Column, sources: Column) -> list[Column]:
     id_ = F.sha2(F.concat_ws("|", F.lit(kind), context, action, result, F.concat_ws(",", sources)), 256)
@@ -179,6 +190,13 @@ def chain_insights(chains: DataFrame, memories: DataFrame) -> DataFrame:
     )
 
 
+def cluster_insights(found: DataFrame, memories: DataFrame) -> DataFrame:
+    """An insight for each cluster (cluster_id, id): the texts of its first row, all members as sources."""
+    whole = found.groupBy("cluster_id").agg(F.array_sort(F.collect_list("id")).alias("ids"))
+    full = whole.join(memories.select(F.col("id").alias("cluster_id"), "context", "action", "result"), "cluster_id")
+    return full.select(*_insight("cluster", F.col("context"), F.col("action"), F.col("result"), F.col("ids")))
+
+
 # -- metrics and reports
 
 def metrics(memories: DataFrame, q_table: DataFrame | None = None) -> DataFrame:
@@ -228,6 +246,13 @@ def pending(feedback: DataFrame) -> DataFrame:
     return by.where("not j").select("memory_id", "shown")
 
 
+def routing_outcomes(log: DataFrame, feedback: DataFrame) -> DataFrame:
+    """(mode, search_strategy, shown, judged): what became of the hits of each decision."""
+    r = log.select("query_id", F.lower(F.trim("mode")).alias("mode"), "search_strategy")
+    shown = feedback.where("query_id is not null").groupBy("query_id").agg(F.count("*").alias("s"), F.count_if("judged").alias("j"))
+    return r.join(shown, "query_id").groupBy("mode", "search_strategy").agg(F.sum("s").alias("shown"), F.sum("j").alias("judged"))
+
+
 def score_histogram(memories: DataFrame) -> DataFrame:
     """(bucket, rows) for ten buckets, empty ones too; negatives fall into the first, null and NaN scores into none."""
     score = F.col("score").cast("double")
@@ -236,16 +261,23 @@ def score_histogram(memories: DataFrame) -> DataFrame:
     return memories.sparkSession.range(10).select(F.col("id").cast("int").alias("bucket")).join(have, "bucket", "left").select("bucket", F.coalesce("count", F.lit(0)).alias("rows"))
 
 
+def bars(counts: DataFrame, count: str = "rows", width: int = 40) -> DataFrame:
+    """``counts`` with ``bar``: the length that its share of the largest count has in ``width``, at least 1 for a count that is not 0."""
+    most = counts.agg(F.max(count).alias("_most"))
+    length = F.floor(F.col(count) * width / F.col("_most")).cast("int")
+    return counts.crossJoin(F.broadcast(most)).withColumn("bar", F.when(F.col(count) > 0, F.greatest(length, F.lit(1))).otherwise(0)).drop("_most")
+
+
 # -- models
 
 def classifier(memories: DataFrame, features: int = 500):
-    """Fitted pipeline from context and action to the memory type (TF-IDF and logistic regression), or None under ten rows or two types."""
+    """Fitted pipeline from context and action to the memory type (TF-IDF and logistic regression), or None under ten rows, two types or without any word."""
     from pyspark.ml import Pipeline
     from pyspark.ml.classification import LogisticRegression
     from pyspark.ml.feature import IDF, CountVectorizer, Normalizer, RegexTokenizer, StringIndexer
 
     rows = training_texts(memories)
-    if rows.limit(10).count() < 10 or rows.select("memory_type").distinct().limit(2).count() < 2:
+    if rows.limit(10).count() < 10 or rows.select("memory_type").distinct().limit(2).count() < 2 or rows.where(F.col("text").rlike(r"\w\w")).isEmpty():
         return None
     stages = [
         StringIndexer(inputCol="memory_type", outputCol="label", stringOrderType="alphabetAsc"),
@@ -262,6 +294,12 @@ def training_texts(memories: DataFrame) -> DataFrame:
     return training_rows(memories).select("id", F.concat_ws(" ", "context", "action").alias("text"), "memory_type")
 
 
+def training_lines(memories: DataFrame, above: float = 0.5) -> DataFrame:
+    """(id, text): rows of a score above ``above`` as texts for a language model."""
+    good = training_rows(memories).where(F.col("score").cast("double") > above)
+    return good.select("id", training_text(F.col("context"), F.col("action"), F.col("result")).alias("text"))
+
+
 def ranker(memories: DataFrame, feedback: DataFrame):
     """Fitted boosted trees from the five features to ever judged, or None under ten rows or for one label."""
     from pyspark.ml import Pipeline

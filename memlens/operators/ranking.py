@@ -2,40 +2,107 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from memlens.functions.text import has_tags, plain_tokens, query_terms, stemmed_tokens
-from memlens.runtime import cut, small
+from memlens.runtime import cut, new_table, skew_join, small
 
 K1, B, IDF_FLOOR = 1.2, 0.75, 1e-6
 RRF_K, W_VECTOR, W_TEXT = 60, 0.7, 0.3
 SHADOW_K = (3, 5, 10, 20)
 TEXT_COLUMNS = ("context", "action", "result")
+#: Postings of a token that are one join key, and rows a hit that the foremost tokens of a query are read for.
+BLOCK_POSTINGS, FIRST_ROWS = 1 << 16, 4
 
 
 # -- BM25
 
-def postings(memories: DataFrame, stem: bool = False, columns: tuple[str, ...] = TEXT_COLUMNS) -> DataFrame:
+def _tokens(text: Column, stem: bool) -> Column:
+    return stemmed_tokens(text) if stem else plain_tokens(text)
+
+
+def postings(memories: DataFrame, stem: bool = True, columns: tuple[str, ...] = TEXT_COLUMNS) -> DataFrame:
     """(id, term, tf, len): the inverted index over all rows, superseded ones included; null texts count as empty."""
-    text = F.concat_ws(" ", *columns)
-    tokens = stemmed_tokens(text) if stem else plain_tokens(text)
-    words = memories.select("id", tokens.alias("t")).select("id", F.size("t").alias("len"), F.explode("t").alias("term"))
+    words = memories.select("id", _tokens(F.concat_ws(" ", *columns), stem).alias("t")).select("id", F.size("t").alias("len"), F.explode("t").alias("term"))
     return words.groupBy("id", "term").agg(F.count("*").alias("tf"), F.first("len").alias("len"))
 
 
-def corpus(memories: DataFrame, stem: bool = False) -> DataFrame:
-    """One row: n (all rows) and mean (tokens a row)."""
-    text = F.concat_ws(" ", *TEXT_COLUMNS)
-    size = F.size(stemmed_tokens(text) if stem else plain_tokens(text))
-    return memories.select(size.alias("s")).agg(F.count("*").alias("n"), F.avg("s").alias("mean"))
+class TextIndex:
+    """A kept full-text index: postings and lengths in segments of a folder, so that a search reads and does not build it.
 
+    An update is a new segment; rows that changed or went are told apart by a table of the dead, until :meth:`compact`
+    writes everything as one segment again. With ``stem`` terms are folded and stemmed, else they are lower-case runs of letters and digits.
+    """
 
-def query_tokens(queries: DataFrame, stem: bool = False, terms: Callable[[Column], Column] = query_terms) -> DataFrame:
+    def __init__(self, spark: SparkSession, path: str, stem: bool, segments: list[str], dead: list[str]):
+        self.spark, self.path, self.stem, self.segments, self.dead = spark, path, stem, segments, dead
+
+    @classmethod
+    def build(cls, memories: DataFrame, stem: bool = True, path: str | None = None) -> TextIndex:
+        self = cls(memories.sparkSession, path or new_table(memories.sparkSession), stem, [], [])
+        self._segment(memories)
+        return self
+
+    @classmethod
+    def open(cls, spark: SparkSession, path: str) -> TextIndex:
+        state = spark.read.parquet(f"{path}/state").orderBy(F.desc("version")).first()
+        return cls(spark, path, state["stem"], list(state["segments"]), list(state["dead"]))
+
+    def _save(self) -> None:
+        row = [(len(self.segments) + len(self.dead), self.stem, self.segments, self.dead)]
+        self.spark.createDataFrame(row, "version int, stem boolean, segments array<string>, dead array<string>").coalesce(1).write.mode("append").parquet(f"{self.path}/state")
+
+    def _segment(self, memories: DataFrame) -> None:
+        name = uuid.uuid4().hex
+        text = _tokens(F.concat_ws(" ", *TEXT_COLUMNS), self.stem)
+        whole = memories.select("id", text.alias("t")).select("id", F.size("t").cast("long").alias("len"), F.explode_outer("t").alias("term"))
+        # a row of its own length for every id; the null term of a row without tokens keeps it
+        whole.groupBy("id", "term").agg(F.count("term").alias("tf"), F.first("len").alias("len")).write.parquet(f"{self.path}/{name}/postings")
+        memories.select("id", F.size(text).cast("long").alias("len")).write.parquet(f"{self.path}/{name}/rows")
+        self.segments.append(name)
+        self._save()
+
+    def _live(self, part: str) -> DataFrame:
+        out = None
+        for k, name in enumerate(self.segments):
+            df = self.spark.read.parquet(f"{self.path}/{name}/{part}").withColumn("_at", F.lit(k))
+            out = df if out is None else out.unionByName(df)
+        if self.dead:
+            gone = self.spark.read.parquet(*[f"{self.path}/{n}" for n in self.dead]).groupBy("id").agg(F.max("before").alias("before"))
+            out = out.join(small(gone), "id", "left").where("before is null or _at >= before").drop("before")
+        return out.drop("_at")
+
+    def postings(self) -> DataFrame:
+        return self._live("postings").where("term is not null").select("id", "term", "tf", "len")
+
+    def corpus(self) -> DataFrame:
+        """One row: n (all rows) and mean (tokens a row)."""
+        return self._live("rows").agg(F.count("*").alias("n"), F.avg("len").alias("mean"))
+
+    def update(self, changed: DataFrame, gone: DataFrame | None = None) -> None:
+        """Rows of ``changed`` take the place of those of the same id; ids of ``gone`` (id) leave."""
+        ids = changed.select("id") if gone is None else changed.select("id").unionByName(gone.select("id"))
+        name = f"dead-{uuid.uuid4().hex}"
+        ids.distinct().select("id", F.lit(len(self.segments)).alias("before")).write.parquet(f"{self.path}/{name}")
+        self.dead.append(name)
+        self._segment(changed)
+
+    def compact(self) -> None:
+        """One segment of what is alive."""
+        name = uuid.uuid4().hex
+        for part in ("postings", "rows"):
+            self._live(part).write.parquet(f"{self.path}/{name}/{part}")
+        self.segments, self.dead = [name], []
+        self.spark.createDataFrame([(2**31 - 1, self.stem, self.segments, self.dead)], "version int, stem boolean, segments array<string>, dead array<string>").coalesce(1).write.mode("overwrite").parquet(f"{self.path}/state")
+
+
+def query_tokens(queries: DataFrame, stem: bool = True, terms: Callable[[Column], Column] = query_terms) -> DataFrame:
     """(query_id, pos, token): a row for each token, repeated ones too."""
     parts = queries.select("query_id", F.posexplode(terms(F.col("query"))).alias("pos", "word"))
     if stem:
@@ -43,30 +110,64 @@ def query_tokens(queries: DataFrame, stem: bool = False, terms: Callable[[Column
     return parts.select("query_id", "pos", F.lower("word").alias("token"))
 
 
-def bm25(memories: DataFrame, tokens: DataFrame, k: int | None, stem: bool = False) -> DataFrame:
+def prefix_matches(terms: DataFrame, tokens: DataFrame) -> DataFrame:
+    """(term, token) for every term (term) that begins with a token (token): an equi-join of the tokens with the terms' prefixes of their lengths."""
+    lengths = [r[0] for r in tokens.select(F.length("token").alias("n")).distinct().collect()]
+    own = F.filter(F.array(*[F.lit(n) for n in lengths]).cast("array<int>"), lambda n: n <= F.length("term"))
+    prefixes = terms.select("term", F.explode(F.transform(own, lambda n: F.substring(F.col("term"), F.lit(1), n))).alias("token"))
+    return prefixes.join(tokens.select("token"), "token").select("term", "token")
+
+
+def bm25(memories: DataFrame | TextIndex, tokens: DataFrame, k: int | None, stem: bool = True) -> DataFrame:
     """(query_id, id, rank, pos): best ``k`` rows a query by BM25 (rank is negative, lower is better), ties to the smaller id.
 
-    A token matches every term it is a prefix of. Document frequency counts the rows
-    a token matches. Equal tokens are scored once and weighted by their number. The query side is
-    broadcast only if its size allows; terms meet tokens in the vocabulary, so the postings join on equal terms.
+    A token matches every term it is a prefix of. Document frequency counts the rows a token matches. Equal tokens are scored once and
+    weighted by their number. Pass a :class:`TextIndex` to search what is kept; of memories an index is built first.
+    Without ``k`` all matching rows come, unordered.
     """
-    index = cut(postings(memories, stem))
-    words = tokens.groupBy("query_id", "token").agg(F.count("*").alias("times"))
-    distinct = words.select("token").distinct()
-    vocabulary = index.select("term").distinct().withColumn("head", F.substring("term", 1, 1))
-    # every prefix of a term that is a token; short heads keep the join an equi-join
-    matches = vocabulary.join(distinct.withColumn("head", F.substring("token", 1, 1)), "head").where(F.expr("startswith(term, token)")).select("term", "token")
-    tf = index.join(matches, "term").groupBy("token", "id").agg(F.sum("tf").alias("tf"), F.first("len").alias("len"))
-    tf = cut(tf)
+    index = memories if isinstance(memories, TextIndex) else TextIndex.build(memories, stem)
+    words = cut(tokens.groupBy("query_id", "token").agg(F.count("*").alias("times")))
+    posts = index.postings()
+    matches = prefix_matches(posts.select("term").distinct(), words.select("token").distinct())
+    tf = cut(skew_join(posts, matches, ["term"]).groupBy("token", "id").agg(F.sum("tf").alias("tf"), F.first("len").alias("len")))
     df = tf.groupBy("token").agg(F.count("*").alias("df"))
-    stats = F.broadcast(corpus(memories, stem))  # one row
+    stats = F.broadcast(index.corpus())  # one row
     idf = F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     weight = F.when(idf <= 0, IDF_FLOOR).otherwise(idf) * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("len") / F.col("mean")))
-    scored = tf.join(df, "token").crossJoin(stats).select("token", "id", weight.alias("w"))
-    total = words.join(scored, "token").groupBy("query_id", "id").agg((-F.sum(F.col("w") * F.col("times"))).alias("rank"))
+    blocks = F.ceil(F.col("df") / BLOCK_POSTINGS).cast("int")
+    scored = cut(skew_join(tf, df, ["token"]).crossJoin(stats).select("token", "id", weight.alias("w"), F.pmod(F.xxhash64("id"), blocks).cast("int").alias("block")))
+    bounds = scored.groupBy("token").agg(F.count("*").alias("df"), F.max("w").alias("w")).withColumn("blocks", F.ceil(F.col("df") / BLOCK_POSTINGS).cast("int"))
+    asked = words.join(bounds, "token").select("query_id", "token", "times", "df", "blocks", (F.col("w") * F.col("times")).alias("most"))
     if k is None:
-        return total
-    return top(total, k, [F.round("rank", 9).asc()])
+        return _sums(asked, scored).select("query_id", "id", (-F.col("score")).alias("rank"))
+    return top(_best(asked, scored, k).select("query_id", "id", (-F.col("score")).alias("rank")), k, [F.round("rank", 9).asc()])
+
+
+def _sums(asked: DataFrame, scored: DataFrame) -> DataFrame:
+    """(query_id, id, score) over the tokens ``asked``; a frequent token is as many keys as its postings fill blocks."""
+    spread = asked.select("query_id", "token", "times", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"))
+    return spread.join(scored, ["token", "block"]).groupBy("query_id", "id").agg(F.sum(F.col("w") * F.col("times")).alias("score"))
+
+
+def _best(asked: DataFrame, scored: DataFrame, k: int) -> DataFrame:
+    """Scores of all rows that can be among the best ``k`` of a query, exactly.
+
+    Tokens go by what they can add at most. The foremost of each query give a first k-th score; a row that has only tokens which
+    together can't reach it is never looked at, so postings of frequent tokens are read for the few rows in question alone.
+    """
+    by = Window.partitionBy("query_id").orderBy(F.desc("most"), "token")
+    ranked = asked.withColumn("before", F.sum("df").over(by.rowsBetween(Window.unboundedPreceding, -1)))
+    ranked = cut(ranked.withColumn("rest", F.sum("most").over(by.rowsBetween(0, Window.unboundedFollowing))))
+    first = _sums(ranked.where(F.coalesce("before", F.lit(0)) < FIRST_ROWS * k), scored)
+    place = Window.partitionBy("query_id").orderBy(F.desc("score"))
+    floor = cut(first.withColumn("r", F.row_number().over(place)).where(F.col("r") == k).select("query_id", (F.col("score") * (1 - 1e-9)).alias("floor")))
+    split = ranked.join(floor, "query_id", "left").withColumn("floor", F.coalesce("floor", F.lit(0.0))).withColumn("needed", F.col("rest") >= F.col("floor"))
+    more = split.where("not needed").groupBy("query_id").agg(F.max("rest").alias("more"))
+    some = _sums(split.where("needed"), scored).join(more, "query_id", "left").join(floor, "query_id", "left")
+    some = cut(some.where(F.col("score") + F.coalesce("more", F.lit(0.0)) >= F.coalesce("floor", F.lit(0.0))).select("query_id", "id", "score"))
+    extra = some.select("query_id", "id").join(split.where("not needed").select("query_id", "token", "times"), "query_id")
+    added = extra.join(scored, ["token", "id"]).select("query_id", "id", (F.col("w") * F.col("times")).alias("score"))
+    return some.unionByName(added).groupBy("query_id", "id").agg(F.sum("score").alias("score"))
 
 
 def top(df: DataFrame, k: int, order: list[Column], by: str = "query_id") -> DataFrame:
@@ -83,12 +184,13 @@ QUERY_BYTES = 32 << 20
 NEAR_CELLS = 1 << 20
 
 
-def knn(vectors: DataFrame, queries: DataFrame, k: int, least: float | None = None) -> DataFrame:
+def knn(vectors: DataFrame, queries: DataFrame, k: int, least: float | None = None, per_id: int = 1) -> DataFrame:
     """(query_id, id, sim, pos): exact best ``k`` by cosine for each query, ties to the smaller id.
 
     ``vectors`` (id, vec) and ``queries`` (query_id, vec) hold float arrays; a zero vector has cosine 0,
-    nulls and other widths than the query's are skipped. The stated queries are broadcast in blocks and every task
-    keeps its own best ``k``, so k rows a task and query are shuffled.
+    nulls and other widths than the query's are skipped. An id may have up to ``per_id`` vectors, the best of which counts. Cosines are
+    compared to nine digits, and equal vectors have equal ones. The stated queries are broadcast in blocks and every task
+    keeps its own best, so ``k * per_id`` rows a task and query are shuffled.
     """
     total, width = queries.agg(F.count("*"), F.coalesce(F.max(F.size("vec")), F.lit(0))).first()
     if not total:
@@ -97,9 +199,11 @@ def knn(vectors: DataFrame, queries: DataFrame, k: int, least: float | None = No
     out: DataFrame | None = None
     for part in range(parts):
         block = queries if parts == 1 else queries.where(F.pmod(F.xxhash64("query_id"), F.lit(parts)) == part)
-        best = _knn_block(vectors, block.select(F.col("query_id").cast("string"), "vec").where("vec is not null").toPandas(), k, least)
+        best = _knn_block(vectors, block.select(F.col("query_id").cast("string"), "vec").where("vec is not null").toPandas(), k * per_id, least)
         out = best if out is None else out.unionByName(best)
-    return top(out, k, [F.col("sim").desc()])
+    if per_id > 1:
+        out = out.groupBy("query_id", "id").agg(F.max("sim").alias("sim"))
+    return top(out, k, [F.round("sim", 9).desc()])
 
 
 def _unit(rows: np.ndarray) -> np.ndarray:
@@ -107,6 +211,34 @@ def _unit(rows: np.ndarray) -> np.ndarray:
     return np.divide(rows, norm, out=np.zeros_like(rows), where=norm > 0)
 
 
+#: Slack of the blocked product, whose last bits depend on the block, before cosines are summed row by row.
+SCREEN = 1e-9
+
+
+def _best_of(q: np.ndarray, x: np.ndarray, ids: np.ndarray, k: int, least: float | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(query, row, cosine) of the best ``k`` rows of each query; of equal vectors only the ``k`` smallest ids can be among them."""
+    _, kind = np.unique(x, axis=0, return_inverse=True)
+    by = np.lexsort((ids, kind.reshape(-1)))
+    kind = kind.reshape(-1)[by]
+    keep = by[np.arange(len(by)) - np.searchsorted(kind, kind) < k]
+    x, rows = x[keep], keep
+    step, out = max(1, NEAR_CELLS // len(x)), []
+    for i in range(0, len(q), step):
+        s = q[i : i + step] @ x.T
+        hit = s >= (-np.inf if least is None else least - SCREEN)
+        if s.shape[1] > k:
+            hit &= s >= -np.partition(-s, k - 1, axis=1)[:, k - 1 : k] - 2 * SCREEN
+        r, c = np.nonzero(hit)
+        sim = (q[i + r] * x[c]).sum(1)  # the same bits for equal vectors
+        order = np.lexsort((ids[rows[c]], -sim.round(9), r))
+        r, c, sim = r[order], c[order], sim[order]
+        ok = np.arange(len(r)) - np.searchsorted(r, r) < k
+        if least is not None:
+            ok &= sim >= least
+        out.append((i + r[ok], rows[c[ok]], sim[ok]))
+    return tuple(np.concatenate(c) for c in zip(*out))
+
+
 def _knn_block(vectors: DataFrame, block: pd.DataFrame, k: int, least: float | None) -> DataFrame:
     spark = vectors.sparkSession
     groups = []
@@ -117,28 +249,23 @@ def _knn_block(vectors: DataFrame, block: pd.DataFrame, k: int, least: float | N
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         by_width = {width: (names, q) for width, names, q in shared.value}
-        held: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+        held: dict[int, pd.DataFrame] = {}
         for pdf in frames:
             size = pdf["vec"].map(lambda v: 0 if v is None else len(v)).to_numpy()
             for width, (_, q) in by_width.items():
-                own = pdf[size == width].sort_values("id")
+                own = pdf[size == width]
                 if not len(own):
                     continue
-                x = _unit(np.array(own["vec"].tolist(), np.float64))
-                s, ids = q @ x.T, own["id"].to_numpy()
-                old = held.get(width)
-                if old is None:
-                    old = (np.full((len(q), 0), -np.inf), np.zeros((len(q), 0), object))
-                s, ids = np.concatenate([old[0], s], 1), np.concatenate([old[1], np.broadcast_to(ids, (len(q), len(ids)))], 1)
-                if s.shape[1] > k:
-                    edge = -np.partition(-s, k - 1, axis=1)[:, k - 1 : k]
-                    wide = int((s >= edge).sum(1).max())  # ties at the edge stay
-                    at = np.argsort(-s, axis=1, kind="stable")[:, :wide]
-                    s, ids = np.take_along_axis(s, at, 1), np.take_along_axis(ids, at, 1)
-                held[width] = (s, ids)
-        for width, (s, ids) in held.items():
-            r, c = np.nonzero(s > -np.inf if least is None else s >= least)
-            yield pd.DataFrame({"query_id": by_width[width][0][r], "id": ids[r, c], "sim": s[r, c]})
+                ids = own["id"].to_numpy()
+                r, c, sim = _best_of(q, _unit(np.array(own["vec"].tolist(), np.float64)), ids, k, least)
+                new = pd.DataFrame({"query": r, "id": ids[c], "sim": sim})
+                if width in held:
+                    new = pd.concat([held[width], new])
+                    new = new.assign(by=-new["sim"].round(9)).sort_values(["query", "by", "id"]).drop(columns="by")
+                    new = new[new.groupby("query").cumcount() < k]
+                held[width] = new
+        for width, best in held.items():
+            yield pd.DataFrame({"query_id": by_width[width][0][best["query"]], "id": best["id"].to_numpy(), "sim": best["sim"].to_numpy()})
 
     return vectors.select(F.col("id").cast("string").alias("id"), "vec").mapInPandas(run, "query_id string, id string, sim double")
 
@@ -215,12 +342,12 @@ def near_links(vectors: DataFrame, least: float) -> DataFrame:
     return links.where("a < b").select("a", "b").unionByName(alike.select(F.col("class").alias("a"), F.col("id").alias("b")))
 
 
-def three_field(hits: list[DataFrame], k: int) -> DataFrame:
-    """Hits of several fields merged by their best similarity, cut to ``k`` a query."""
-    both = hits[0]
-    for h in hits[1:]:
-        both = both.unionByName(h)
-    return top(both.groupBy("query_id", "id").agg(F.max("sim").alias("sim")), k, [F.col("sim").desc()])
+def three_field(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
+    """(query_id, id, sim, pos): best ``k`` rows by the best of their fields, over ``vectors`` (field, id, vec) in one pass.
+
+    The best of each field merged by their best similarity and cut to ``k`` are these.
+    """
+    return knn(vectors.select("id", "vec"), queries, k, per_id=len(TEXT_COLUMNS))
 
 
 def near_duplicate(hits: list[DataFrame], threshold: float = 0.95) -> DataFrame:
@@ -268,22 +395,69 @@ def search(
     vectors: DataFrame | None,
     limit: int = 10,
     tags: list[str] | None = None,
-    stem: bool = False,
+    stem: bool = True,
     k: float = RRF_K,
     w_vector: float = W_VECTOR,
     w_text: float = W_TEXT,
+    index: TextIndex | None = None,
 ) -> DataFrame:
-    """Hybrid hits of each query (query_id, query[, vec]): query_id, place, id, score and the row's shown columns.
+    """Hybrid hits of each query (query_id, query[, vec]): query_id, place, id, rrf, the row's shown columns, and degraded.
 
-    ``vectors`` (field, id, vec) are the searchable vectors; without them the search is degraded to its text leg.
-    As in the store searched, superseded rows and rows without all ``tags`` drop out after the cut to ``limit``.
+    ``vectors`` (field, id, vec) are the searchable vectors; a query without a vector, or a search without vectors, is degraded to its text
+    leg and says so. ``index`` is a kept text index of the memories. As in the store searched, superseded rows and rows without all ``tags``
+    drop out after the cut to ``limit``.
     """
-    text = bm25(memories, query_tokens(queries, stem), limit, stem).select("query_id", "id", "pos")
+    index = index or TextIndex.build(memories, stem)
+    text = bm25(index, query_tokens(queries, index.stem), limit).select("query_id", "id", "pos")
     if vectors is None:
-        near = text.limit(0)
+        near, degraded = text.limit(0), queries.select("query_id", F.lit(True).alias("degraded"))
     else:
-        hits = [knn(vectors.where(F.col("field") == f).select("id", "vec"), queries.select("query_id", "vec"), limit) for f in TEXT_COLUMNS]
-        near = three_field(hits, limit).select("query_id", "id", "pos")
+        near = three_field(vectors, queries.select("query_id", "vec"), limit).select("query_id", "id", "pos")
+        degraded = queries.select("query_id", F.col("vec").isNull().alias("degraded"))
     fused = rrf(near, text, k, w_vector, w_text).where(F.col("place") <= limit).withColumnRenamed("score", "rrf")
     shown = memories.where("superseded_by is null").where(has_tags(F.col("tags"), tags or []))
-    return small(cut(fused)).join(shown, "id").select("query_id", "place", "id", "rrf", "score", "context", "action", "result", "memory_type", "tags")
+    hits = small(cut(fused)).join(shown, "id").select("query_id", "place", "id", "rrf", "score", "context", "action", "result", "memory_type", "tags")
+    return hits.join(degraded, "query_id")
+
+
+HIT = ("id", "score", "context", "action", "result", "memory_type", "tags")
+
+
+def envelope(hits: DataFrame, queries: DataFrame, degraded: Column) -> DataFrame:
+    """(query_id, response) with the JSON text {"results": [...], "degraded": ...}, hits in their order; a query without hits has none.
+
+    ``degraded`` is a column of ``queries``. A query's hits are at most the limit of its search.
+    """
+    own = hits.groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("place", F.struct(*HIT).alias("hit")))).alias("rows"))
+    listed = F.coalesce(F.transform("rows", lambda r: r["hit"]), F.array())
+    return queries.select("query_id", degraded.alias("degraded")).join(own, "query_id", "left").select("query_id", F.to_json(F.struct(listed.alias("results"), "degraded")).alias("response"))
+
+
+def diverse(candidates: DataFrame, vectors: DataFrame, m: int, backfill: bool = True) -> DataFrame:
+    """(query_id, id, sim, pos): at most ``m`` of each query's candidates (query_id, id, sim), spread out.
+
+    From the most similar on, a candidate is taken unless it is nearer to one taken before than to the query; with ``backfill``
+    the best of the others fill up. Ties go to the smaller id, a candidate without a vector is taken. ``vectors`` (id, vec) hold the candidates' vectors; a query's candidates are
+    a search's hits, so they fit a task.
+    """
+    rows = candidates.select("query_id", "id", "sim").join(vectors.select("id", "vec"), "id", "left")
+
+    def pick(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.assign(by=-pdf["sim"].round(9)).sort_values(["by", "id"])
+        x = [None if v is None else _unit(np.array([v], np.float64))[0] for v in pdf["vec"]]
+        sim, taken = pdf["sim"].to_numpy(), []
+        for i in range(len(x)):
+            if len(taken) < m and not any(x[i] is not None and x[t] is not None and float((x[i] * x[t]).sum()) > sim[i] for t in taken):
+                taken.append(i)
+        if backfill:
+            taken += [i for i in range(len(x)) if i not in taken][: m - len(taken)]
+        out = pdf.iloc[taken][["query_id", "id", "sim"]]
+        return out.assign(pos=np.arange(1, len(out) + 1, dtype=np.int32))
+
+    return rows.groupBy("query_id").applyInPandas(pick, "query_id string, id string, sim double, pos int")
+
+
+def percentiles(times: DataFrame, column: str = "ms", ranks: tuple[float, ...] = (0.5, 0.95, 0.99, 0.999)) -> DataFrame:
+    """One row with the exact percentiles p50, p95, p99, p99_9 of a column: the value at rank ceil(p * n)."""
+    names = [f"p{r * 100:g}".replace(".", "_") for r in ranks]
+    return times.agg(*[F.expr(f"percentile_disc({r}) within group (order by {column})").alias(n) for r, n in zip(ranks, names)])

@@ -7,15 +7,16 @@ from pyspark.sql import functions as F
 
 from memlens.functions.text import judge_tokens
 from memlens.functions.timeutil import strict_instant
+from memlens.runtime import cut, small
 
 # Keywords of each mode, in order of priority.
 MODE_WORDS = {
-    "debug": "bug error stack trace crash fix issue debug exception panic",
-    "plan": "plan estimate risk assess schedule timeline scope roadmap",
-    "architecture": "design choose structure technology framework library pattern architect component",
-    "review": "review refactor improve clean lint optimize quality",
-    "coding": "implement code function method class feature module write create add",
-    "routine": "update version config dependency setup init bump",
+    "debug": ("bug", "error", "stack", "trace", "crash", "fix", "issue", "debug", "exception", "panic"),
+    "plan": ("plan", "estimate", "risk", "assess", "schedule", "timeline", "scope", "roadmap"),
+    "architecture": ("design", "choose", "structure", "technology", "framework", "library", "pattern", "architect", "component"),
+    "review": ("review", "refactor", "improve", "clean", "lint", "optimize", "quality"),
+    "coding": ("implement", "code", "function", "method", "class", "feature", "module", "write", "create", "add"),
+    "routine": ("update", "version", "config", "dependency", "setup", "init", "bump"),
 }
 # Mode, search strategy, model, contextualization, proactivity, type priority, similarity threshold, least and most hits.
 MODE_DEFAULTS = (
@@ -35,6 +36,8 @@ ACTIONS = {
 }
 LEVEL_COLUMNS = {"search": "search_strategy", "llm": "llm_selection", "context": "contextualization", "proactivity": "proactivity"}
 ALPHA, EPSILON, MOST_KEYS = 0.1, 0.15, 100_000
+#: What a Q value belongs to, and ranges of ``seq`` that a key's events are numbered in.
+KEY, RANGES = ["router_level", "state", "action"], 64
 
 
 def detect_mode(text: Column) -> Column:
@@ -42,7 +45,7 @@ def detect_mode(text: Column) -> Column:
     words = F.split(F.lower(F.coalesce(text, F.lit(""))), r"\s+")
     out = F.lit("routine")
     for mode in reversed(MODE_WORDS):
-        out = F.when(F.arrays_overlap(words, F.array(*[F.lit(w) for w in MODE_WORDS[mode].split()])), mode).otherwise(out)
+        out = F.when(F.arrays_overlap(words, F.array(*[F.lit(w) for w in MODE_WORDS[mode]])), mode).otherwise(out)
     return out
 
 
@@ -65,26 +68,50 @@ def action_table(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(rows, "router_level string, action string, ordinal int")
 
 
-def fold_rewards(events: DataFrame, alpha: float = ALPHA, start: DataFrame | None = None) -> DataFrame:
+def fold_rewards(events: DataFrame, alpha: float = ALPHA, start: DataFrame | None = None, most: int = MOST_KEYS) -> DataFrame:
     """(router_level, state, action, value, update_count) after q <- q + alpha (reward - q) over each key's events by ``seq``.
 
-    The fold has a closed form: event i of n adds alpha (1 - alpha)^(n - i) times its reward, so it is a
-    sum that combines map-side and a hot key is no bottleneck; only the numbering by ``seq`` needs a window, and that
-    window spills. Null rewards don't count. ``start`` gives earlier values and counts.
+    The fold has a closed form: event i of n adds alpha (1 - alpha)^(n - i) times its reward, so it is a sum that combines map-side. A key's
+    events are numbered within ranges of ``seq``, and ranges carry over their counts, so a hot key is sorted by many tasks.
+    Null rewards don't count. ``start`` gives earlier values and counts; once it holds ``most`` keys no new ones are
+    taken, those that appear first come first, and known ones still change.
     """
-    key = ["router_level", "state", "action"]
     own = events.where("reward is not null")
-    last = own.withColumn("back", F.row_number().over(Window.partitionBy(*key).orderBy(F.desc("seq"))) - 1)
-    folded = last.groupBy(*key).agg(
+    span = own.groupBy(*KEY).agg(F.min("seq").alias("lo"), F.max("seq").alias("hi"))
+    if start is not None:
+        span = span.join(start.select(*KEY, F.lit(True).alias("known")), KEY, "left").withColumn("known", F.coalesce("known", F.lit(False)))
+        room = most - start.count()
+    else:
+        span, room = span.withColumn("known", F.lit(False)), most
+    span = cut(span)
+    new = span.where("not known").orderBy("lo", *KEY).limit(max(0, room))
+    span = cut(span.where("known").unionByName(new))
+    place = F.floor((F.col("seq") - F.col("lo")) * (RANGES - 1) / F.greatest(F.col("hi") - F.col("lo"), F.lit(1))).cast("int")
+    ranged = own.join(small(span), KEY).select(*KEY, "seq", "reward", place.alias("range"))
+    later = ranged.groupBy(*KEY, "range").agg(F.count("*").alias("n"))
+    later = later.withColumn("after", F.coalesce(F.sum("n").over(Window.partitionBy(*KEY).orderBy(F.desc("range")).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    inside = ranged.withColumn("r", F.row_number().over(Window.partitionBy(*KEY, "range").orderBy(F.desc("seq"))))
+    back = inside.join(small(later.select(*KEY, "range", "after")), [*KEY, "range"]).withColumn("back", F.col("r") - 1 + F.col("after"))
+    folded = back.groupBy(*KEY).agg(
         F.sum(F.lit(alpha) * F.pow(F.lit(1 - alpha), F.col("back").cast("double")) * F.col("reward")).alias("value"), F.count("*").alias("update_count")
     )
     if start is None:
         return folded
-    old = start.select(*key, F.col("value").alias("v0"), F.col("update_count").alias("c0"))
-    both = folded.join(old, key, "full")
+    old = start.select(*KEY, F.col("value").alias("v0"), F.col("update_count").alias("c0"))
+    both = folded.join(old, KEY, "full")
     n = F.coalesce("update_count", F.lit(0))
     value = F.coalesce("value", F.lit(0.0)) + F.coalesce("v0", F.lit(0.0)) * F.pow(F.lit(1 - alpha), n.cast("double"))
-    return both.select(*key, value.alias("value"), (n + F.coalesce("c0", F.lit(0))).alias("update_count"))
+    return both.select(*KEY, value.alias("value"), (n + F.coalesce("c0", F.lit(0))).alias("update_count"))
+
+
+def actions_for_state(q_table: DataFrame, state: str) -> DataFrame:
+    """(router_level, action, value, update_count) known of a state, ordered."""
+    return q_table.where(F.col("state") == state).select("router_level", "action", "value", "update_count").orderBy("router_level", "action")
+
+
+def q_rows(q_table: DataFrame) -> DataFrame:
+    """The table ordered by level, state and action."""
+    return q_table.orderBy(*KEY)
 
 
 def spread_rewards(rewards: DataFrame) -> DataFrame:

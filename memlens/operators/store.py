@@ -52,9 +52,25 @@ def insights(memories: DataFrame) -> DataFrame:
 
 
 def ordered_ids(memories: DataFrame) -> DataFrame:
-    """(place, id): active ids without insights by created_at and id. Places come from range partitions, not from one task."""
+    """(place, id): active ids without insights by created_at and id, numbered from 1.
+
+    Rows are sorted by range partitions and counted in each; only the counts go to the driver, as many as there are partitions.
+    """
     own = active(memories).where("memory_type <> 'insight'").select("created_at", "id")
-    return own.orderBy("created_at", "id")
+    sorted_ = cut(own.orderBy("created_at", "id").withColumn("_n", F.monotonically_increasing_id()))
+    part, within = F.shiftright("_n", 33), F.col("_n").bitwiseAND((1 << 33) - 1)
+    before, offsets = 0, []
+    for r in sorted_.groupBy(part.alias("part")).agg(F.count("*").alias("n")).orderBy("part").collect():
+        offsets.append((r["part"], before))
+        before += r["n"]
+    start = memories.sparkSession.createDataFrame(offsets, "part long, before long")
+    return sorted_.withColumn("part", part).join(F.broadcast(start), "part").select((F.col("before") + within + 1).alias("place"), "id")
+
+
+def contains(vectors: DataFrame, ids: DataFrame) -> DataFrame:
+    """``ids`` (id) with whether the index has vectors of them."""
+    have = vectors.select("id").distinct().withColumn("_have", F.lit(True))
+    return ids.select("id").join(have, "id", "left").select("id", F.coalesce("_have", F.lit(False)).alias("indexed"))
 
 
 def training_rows(memories: DataFrame, types: Iterable[str] | None = None) -> DataFrame:
@@ -64,6 +80,38 @@ def training_rows(memories: DataFrame, types: Iterable[str] | None = None) -> Da
     return memories.where(F.col("memory_type").isin(*types))
 
 
+def embedded(memories: DataFrame) -> DataFrame:
+    return memories.where(F.col("embedding_context").isNotNull())
+
+
+def above(memories: DataFrame, score: float) -> DataFrame:
+    """Rows of a score above ``score``, as doubles."""
+    return memories.where(F.col("score").cast("double") > score)
+
+
+def listed(memories: DataFrame, memory_type: str | None = None, text: str | None = None) -> DataFrame:
+    """Rows of the type whose context holds the text, case aside."""
+    out = memories if memory_type is None else memories.where(F.col("memory_type") == memory_type)
+    return out if not text else out.where(F.lower("context").contains(text.lower()))
+
+
+def counts(memories: DataFrame) -> DataFrame:
+    """One row: memories, indexed, and avg_score, 0 for none; NaN scores don't count."""
+    score = F.col("score").cast("double")
+    return memories.agg(F.count("*").alias("memories"), F.count_if("indexed").alias("indexed"), F.coalesce(F.avg(F.when(~F.isnan(score), score)), F.lit(0.0)).alias("avg_score"))
+
+
+def distribution(memories: DataFrame, column: str, none: str | None = None) -> DataFrame:
+    """(column, n), most frequent first; null is a value of its own and shows as ``none``."""
+    by = memories.groupBy(F.col(column).alias("_v")).agg(F.count("*").alias("n"))
+    return by.select((F.col("_v") if none is None else F.coalesce("_v", F.lit(none))).alias(column), "n").orderBy(F.desc("n"), column)
+
+
+def kinds(memories: DataFrame) -> DataFrame:
+    """The memory types there are, in order."""
+    return memories.select("memory_type").distinct().orderBy("memory_type")
+
+
 def q_value(q_table: DataFrame, keys: DataFrame) -> DataFrame:
     """``keys`` (router_level, state, action) with their value, 0 where there is none."""
     on = ["router_level", "state", "action"]
@@ -105,6 +153,16 @@ def check_unit(name: str, value: float) -> None:
         raise ValueError(f"{name} must lie in [0, 1]")
 
 
+def check_id(id_: str) -> None:
+    if not id_ or len(id_) > 100:
+        raise ValueError("an id has 1 to 100 characters")
+
+
+def check_days(days: int) -> None:
+    if not 0 <= days <= 3650:
+        raise ValueError("stale days must lie in [0, 3650]")
+
+
 def check_status(status: Column) -> Column:
     return status.isin(*STATUSES)
 

@@ -39,29 +39,54 @@ def query(name: str, sql: str | None = None):
 
 # -- scans
 
-for _name, _cond in {
-    "scan_active": "superseded_by IS NULL",
-    "scan_indexed": "indexed AND superseded_by IS NULL",
-    "scan_unindexed": "NOT indexed",
-    "scan_reindex": "NOT indexed AND embedding_context IS NOT NULL",
-    "scan_insights": "superseded_by IS NULL AND memory_type = 'insight'",
-    "scan_training": "superseded_by IS NULL AND memory_type <> 'insight'",
-    "scan_training_types": "memory_type IN ('bugfix', 'pattern')",
-    "scan_embedded": "embedding_context IS NOT NULL",
-    "filter_quality": "score > 0.5",
-    "filter_list": "memory_type = 'decision' AND contains(lower(context), 'owner')",
-    "filter_comma_tags": "tags NOT LIKE '[%' AND tags LIKE '%,%'",
-}.items():
-    query(_name, f"SELECT id, memory_type, created_at FROM memories WHERE {_cond.replace('score > 0.5', 'CAST(score AS DOUBLE) > 0.5')}")(
-        lambda s, d, c=_cond: _m(s, d).where(c.replace("score > 0.5", "cast(score as double) > 0.5")).select("id", "memory_type", "created_at")
-    )
+_SCAN = "SELECT id, memory_type, created_at FROM memories WHERE "
+_BRIEF = ("id", "memory_type", "created_at")
+
+
+@query("scan_active", _SCAN + "superseded_by IS NULL")
+def scan_active(s, d):
+    return store.active(_m(s, d)).select(*_BRIEF)
+
+
+@query("scan_indexed", "SELECT id FROM memories WHERE indexed AND superseded_by IS NULL")
+def scan_indexed(s, d):
+    return store.indexed_ids(_m(s, d))
+
+
+@query("scan_insights", _SCAN + "superseded_by IS NULL AND memory_type = 'insight'")
+def scan_insights(s, d):
+    return store.insights(_m(s, d)).select(*_BRIEF)
+
+
+@query("scan_training", _SCAN + "superseded_by IS NULL AND memory_type <> 'insight'")
+def scan_training(s, d):
+    return store.training_rows(_m(s, d)).select(*_BRIEF)
+
+
+@query("scan_training_types", _SCAN + "memory_type IN ('bugfix', 'pattern')")
+def scan_training_types(s, d):
+    return store.training_rows(_m(s, d), ["bugfix", "pattern"]).select(*_BRIEF)
+
+
+@query("scan_embedded", _SCAN + "embedding_context IS NOT NULL")
+def scan_embedded(s, d):
+    return store.embedded(_m(s, d)).select(*_BRIEF)
+
+
+@query("filter_quality", _SCAN + "CAST(score AS DOUBLE) > 0.5")
+def filter_quality(s, d):
+    return store.above(_m(s, d), 0.5).select(*_BRIEF)
+
+
+@query("filter_list", _SCAN + "memory_type = 'decision' AND contains(lower(context), 'owner')")
+def filter_list(s, d):
+    return store.listed(_m(s, d), "decision", "Owner").select(*_BRIEF)
 
 
 @query("point_lookup", "SELECT id, context, score FROM memories WHERE id = (SELECT min(id) FROM memories)")
 def point_lookup(s, d):
     m = _m(s, d)
-    first = m.agg(F.min("id").alias("id"))
-    return m.join(F.broadcast(first), "id").select("id", "context", "score")
+    return store.by_id(m, m.agg(F.min("id")).first()[0]).select("id", "context", "score")
 
 
 @query("recent_memories", """SELECT id, memory_type, created_at,
@@ -90,23 +115,22 @@ def violations(s, d):
 
 @query("store_status", """SELECT count(*) AS memories, count(*) FILTER (indexed) AS indexed, coalesce(avg(CAST(score AS DOUBLE)) FILTER (NOT isnan(score)), 0) AS avg_score FROM memories""")
 def store_status(s, d):
-    score = F.col("score").cast("double")
-    return _m(s, d).agg(F.count("*").alias("memories"), F.count_if("indexed").alias("indexed"), F.coalesce(F.avg(F.when(~F.isnan(score), score)), F.lit(0.0)).alias("avg_score"))
+    return store.counts(_m(s, d))
 
 
 @query("type_distribution", "SELECT memory_type, count(*) AS n FROM memories GROUP BY 1")
 def type_distribution(s, d):
-    return _m(s, d).groupBy("memory_type").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "memory_type")
+    return store.distribution(_m(s, d), "memory_type")
 
 
 @query("project_distribution", "SELECT coalesce(project, '(none)') AS project, count(*) AS n FROM memories GROUP BY memories.project")
 def project_distribution(s, d):
-    return _m(s, d).groupBy(F.col("project").alias("p")).agg(F.count("*").alias("n")).select(F.coalesce("p", F.lit("(none)")).alias("project"), "n")
+    return store.distribution(_m(s, d), "project", "(none)")
 
 
 @query("distinct_types", "SELECT DISTINCT memory_type FROM memories")
 def distinct_types(s, d):
-    return _m(s, d).select("memory_type").distinct().orderBy("memory_type")
+    return store.kinds(_m(s, d))
 
 
 @query("score_histogram", """SELECT CAST(b.range AS INTEGER) AS bucket, coalesce(n, 0) AS rows FROM range(10) b LEFT JOIN (
@@ -128,9 +152,7 @@ def pending_judgments(s, d):
 @query("routing_eval", """SELECT lower(trim(r.mode)) AS mode, r.search_strategy, count(*) AS shown, count(*) FILTER (f.judged) AS judged
 FROM routing_log r JOIN feedback_tracking f ON f.query_id = r.query_id GROUP BY 1, 2""")
 def routing_eval(s, d):
-    r = table(s, d, "routing_log").select("query_id", F.lower(F.trim("mode")).alias("mode"), "search_strategy")
-    f = table(s, d, "feedback_tracking").select("query_id", "judged")
-    return r.join(f, "query_id").groupBy("mode", "search_strategy").agg(F.count("*").alias("shown"), F.count_if("judged").alias("judged"))
+    return mining.routing_outcomes(table(s, d, "routing_log"), table(s, d, "feedback_tracking"))
 
 
 @query("shadow_reward_means", """SELECT CAST(json_extract(x, '$.k') AS INTEGER) AS k, count(*) AS n, avg(CAST(json_extract(x, '$.reward') AS DOUBLE)) AS mean_reward

@@ -6,6 +6,7 @@ import atexit
 import os
 import shutil
 import tempfile
+import time
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -137,3 +138,24 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def clean_key(col: Column) -> Column:
     """An id without blanks around it and in lower case; null if nothing is left."""
     return F.nullif(F.lower(F.regexp_replace(col, r"^[\s\p{Z}]+|[\s\p{Z}]+$", "")), F.lit(""))
+
+
+#: Attempts after the first, first and longest wait in seconds; of a service elsewhere and of one on this machine.
+REMOTE, LOCAL = (3, 0.1, 10.0), (2, 0.05, 0.5)
+
+
+def waits(budget: tuple[int, float, float] = REMOTE, factor: float = 2.0) -> list[float]:
+    """Seconds to wait before each further attempt."""
+    times, first, most = budget
+    return [min(first * factor**n, most) for n in range(times)]
+
+
+def retry(call, budget: tuple[int, float, float] = REMOTE, again=lambda error: True, sleep=time.sleep):
+    """``call()``, repeated after growing waits as long as ``again(error)`` allows; the last error is raised."""
+    for wait in [*waits(budget), None]:
+        try:
+            return call()
+        except Exception as error:
+            if wait is None or not again(error):
+                raise
+            sleep(wait)

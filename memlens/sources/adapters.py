@@ -1,84 +1,66 @@
-"""Test tables in the shape of the store where the store's own can't be read by SQL (vectors as arrays, a bandit's rewards)."""
+"""The store's tables as the operators and their SQL take them: vectors of the usable blobs, search queries, a bandit's rewards."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from memlens.functions.vectors import usable_vector
 from memlens.runtime import table
 
-# The memory type of a document by its number.
-_TYPES = ("decision", "pattern", "bugfix", "context", "antipattern")
-
-
-def document_memories(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
-    """Documents as memories: texts are slices, other columns follow from the number by integer rules.
-
-    With ``whole`` the result holds all the rest of the text, else, as in ``dm``, 160 characters.
-    """
-    d = table(spark, sf_dir, "documents")
-    n = F.col("doc_id")
-    by_rest = F.element_at(F.array(*[F.lit(t) for t in _TYPES]), (n % 5 + 1).cast("int"))
-    at = F.timestamp_seconds(F.lit(1704067200) + n * 2220)
-    key = lambda c: F.concat(F.lit("m"), F.lpad(c.cast("string"), 8, "0"))
-    text = F.coalesce("text", F.lit(""))
-    iso = lambda c: F.date_format(c, "yyyy-MM-dd'T'HH:mm:ss'Z'")
-    return d.select(
-        key(n).alias("id"),
-        "doc_id",
-        F.when(n % 20 == 19, "insight").otherwise(by_rest).alias("memory_type"),
-        F.substring(text, 1, 160).alias("context"),
-        F.substring(text, 161, 160).alias("action"),
-        F.substring(text, 321, 2**31 - 1 if whole else 160).alias("result"),
-        ((n * 37 % 101) / 100).cast("float").alias("score"),
-        (n % 10 != 9).alias("indexed"),
-        F.when(n % 17 == 0, None)
-        .when(n % 7 == 0, F.concat_ws(",", "lang", "source"))
-        .when(n % 13 == 0, F.col("lang"))
-        .otherwise(F.to_json(F.array(F.coalesce("lang", F.lit("")), F.coalesce("source", F.lit("")))))
-        .alias("tags"),
-        F.when(n % 11 != 0, F.col("source")).alias("project"),
-        F.when(n % 50 == 49, "m99999999").when((n % 4).isin(1, 2), key(n - 1)).alias("parent_id"),
-        iso(at).alias("created_at"),
-        iso(at).alias("updated_at"),
-        F.when(n % 3 == 0, 0).otherwise(n % 9).cast("long").alias("used_count"),
-        F.when((n % 3 != 0) & (n % 9 > 0), iso(at + F.expr("INTERVAL 3 DAYS"))).alias("last_used_at"),
-        F.when(n % 23 == 22, key(n - 1)).alias("superseded_by"),
-    )
+#: Width of the store's vectors.
+DIM = 64
+FIELDS = ("context", "action", "result")
+
+
+def number(id_: Column) -> Column:
+    """The number that the hex digits of an id are."""
+    return F.conv(F.substring(id_, 5, 12), 16, 10).cast("long")
+
+
+def asked(memories: DataFrame) -> DataFrame:
+    """The stated query set: every row whose number 20 divides."""
+    return memories.where(number(F.col("id")) % 20 == 0)
+
+
+def searchable(memories: DataFrame) -> DataFrame:
+    return memories.where("indexed and superseded_by is null")
+
+
+def field_vectors(memories: DataFrame, fields: tuple[str, ...] = FIELDS) -> DataFrame:
+    """(field, id, vec): the usable vectors of the rows."""
+    cells = F.explode(F.array(*[F.struct(F.lit(f).alias("field"), F.col(f"embedding_{f}").alias("blob")) for f in fields])).alias("c")
+    long = memories.select("id", cells).select("c.field", "id", usable_vector(F.col("c.blob"), DIM).alias("vec"))
+    return long.where("vec is not null")
+
+
+def wide_vectors(memories: DataFrame) -> DataFrame:
+    """(id, context, action, result): rows with three usable vectors."""
+    return memories.select("id", *[usable_vector(F.col(f"embedding_{f}"), DIM).alias(f) for f in FIELDS]).dropna()
+
+
+def search_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(query_id, query, vec) of the stated query set: a row asks with its whole action and its context vector."""
+    return asked(table(spark, sf_dir, "memories")).select(F.col("id").alias("query_id"), F.col("action").alias("query"), usable_vector(F.col("embedding_context"), DIM).alias("vec"))
+
+
+def _decoded(blob: str) -> str:
+    """A blob of little-endian float32 as an array of doubles in SQL, null if it is not usable."""
+    word = f"('0x' || substr(hex({blob}), 8 * i + 7, 2) || substr(hex({blob}), 8 * i + 5, 2) || substr(hex({blob}), 8 * i + 3, 2) || substr(hex({blob}), 8 * i + 1, 2))::BIGINT"
+    exponent, mantissa = "((x >> 23) & 255)", "(x & 8388607)"
+    value = f"(CASE WHEN x >= 2147483648 THEN -1.0::DOUBLE ELSE 1.0::DOUBLE END) * CASE WHEN {exponent} = 255 THEN NULL WHEN {exponent} = 0 THEN {mantissa} * pow(2.0::DOUBLE, -149) ELSE ({mantissa} + 8388608) * pow(2.0::DOUBLE, {exponent} - 150) END"
+    return f"CASE WHEN octet_length({blob}) = {4 * DIM} THEN list_transform(list_transform(range({DIM}), lambda i: {word}), lambda x: {value}) END"
 
 
-#: The same in SQL, as a common table expression ``dm``.
-DM_SQL = """dm AS (SELECT 'm' || lpad(CAST(doc_id AS VARCHAR), 8, '0') AS id, doc_id,
-    CASE WHEN doc_id % 20 = 19 THEN 'insight' ELSE ['decision', 'pattern', 'bugfix', 'context', 'antipattern'][doc_id % 5 + 1] END AS memory_type,
-    substr(coalesce(text, ''), 1, 160) AS context, substr(coalesce(text, ''), 161, 160) AS action, substr(coalesce(text, ''), 321, 160) AS result,
-    CAST((doc_id * 37 % 101) / 100.0 AS FLOAT) AS score, doc_id % 10 <> 9 AS indexed,
-    CASE WHEN doc_id % 17 = 0 THEN NULL WHEN doc_id % 7 = 0 THEN concat_ws(',', lang, source) WHEN doc_id % 13 = 0 THEN lang
-         ELSE '["' || coalesce(lang, '') || '","' || coalesce(source, '') || '"]' END AS tags,
-    CASE WHEN doc_id % 50 = 49 THEN 'm99999999' WHEN doc_id % 4 IN (1, 2) THEN 'm' || lpad(CAST(doc_id - 1 AS VARCHAR), 8, '0') END AS parent_id,
-    TIMESTAMP '2024-01-01' + doc_id * INTERVAL 37 MINUTE AS ts,
-    strftime(TIMESTAMP '2024-01-01' + doc_id * INTERVAL 37 MINUTE, '%Y-%m-%dT%H:%M:%SZ') AS created_at,
-    CASE WHEN doc_id % 3 = 0 THEN 0 ELSE doc_id % 9 END AS used_count,
-    CASE WHEN doc_id % 23 = 22 THEN 'm' || lpad(CAST(doc_id - 1 AS VARCHAR), 8, '0') END AS superseded_by
-  FROM documents)"""
-
-
-def document_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(field, id, vec): vectors of the searchable document memories; neighbours share theirs."""
-    e = table(spark, sf_dir, "embeddings")
-    n = e.count()
-    m = document_memories(spark, sf_dir).where("indexed and superseded_by is null").select("id", "doc_id")
-    half, quarter = F.floor(F.col("doc_id") / 2), F.floor(F.col("doc_id") / 4)
-    numbers = {"context": half % n, "action": (half * 7 + 1) % n, "result": quarter % n}
-    long = m.select("id", F.explode(F.array(*[F.struct(F.lit(f).alias("field"), v.alias("vec_id")) for f, v in numbers.items()])).alias("x")).select("id", "x.*")
-    return long.join(e.select("vec_id", F.col("embedding").alias("vec")), "vec_id").select("field", "id", "vec")
-
-
-#: The same in SQL, as ``dv``; needs ``dm``.
-DV_SQL = """dn AS (SELECT count(*) AS n FROM embeddings),
-dx AS (SELECT id, doc_id // 2 AS h, doc_id // 4 AS q FROM dm WHERE indexed AND superseded_by IS NULL),
-dv AS (SELECT f.field, f.id, e.embedding AS vec FROM (
-    SELECT 'context' AS field, id, h % n AS vec_id FROM dx, dn UNION ALL SELECT 'action', id, (h * 7 + 1) % n FROM dx, dn
-    UNION ALL SELECT 'result', id, q % n FROM dx, dn) f JOIN embeddings e ON e.vec_id = f.vec_id)"""
+#: Usable vectors in SQL: ``dv`` (field, id, vec) of the searchable rows, ``av`` of all rows.
+DV_SQL = f"""av AS MATERIALIZED (SELECT field, id, live, vec FROM (
+    SELECT 'context' AS field, id, indexed AND superseded_by IS NULL AS live, {_decoded('embedding_context')} AS vec FROM memories
+    UNION ALL SELECT 'action', id, indexed AND superseded_by IS NULL, {_decoded('embedding_action')} FROM memories
+    UNION ALL SELECT 'result', id, indexed AND superseded_by IS NULL, {_decoded('embedding_result')} FROM memories)
+    WHERE len(list_filter(vec, lambda x: x IS NULL)) = 0 AND len(list_filter(vec, lambda x: x <> 0)) > 0),
+dv AS (SELECT field, id, vec FROM av WHERE live)"""
+NUMBER_SQL = "('0x' || substr({}, 5))::BIGINT"
+ASKED_SQL = f"{NUMBER_SQL.format('id')} % 20 = 0"
 
 
 def reward_events(spark: SparkSession, sf_dir: str) -> DataFrame:

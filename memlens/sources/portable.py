@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import copy
+import json
 import math
 import os
 import tomllib
@@ -92,6 +93,34 @@ def to_lines(df: DataFrame, form: str = "jsonl") -> DataFrame:
     return df.select(F.concat_ws("\n", *[F.concat(F.lit(f"{c}: "), F.coalesce(F.col(c).cast("string"), F.lit(""))) for c in df.columns]).alias("value"))
 
 
+def response(id_: Column, data: Column, code: Column | None = None, text: Column | None = None) -> Column:
+    """A response as JSON text: {id, ok: true, data} or, where ``code`` is not null, {id, ok: false, error: {code, message}}."""
+    good = F.to_json(F.struct(id_.alias("id"), F.lit(True).alias("ok"), data.alias("data")))
+    if code is None:
+        return good
+    bad = F.to_json(F.struct(id_.alias("id"), F.lit(False).alias("ok"), F.struct(code.alias("code"), text.alias("message")).alias("error")))
+    return F.when(code.isNull(), good).otherwise(bad)
+
+
+def search_lines(hits: DataFrame, queries: DataFrame, degraded: Column, form: str = "jsonl") -> DataFrame:
+    """(query_id, line, value): a line for each hit in order and a last one that says whether the search was degraded."""
+    shown = ["id", "score", "context", "action", "result", "memory_type", "tags"]
+    own = hits.select("query_id", F.col("place").alias("line"), to_value(F.struct(*shown), shown, form).alias("value"))
+    last = F.to_json(F.struct(degraded.alias("degraded"))) if form == "jsonl" else F.concat(F.lit("degraded: "), degraded.cast("string"))
+    return own.unionByName(queries.select("query_id", F.lit(2**31 - 1).alias("line"), last.alias("value")))
+
+
+def to_value(row: Column, names: list[str], form: str) -> Column:
+    if form == "jsonl":
+        return F.to_json(row)
+    return F.concat_ws("\n", *[F.concat(F.lit(f"{c}: "), F.coalesce(row[c].cast("string"), F.lit(""))) for c in names])
+
+
+def error_line(error: Exception) -> str:
+    """What a job that failed says last, as one message line."""
+    return json.dumps({"type": "error", "message": str(error)})
+
+
 # -- configuration
 
 DEFAULTS = {

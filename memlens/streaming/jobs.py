@@ -82,3 +82,25 @@ def fold_stream(events: DataFrame, alpha: float = ALPHA) -> DataFrame:
 def reindex(memories: DataFrame, embed: Callable[[DataFrame], DataFrame], limit: int = 100) -> DataFrame:
     """One tick of the background index: the ids it indexed, at most ``limit``. ``embed`` gives (id) of what it could embed."""
     return embed(reindex_candidates(memories, limit))
+
+
+def reindex_every(spark: SparkSession, seconds: int, tick: Callable[[int], None], name: str = "reindex", once: bool = False) -> StreamingQuery | None:
+    """Call ``tick(number)`` every so many seconds, the first time after one interval; 0 seconds is off.
+
+    ``tick`` reads the snapshot of its time and writes the next, see :func:`reindex`. With ``once`` the second tick ends the stream, for tests.
+    """
+    if seconds <= 0:
+        return None
+
+    def each(batch: DataFrame, number: int) -> None:
+        if number:  # the first is at the start
+            tick(number)
+
+    clock = spark.readStream.format("rate").option("rowsPerSecond", 1).load()
+    writer = clock.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint(spark, name))
+    query = writer.trigger(processingTime=f"{seconds} seconds").start()
+    if once:
+        while query.isActive and (query.lastProgress is None or query.lastProgress["batchId"] < 1):
+            query.awaitTermination(1)
+        query.stop()
+    return query

@@ -12,6 +12,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from memlens.functions import text as T
+from memlens.functions import prompts as P
 from memlens.functions.packed import MARK, explode_packed, split_packed
 from memlens.functions.timeutil import instant, month_utc, strict_instant
 from memlens.functions.vectors import cosine, deterministic_embedding, encode, fnv1a, fnv1a_64, hash_uniform, blob_to_vector, vector_to_blob
@@ -64,6 +65,21 @@ def test_packed_json_round_trip(spark, lists):
         assert r.a == want and r.b == want
 
 
+def test_packed_layers_are_all_undone(spark):
+    """Lists and values encoded six times and more come out as they were."""
+    import json
+
+    data = []
+    for layers in range(8):
+        field, value = json.dumps(["a b", "c"]), "x, y"
+        for _ in range(layers):
+            field, value = json.dumps(field), json.dumps(value)
+        data.append((layers, field, json.dumps([value, "z"])))
+    df = spark.createDataFrame(data, "n int, field string, value string")
+    for r in df.select("n", split_packed(F.col("field")).alias("f"), split_packed(F.col("value")).alias("v")).collect():
+        assert r.f == ["a b", "c"] and r.v == ["x, y", "z"], r.n
+
+
 def test_times(spark):
     df = spark.createDataFrame([("2024-01-31T22:30:00-05:00",), ("2024-01-31 22:30:00",), ("2024-01-31T22:30:00.5Z",), ("2024-02-01",), ("junk",), (None,)], "v string")
     got = [(r.m, r.s) for r in df.select(month_utc(instant(F.col("v"))).alias("m"), strict_instant(F.col("v")).isNotNull().alias("s")).collect()]
@@ -107,7 +123,10 @@ def test_small_text_functions(spark):
     replies = spark.createDataFrame([("<think>a</think> merge now",), ("KEEP",), (" Merge",)], "v string")
     assert [x.m for x in replies.select(T.merge_verdict(T.strip_thinking(F.col("v"))).alias("m")).collect()] == ["merge", "keep", "merge"]
     scores = spark.createDataFrame([('{"score": 1.7, "reason": "x"}',), ("no",)], "v string")
-    assert [x.s for x in scores.select(T.reply_score(F.col("v")).alias("s")).collect()] == [1.0, None]
+    assert [x.s for x in scores.select(P.judge_reply(F.col("v")).alias("s")).collect()] == [(1.0, "x"), None]
+    one = spark.createDataFrame([("q {context}", "c", None, "r")], "q string, c string, a string, r string")
+    said = one.select(P.judge_prompt(F.col("q"), F.col("c"), F.col("a"), F.col("r")).alias("p")).first().p
+    assert "Query: q {context}\n" in said and "- Context: c\n- Action: \n- Result: r\n" in said and said.endswith('{"score": <float>, "reason": "<string>"}')
     assert df.select(T.preview(F.lit("é" * 60))).first()[0] == "é" * 60 + "..." and df.select(T.preview(F.lit("x" * 80))).first()[0] == "x" * 80
     assert df.select(T.audit_ids(F.lit('["a","b"]'))).first()[0] == ["a", "b"] and df.select(T.audit_ids(F.lit("raw"))).first()[0] == ["raw"]
 
@@ -122,9 +141,9 @@ def test_vectors(spark):
     e = [np.array(r.e) for r in text.select(deterministic_embedding(3)("v").alias("e")).collect()]
     want = np.array([97 + 97, 98 + 98, 99]) / 255
     assert np.allclose(e[0], want / np.linalg.norm(want), atol=1e-6) and not e[1].any()
-    assert fnv1a(b"") == 0xCBF29CE484222325 and fnv1a(b"a") == 0xAF63DC4C8601EC8C
+    assert fnv1a([b"", b"a", b"foobar"]).tolist() == [0xCBF29CE484222325, 0xAF63DC4C8601EC8C, 0x85944171F73967E8]
     h = text.select(fnv1a_64("v").alias("h"), hash_uniform(fnv1a_64("v")).alias("u")).collect()
-    assert h[0].h % 2**64 == fnv1a(b"abcab") and 0 <= h[0].u < 1 and h[2].h is None
+    assert h[0].h % 2**64 == int(fnv1a([b"abcab"])[0]) and 0 <= h[0].u < 1 and h[2].h is None
 
 
 @pytest.mark.parametrize("word", ["naïve", "Größe"])

@@ -70,7 +70,7 @@ def test_reembed_guard_status(spark):
     assert ingest.guard_model(meta, "m1").count() == 1
     with pytest.raises(ValueError):
         ingest.guard_model(meta, "m2")
-    s = ingest.status(m, feedback(spark, ("a", None, "t", False, None)), few=3, many_pending=1).first()
+    s = ingest.status(m, feedback(spark, ("a", None, "t", False, None)), few=3, many_pending=0).first()
     assert (s.memories, s.indexed, s.pending, s.hints) == (3, 3, 1, ["train", "judge"])
 
 

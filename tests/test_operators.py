@@ -41,6 +41,25 @@ def test_roots_depths_paths_and_cycles(spark):
     assert resolve_roots(linked(df.limit(0), "parent_id")).count() == 0
 
 
+def test_a_cycle_beside_a_long_chain(spark):
+    """Paths are built for walks that end only, and a cycle costs a few rounds, not as many as the table's length asks for."""
+    from memlens.operators import hierarchy
+
+    links = [("a", "b"), ("b", "a"), ("c", "a")] + [(f"n{i:03d}", f"n{i - 1:03d}" if i else None) for i in range(200)]
+    edges = linked(spark.createDataFrame(links, "id string, parent_id string"), "parent_id")
+    got = {r.id: (r.root_id, r.depth, r.path) for r in resolve_roots(edges, with_path=True).collect()}
+    assert got["c"] == ("cycle", -1, None) and got["n199"][:2] == ("n000", 199) and len(got["n199"][2]) == 200 and len(got) == 202
+    assert descendants(edges).where("id = 'c' or ancestor_id = 'a'").count() == 0 and descendants(edges).count() == 199 * 200 // 2
+    cuts = []
+    real = hierarchy.cut
+    try:
+        hierarchy.cut = lambda df: cuts.append(1) or real(df)
+        many = spark.range(5000).selectExpr("cast(id as string) as id", "cast(if(id < 3, (id + 1) % 3, id - id % 3) as string) as parent")
+        assert resolve_roots(many.where("id < 3 or id % 3 <> 0")).where("depth < 0").count() == 3 + 0 and len(cuts) <= 5
+    finally:
+        hierarchy.cut = real
+
+
 def test_long_chain(spark):
     df = spark.createDataFrame([(f"n{i}", f"n{i - 1}" if i else None) for i in range(300)], "id string, parent_id string")
     got = {r.id: (r.root_id, r.depth) for r in resolve_roots(linked(df, "parent_id")).collect()}
@@ -102,7 +121,7 @@ def test_reads(spark):
         dict(id="d", memory_type="insight"),
     )
     ids = lambda df: [r.id for r in df.collect()]
-    assert ids(store.ordered_ids(m)) == ["b", "a"] and ids(store.unindexed(m, 5)) == ["b", "c"] and ids(store.reindex_candidates(m)) == ["c"]
+    assert rows(store.ordered_ids(m)) == [(1, "b"), (2, "a")] and ids(store.unindexed(m, 5)) == ["b", "c"] and ids(store.reindex_candidates(m)) == ["c"]
     assert sorted(ids(store.indexed_ids(m))) == ["a", "d"] and ids(store.insights(m)) == ["d"] and ids(store.by_id(m, "a")) == ["a"]
     assert sorted(ids(store.training_rows(m))) == ["a", "b"] and sorted(ids(store.training_rows(m, ["insight"]))) == ["d"]
     assert ids(store.recent(m, 2)) == ["a", "b"]
@@ -112,6 +131,12 @@ def test_reads(spark):
         store.check_unit("score", float("nan"))
     with pytest.raises(ValueError):
         store.check_query("x" * 5001)
+    for bad_call in (lambda: store.check_id(""), lambda: store.check_id("x" * 101), lambda: store.check_days(3651), lambda: store.check_days(-1)):
+        with pytest.raises(ValueError):
+            bad_call()
+    store.check_id("x")
+    store.check_days(3650)
+    assert {r.id: r.indexed for r in store.contains(m.where("id = 'a'"), m).collect()} == {"a": True, "b": False, "c": False, "d": False}
 
 
 def test_import_export_and_migration(spark):
@@ -253,16 +278,6 @@ def test_exact_groups_survivor_plan_and_apply(spark):
     assert con.plan(con.exact_members(m.limit(0)), stale.limit(0), lost.limit(0), m.limit(0)).count() == 0
 
 
-def test_documents_are_memories_with_their_whole_text(spark, tmp_path, monkeypatch):
-    from memlens.plans import search_queries
-
-    texts = ["start " + "filler " * 90 + "late", "late words", ""]
-    spark.createDataFrame([(i, t, "en", "s") for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string").write.parquet(f"{tmp_path}/documents.parquet")
-    monkeypatch.setattr(search_queries.con, "text_groups", lambda m, probes: m)
-    got = search_queries.fts_dup_groups(spark, str(tmp_path)).orderBy("doc_id")
-    assert [r.context + r.action + r.result for r in got.collect()] == texts
-
-
 def test_text_groups_are_greedy(spark):
     t = lambda n: f"2024-01-0{n}T00:00:00Z"
     m = memories(
@@ -331,35 +346,129 @@ def test_average_linkage(spark):
     assert rows(mining.average_linkage_clusters(m, pairs)) == [("m1", "m1"), ("m1", "m2"), ("m3", "m3"), ("m3", "m4")]
 
 
-def few_vectors(spark, path, docs=120, vectors=([1.0, 0.0], [1.0, 0.1], [0.0, 1.0])):
-    """Tables of ``docs`` documents whose vectors are copies of a few: if not given two near ones and one by itself."""
-    spark.range(docs).select(F.col("id").alias("doc_id"), F.lit("some text").alias("text"), F.lit("en").alias("lang"), F.lit("s").alias("source")).write.parquet(f"{path}/documents.parquet")
-    spark.createDataFrame(list(enumerate(vectors)), "vec_id long, embedding array<float>").write.parquet(f"{path}/embeddings.parquet")
+def vector_tables(spark, path, vectors):
+    """A store whose rows have the given vectors in all fields."""
+    blob = lambda v: encode([*v, *[0.0] * (64 - len(v))])
+    data = [dict(id=f"mem-{i:012x}", embedding_context=blob(v), embedding_action=blob(v), embedding_result=blob(v)) for i, v in enumerate(vectors)]
+    memories(spark, *data).write.parquet(f"{path}/memories.parquet")
     return str(path)
 
 
 def test_clusters_of_many_copies_are_whole(spark, tmp_path):
-    from memlens.plans.search_queries import average_linkage, cluster_edges, document_vectors
+    """Classes and the links between them lose no pair of 30 equal and 30 near rows; groups beyond a few members too."""
+    from memlens.plans.search_queries import average_linkage, cluster_classes, cluster_edges
 
-    d = few_vectors(spark, tmp_path)
-    group = {r.id: r.vec[0] > 0 for r in document_vectors(spark, d).where("field = 'context'").collect()}
-    truth = {(a, b) for a in group for b in group if a < b and group[a] == group[b]}
-    edges = [(r.a, r.b) for r in cluster_edges(spark, d).collect()]
-    assert len(edges) == len(truth) and set(edges) == truth
-    first = {g: min(i for i in group if group[i] == g) for g in (True, False)}
-    assert rows(average_linkage(spark, d)) == sorted((first[g], i) for i, g in group.items())
+    near = [[1.0, 0.01 * i] for i in range(30)]
+    d = vector_tables(spark, tmp_path, [[0.0, 1.0]] * 30 + near)
+    classes = {r.id: r["class"] for r in cluster_classes(spark, d).collect()}
+    assert len(set(classes.values())) == 31 and sum(c == "mem-000000000000" for c in classes.values()) == 30
+    assert len(cluster_edges(spark, d).collect()) == 30 * 29 // 2
+    pairs = ranking.near_pairs(spark.createDataFrame([(f"x{i:02d}", [0.0, 1.0]) for i in range(30)], "id string, vec array<float>"), 0.85)
+    assert pairs.distinct().count() == 435
+    got = rows(average_linkage(spark, d))
+    assert [c for c, _ in got].count("mem-000000000000") == 30 and len(got) == 60
 
 
 def test_near_duplicates_among_many_copies_are_found(spark, tmp_path):
-    from memlens.plans.search_queries import document_vectors, near_dup_lookup
-
-    one = lambda i: [float(j == i) for j in range(121)]
-    d = few_vectors(spark, tmp_path, 240, [one(120) if i < 40 or i == 100 else one(i) for i in range(120)])
-    vec = {}
-    for r in document_vectors(spark, d).collect():
-        vec.setdefault(r.id, {})[r.field] = r.vec
-    truth = {q: min((i for i in vec if i != q and vec[i] == vec[q]), default=None) for q in vec if q.endswith("00")}
-    assert {r.query_id: r.id for r in near_dup_lookup(spark, d).collect()} == truth and None not in truth.values()
+    from memlens.plans.search_queries import near_dup_lookup
+
+    one = lambda i: [float(j == i) for j in range(64)]
+    kind = [5 if i < 60 or i % 20 == 0 and i < 100 else i % 64 for i in range(120)]
+    d = vector_tables(spark, tmp_path, [one(k) for k in kind])
+    ids = [f"mem-{i:012x}" for i in range(120)]
+    truth = {ids[i]: next((ids[j] for j in range(120) if j != i and kind[j] == kind[i]), None) for i in range(0, 120, 20)}
+    assert {r.query_id: r.id for r in near_dup_lookup(spark, d).collect()} == {q: i for q, i in truth.items() if i}
+
+
+def test_equal_vectors_are_ties_in_any_partition(spark):
+    """100 copies and 50 near misses over several partitions: the smallest ids win, with the same cosine."""
+    import numpy as np
+
+    rng = np.random.default_rng(3)
+    hot, other = rng.standard_normal(37).astype("f4"), rng.standard_normal((50, 37)).astype("f4")
+    data = [(f"c{i:03d}", hot.tolist()) for i in range(100)] + [(f"a{i:03d}", v.tolist()) for i, v in enumerate(other)]
+    v = spark.createDataFrame(data, "id string, vec array<float>").repartition(7)
+    q = spark.createDataFrame([(f"q{i}", (hot + 0.05 * i * other[0]).tolist()) for i in range(9)], "query_id string, vec array<float>")
+    got = ranking.knn(v, q, 12).collect()
+    for i in range(9):
+        own = sorted((r for r in got if r.query_id == f"q{i}"), key=lambda r: r.pos)
+        assert [r.id for r in own] == [f"c{j:03d}" for j in range(12)] and len({r.sim for r in own}) == 1
+    three = spark.createDataFrame([("x", "m1", [1.0, 0.0]), ("y", "m1", [0.0, 1.0]), ("x", "m2", [0.6, 0.8]), ("y", "m3", [0.0, 2.0])], "field string, id string, vec array<float>")
+    ask = spark.createDataFrame([("q", [0.0, 1.0])], "query_id string, vec array<float>")
+    assert [(r.id, round(r.sim, 6)) for r in ranking.three_field(three, ask, 3).orderBy("pos").collect()] == [("m1", 1.0), ("m3", 1.0), ("m2", 0.8)]
+
+
+def test_best_rows_are_those_of_a_full_search(spark):
+    """What pruning leaves out can't be among the best: frequent tokens, ties and repeated tokens."""
+    import random
+
+    rng = random.Random(4)
+    words = ["the"] * 30 + ["of"] * 12 + [f"w{i}" for i in range(40)]
+    m = memories(spark, *[dict(id=f"m{i:03d}", context=" ".join(rng.choice(words) for _ in range(rng.randint(3, 25)))) for i in range(300)])
+    q = spark.createDataFrame([(f"q{i}", " ".join(rng.choice(words) for _ in range(rng.randint(1, 12)))) for i in range(60)], "query_id string, query string")
+    index = ranking.TextIndex.build(m, stem=False)
+    tokens = ranking.query_tokens(q, False)
+    every = {}
+    for r in ranking.bm25(index, tokens, None).collect():
+        every.setdefault(r.query_id, []).append((round(r["rank"], 9), r.id))
+    got = {}
+    for r in ranking.bm25(index, tokens, 7).collect():
+        got.setdefault(r.query_id, []).append((round(r["rank"], 9), r.id))
+    assert {k: sorted(v) for k, v in got.items()} == {k: sorted(v)[:7] for k, v in every.items()} and len(got) == 60
+
+
+def test_text_index_is_kept(spark):
+    m = memories(spark, dict(id="a", context="payments"), dict(id="b", context="gateway"), dict(id="c", context=None, action=None, result=None))
+    index = ranking.TextIndex.build(m)
+    find = lambda i, q: sorted(r.id for r in ranking.bm25(i, ranking.query_tokens(spark.createDataFrame([("q", q)], "query_id string, query string"), i.stem), 9).collect())
+    assert find(index, "payment") == ["a"] and index.corpus().first()["n"] == 3
+    index.update(memories(spark, dict(id="a", context="gateways"), dict(id="d", context="paid payment")), spark.createDataFrame([("b",)], "id string"))
+    again = ranking.TextIndex.open(spark, index.path)
+    assert find(again, "payment") == ["d"] and find(again, "gateway") == ["a"] and again.corpus().first()["n"] == 3
+    again.compact()
+    assert find(ranking.TextIndex.open(spark, index.path), "gateway") == ["a"] and len(again.segments) == 1
+    empty = ranking.TextIndex.build(m.limit(0))
+    assert find(empty, "payment") == [] and find(index, "@#") == []
+
+
+def test_other_scripts_are_found(spark):
+    m = memories(spark, dict(id="a", context="сервер упал"), dict(id="b", context="Café déjà vu"), dict(id="c", context="日本語 テスト"))
+    for stem in (True, False):
+        q = spark.createDataFrame([("1", "Сервер"), ("2", "café"), ("3", "日本語")], "query_id string, query string")
+        assert {(r.query_id, r.id) for r in ranking.bm25(m, ranking.query_tokens(q, stem), 3, stem).collect()} == {("1", "a"), ("2", "b"), ("3", "c")}
+
+
+def test_diverse_selection(spark):
+    """A near copy of one taken waits for those that point elsewhere."""
+    import math
+
+    at = lambda deg: [math.cos(math.radians(deg)), math.sin(math.radians(deg))]
+    v = spark.createDataFrame([("a", at(10)), ("b", at(12)), ("c", at(-30)), ("d", None)], "id string, vec array<double>")
+    c = spark.createDataFrame([("q", i, math.cos(math.radians(x))) for i, x in (("a", 10), ("b", 12), ("c", 30), ("d", 80))], "query_id string, id string, sim double")
+    pick = lambda m, **k: [r.id for r in ranking.diverse(c, v, m, **k).orderBy("pos").collect()]
+    assert pick(2) == ["a", "c"] and pick(3) == ["a", "c", "d"] and pick(4) == ["a", "c", "d", "b"] and pick(4, backfill=False) == ["a", "c", "d"]
+
+
+def test_a_hot_key_of_the_bandit(spark):
+    """Half of all events are of one key, seqs have gaps; the fold is the sequential one, and keys beyond the most are refused."""
+    import random
+
+    rng = random.Random(6)
+    data = [("search", "debug" if rng.random() < 0.5 else f"s{rng.randint(0, 9)}", "a", rng.choice([rng.random(), None]), i * i) for i in range(1, 800)]
+    q, first = {}, {}
+    for _, state, _, r, seq in data:
+        if r is not None:
+            first.setdefault(state, seq)
+            q[state] = q.get(state, 0.0) + 0.1 * (r - q.get(state, 0.0))
+    ev = spark.createDataFrame(data, "router_level string, state string, action string, reward double, seq long")
+    got = {r.state: r.value for r in routing.fold_rewards(ev).collect()}
+    assert got.keys() == q.keys() and all(abs(got[k] - q[k]) < 1e-12 for k in q)
+    kept = {r.state for r in routing.fold_rewards(ev, most=3).collect()}
+    assert kept == set(sorted(first, key=first.get)[:3])
+    full = routing.fold_rewards(ev.where("state = 'debug'"))
+    assert {r.state for r in routing.fold_rewards(ev, start=full, most=1).collect()} == {"debug"}
+    table = routing.fold_rewards(ev)
+    assert [r.action for r in routing.actions_for_state(table, "debug").collect()] == ["a"] and routing.q_rows(table).first().state == "debug"
 
 
 def test_rouge_and_models(spark):

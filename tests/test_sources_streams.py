@@ -119,3 +119,26 @@ def test_bandit_stream_equals_batch(spark, tmp_path):
 def test_reindex_tick(spark):
     m = memories(spark, *[dict(id=f"x{i}", indexed=i % 2 == 0, embedding_context=b"1234") for i in range(10)])
     assert [r.id for r in jobs.reindex(m, lambda ids: ids, 3).collect()] == ["x1", "x3", "x5"]
+
+
+def test_reindex_clock(spark):
+    ticks = []
+    assert jobs.reindex_every(spark, 0, ticks.append) is None
+    q = jobs.reindex_every(spark, 1, ticks.append, f"c{uuid.uuid4().hex}", once=True)
+    assert ticks and 0 not in ticks and not q.isActive
+
+
+def test_responses_and_lines(spark):
+    import json
+
+    from pyspark.sql import functions as F
+
+    q = spark.createDataFrame([("1", None), ("2", 4001)], "id string, code int")
+    got = [json.loads(r.r) for r in q.select(portable.response(F.col("id"), F.struct("id"), F.col("code"), F.lit("bad")).alias("r")).collect()]
+    assert got == [{"id": "1", "ok": True, "data": {"id": "1"}}, {"id": "2", "ok": False, "error": {"code": 4001, "message": "bad"}}]
+    hits = spark.createDataFrame([("1", 1, "m", 0.5, "c", "a", "r", "bugfix", None)], "query_id string, place int, id string, score double, context string, action string, result string, memory_type string, tags string")
+    text = portable.search_lines(hits, q.select(F.col("id").alias("query_id")), F.lit(True), "text").orderBy("query_id", "line").collect()
+    assert [r.value.split("\n")[0] for r in text] == ["id: m", "degraded: true", "degraded: true"]
+    lines = portable.search_lines(hits, q.select(F.col("id").alias("query_id")), F.lit(False)).orderBy("query_id", "line").collect()
+    assert json.loads(lines[0].value)["id"] == "m" and [r.value for r in lines[1:]] == ['{"degraded":false}'] * 2
+    assert json.loads(portable.error_line(ValueError("no"))) == {"type": "error", "message": "no"}
