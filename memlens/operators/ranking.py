@@ -17,8 +17,8 @@ K1, B, IDF_FLOOR = 1.2, 0.75, 1e-6
 RRF_K, W_VECTOR, W_TEXT = 60, 0.7, 0.3
 SHADOW_K = (3, 5, 10, 20)
 TEXT_COLUMNS = ("context", "action", "result")
-#: Postings of a token that are one join key, and rows a hit that the foremost tokens of a query are read for.
-BLOCK_POSTINGS, FIRST_ROWS = 1 << 16, 4
+#: Postings dealt to one task, tokens of queries in one broadcast block, cells of scores that a task holds at once.
+TASK_POSTINGS, BLOCK_TOKENS, SCORE_CELLS = 1 << 19, 1 << 20, 1 << 22
 
 
 # -- BM25
@@ -123,51 +123,85 @@ def bm25(memories: DataFrame | TextIndex, tokens: DataFrame, k: int | None, stem
 
     A token matches every term it is a prefix of. Document frequency counts the rows a token matches. Equal tokens are scored once and
     weighted by their number. Pass a :class:`TextIndex` to search what is kept; of memories an index is built first.
-    Without ``k`` all matching rows come, unordered.
+    Without ``k`` all matching rows come, unordered. Ids are told as text.
     """
     index = memories if isinstance(memories, TextIndex) else TextIndex.build(memories, stem)
     words = cut(tokens.groupBy("query_id", "token").agg(F.count("*").alias("times")))
     posts = index.postings()
     matches = prefix_matches(posts.select("term").distinct(), words.select("token").distinct())
     tf = cut(skew_join(posts, matches, ["term"]).groupBy("token", "id").agg(F.sum("tf").alias("tf"), F.first("len").alias("len")))
-    df = tf.groupBy("token").agg(F.count("*").alias("df"))
+    df = cut(tf.groupBy("token").agg(F.count("*").alias("df")))
     stats = F.broadcast(index.corpus())  # one row
     idf = F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     weight = F.when(idf <= 0, IDF_FLOOR).otherwise(idf) * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("len") / F.col("mean")))
-    blocks = F.ceil(F.col("df") / BLOCK_POSTINGS).cast("int")
-    scored = cut(skew_join(tf, df, ["token"]).crossJoin(stats).select("token", "id", weight.alias("w"), F.pmod(F.xxhash64("id"), blocks).cast("int").alias("block")))
-    bounds = scored.groupBy("token").agg(F.count("*").alias("df"), F.max("w").alias("w")).withColumn("blocks", F.ceil(F.col("df") / BLOCK_POSTINGS).cast("int"))
-    asked = words.join(bounds, "token").select("query_id", "token", "times", "df", "blocks", (F.col("w") * F.col("times")).alias("most"))
+    scored = skew_join(tf, df, ["token"]).crossJoin(stats).select("token", F.col("id").cast("string").alias("id"), weight.alias("w"))
+    asked = words.join(df.select("token"), "token", "left_semi")
     if k is None:
-        return _sums(asked, scored).select("query_id", "id", (-F.col("score")).alias("rank"))
-    return top(_best(asked, scored, k).select("query_id", "id", (-F.col("score")).alias("rank")), k, [F.round("rank", 9).asc()])
+        return skew_join(scored, asked, ["token"]).groupBy("query_id", "id").agg((-F.sum(F.col("w") * F.col("times"))).alias("rank"))
+    return top(_best(asked, scored, k, tf.count()).select("query_id", "id", (-F.col("score")).alias("rank")), k, [F.round("rank", 9).asc()])
 
 
-def _sums(asked: DataFrame, scored: DataFrame) -> DataFrame:
-    """(query_id, id, score) over the tokens ``asked``; a frequent token is as many keys as its postings fill blocks."""
-    spread = asked.select("query_id", "token", "times", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"))
-    return spread.join(scored, ["token", "block"]).groupBy("query_id", "id").agg(F.sum(F.col("w") * F.col("times")).alias("score"))
+def _best(asked: DataFrame, scored: DataFrame, k: int, total: int) -> DataFrame:
+    """(query_id, id, score): what each task holds of the best ``k`` rows of each query.
 
+    Rows are dealt to tasks with all their postings, about TASK_POSTINGS each, and the stated queries are broadcast in blocks. A task adds up
+    the scores of its rows for some queries at a time, so nothing is shuffled by token and k rows a task and query are left.
+    """
+    kind = dict(asked.dtypes)["query_id"]
+    entries = asked.count()
+    parts = max(1, -(-entries // BLOCK_TOKENS))
+    dealt = scored.repartition(max(8, -(-total // TASK_POSTINGS)), "id")
+    out: DataFrame | None = None
+    for part in range(parts):
+        block = asked if parts == 1 else asked.where(F.pmod(F.xxhash64("query_id"), F.lit(parts)) == part)
+        best = _best_of_block(dealt, block.select("query_id", "token", "times").toPandas(), k, kind)
+        out = best if out is None else out.unionByName(best)
+    return out
 
-def _best(asked: DataFrame, scored: DataFrame, k: int) -> DataFrame:
-    """Scores of all rows that can be among the best ``k`` of a query, exactly.
 
-    Tokens go by what they can add at most. The foremost of each query give a first k-th score; a row that has only tokens which
-    together can't reach it is never looked at, so postings of frequent tokens are read for the few rows in question alone.
-    """
-    by = Window.partitionBy("query_id").orderBy(F.desc("most"), "token")
-    ranked = asked.withColumn("before", F.sum("df").over(by.rowsBetween(Window.unboundedPreceding, -1)))
-    ranked = cut(ranked.withColumn("rest", F.sum("most").over(by.rowsBetween(0, Window.unboundedFollowing))))
-    first = _sums(ranked.where(F.coalesce("before", F.lit(0)) < FIRST_ROWS * k), scored)
-    place = Window.partitionBy("query_id").orderBy(F.desc("score"))
-    floor = cut(first.withColumn("r", F.row_number().over(place)).where(F.col("r") == k).select("query_id", (F.col("score") * (1 - 1e-9)).alias("floor")))
-    split = ranked.join(floor, "query_id", "left").withColumn("floor", F.coalesce("floor", F.lit(0.0))).withColumn("needed", F.col("rest") >= F.col("floor"))
-    more = split.where("not needed").groupBy("query_id").agg(F.max("rest").alias("more"))
-    some = _sums(split.where("needed"), scored).join(more, "query_id", "left").join(floor, "query_id", "left")
-    some = cut(some.where(F.col("score") + F.coalesce("more", F.lit(0.0)) >= F.coalesce("floor", F.lit(0.0))).select("query_id", "id", "score"))
-    extra = some.select("query_id", "id").join(split.where("not needed").select("query_id", "token", "times"), "query_id")
-    added = extra.join(scored, ["token", "id"]).select("query_id", "id", (F.col("w") * F.col("times")).alias("score"))
-    return some.unionByName(added).groupBy("query_id", "id").agg(F.sum("score").alias("score"))
+def _best_of_block(scored: DataFrame, block: pd.DataFrame, k: int, kind: str) -> DataFrame:
+    queries, of = np.unique(block["query_id"].to_numpy(), return_inverse=True)
+    tokens, code = np.unique(block["token"].to_numpy(), return_inverse=True)
+    by = np.argsort(of, kind="stable")
+    shared = scored.sparkSession.sparkContext.broadcast((queries, tokens, of[by], code[by], block["times"].to_numpy(float)[by]))
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        queries, tokens, of, code, times = shared.value
+        held = [pdf for pdf in frames if len(pdf)]
+        if not held or not len(queries):
+            return
+        pdf = pd.concat(held)
+        ids, row = np.unique(pdf["id"].to_numpy(), return_inverse=True)
+        at = np.searchsorted(tokens, pdf["token"].to_numpy()) if len(tokens) else np.zeros(len(pdf), int)
+        known = (at < len(tokens)) & (tokens[np.minimum(at, len(tokens) - 1)] == pdf["token"].to_numpy())
+        at, row, w = at[known], row[known], pdf["w"].to_numpy()[known]
+        order = np.lexsort((row, at))
+        row, w = row[order], w[order]
+        begin = np.searchsorted(at[order], np.arange(len(tokens) + 1))
+        size = np.diff(begin)
+        first = np.searchsorted(of, np.arange(len(queries) + 1))
+        work = np.concatenate([[0], np.cumsum(size[code])])[first]
+        q = 0
+        while q < len(queries):
+            # as many queries as keep the cells and the postings of the step bounded
+            end = max(q + 1, min(q + max(1, SCORE_CELLS // len(ids)), int(np.searchsorted(work, work[q] + SCORE_CELLS, side="right")) - 1))
+            own = slice(first[q], first[end])
+            n = size[code[own]]
+            place = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(begin[code[own]], n)
+            cell = np.repeat(of[own] - q, n) * len(ids) + row[place]
+            s = np.bincount(cell, np.repeat(times[own], n) * w[place], (end - q) * len(ids)).reshape(end - q, len(ids))
+            hit = s > 0
+            if len(ids) > k:
+                hit &= s >= -np.partition(-s, k - 1, axis=1)[:, k - 1 : k] - 2 * SCREEN
+            r, c = np.nonzero(hit)
+            score = s[r, c]
+            best = np.lexsort((c, -score.round(9), r))
+            r, c, score = r[best], c[best], score[best]
+            ok = np.arange(len(r)) - np.searchsorted(r, r) < k
+            yield pd.DataFrame({"query_id": queries[q + r[ok]], "id": ids[c[ok]], "score": score[ok]})
+            q = end
+
+    return scored.select("token", "id", "w").mapInPandas(run, f"query_id {kind}, id string, score double")
 
 
 def top(df: DataFrame, k: int, order: list[Column], by: str = "query_id") -> DataFrame:
