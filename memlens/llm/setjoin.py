@@ -22,8 +22,14 @@ from pyspark.sql import functions as F
 from memlens.runtime import cut
 
 WORD = regex.compile(r"[\p{L}\p{Nd}]+")
-#: Independent trees; expected children of a record in a node are 1 / CHILDREN_SHARE.
+#: Independent trees of one go; expected children of a record in a node are 1 / CHILDREN_SHARE.
 TREES, CHILDREN_SHARE = 6, 0.65
+#: Share of the pairs that the trees have to find by their own estimate, else as many trees more are grown, and goes at most.
+RECALL, GOES = 0.998, 4
+#: Standard deviations by which the sketch of a pair at the threshold may be off before it is screened out.
+SIGMAS = 4.0
+#: Rows of a block of a class of equal records.
+CLASS_ROWS = 1024
 #: Largest node compared at once, most rounds before large nodes are compared in blocks, tokens chosen in a round, rows of a block.
 NODE_ROWS, LEVELS, PATH, BLOCK_ROWS = 256, 4, 4, 4096
 #: Tokens in more than one in HEAVY_SHARE sets are counted exactly, others taken for LIGHT; bits of the map of repeated tokens.
@@ -161,7 +167,8 @@ def grow(tokens: np.ndarray, size: np.ndarray, known: Frequencies, record: np.nd
         whole = np.add.reduceat(w, begin) if len(begin) else np.zeros(0)
         h = mix(t ^ mix(node[branch]))
         pick = (h >> np.uint64(11)).astype(np.float64) * 2.0**-53 * (share[record] * whole)[branch] < w
-        child, source = mix(h[pick] + np.uint64(1)), branch[pick]
+        source = branch[pick]
+        child = mix(h[pick] + np.uint64(1)) & ~np.uint64(1) | node[source] & np.uint64(1)  # the half of the trees stays in the name
         size_now = expected[source] * df[at[pick]] / known.total
         done = (size_now <= NODE_ROWS / 2) | (depth == PATH - 1)
         out_record.append(record[source[done]])
@@ -173,31 +180,56 @@ def grow(tokens: np.ndarray, size: np.ndarray, known: Frequencies, record: np.nd
     return np.concatenate(out_record), np.concatenate(out_node).view(np.int64)
 
 
-def _pairs(node: np.ndarray, cid: np.ndarray, n: np.ndarray, sk: np.ndarray, least: float, differing: int) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs of equal node (sorted, then by n) that the sizes and sketches allow."""
-    at, d, left, right = np.arange(len(node)), 1, [], []
+def _pairs(node: np.ndarray, cid: np.ndarray, n: np.ndarray, sk: np.ndarray, least: float, differing: int) -> np.ndarray:
+    """Rows (smaller, larger, half) of pairs of equal node (sorted, then by n) that the sizes and sketches allow, each once."""
+    at, d, out = np.arange(len(node)), 1, [np.zeros((0, 3), np.int64)]
     while len(at := at[at + d < len(node)]):
         at = at[node[at] == node[at + d]]
         at = at[n[at] >= least * n[at + d]]  # sizes ascend, so a farther partner can't fit either
         if not len(at):
             break
         hit = at[np.bitwise_count(sk[at] ^ sk[at + d]).sum(1) <= differing]
-        left.append(cid[hit])
-        right.append(cid[hit + d])
+        out.append(np.stack([np.minimum(cid[hit], cid[hit + d]), np.maximum(cid[hit], cid[hit + d]), 1 + (node[hit] & 1)], 1))
         d += 1
-    none = np.zeros(0, np.int64)
-    return np.concatenate([none, *left]), np.concatenate([none, *right])
+    return np.unique(np.concatenate(out), axis=0)
 
 
 def _words64(sk: pd.Series) -> np.ndarray:
     return np.frombuffer(b"".join(sk), np.uint64).reshape(-1, BITS // 64)
 
 
-def similar_pairs(sets: DataFrame, least: float) -> DataFrame:
-    """(a, b) with a < b of ``sets`` (cid, n, tokens), distinct sets, whose Jaccard similarity reaches ``least``."""
+def similar_pairs(sets: DataFrame, least: float, recall: float = RECALL, sigmas: float = SIGMAS) -> DataFrame:
+    """(a, b) with a < b of ``sets`` (cid, n, tokens), distinct sets, whose Jaccard similarity reaches ``least``.
+
+    Trees are grown in goes until they have found the share ``recall`` of all pairs by their own estimate: of the pairs that one half of
+    the trees finds, the share that the other half finds too tells what either half misses, and both together miss the product.
+    """
     share = (1 - least) / 2
-    differing = int(BITS * share + 3 * (BITS * share * (1 - share)) ** 0.5)
+    differing = int(BITS * share + sigmas * (BITS * share * (1 - share)) ** 0.5)
     shared = sets.sparkSession.sparkContext.broadcast(frequencies(sets))
+    found: DataFrame | None = None
+    for go in range(GOES):
+        pairs = _verified(sets, _candidates(sets, least, differing, shared, go), least)
+        found = cut(pairs if found is None else found.unionByName(pairs).groupBy("a", "b").agg(F.bit_or("halves").alias("halves")))
+        one, two, both = found.agg(*[F.count_if(F.expr(c)) for c in ("halves & 1 > 0", "halves & 2 > 0", "halves = 3")]).first()
+        if not one or not two or (1 - both / one) * (1 - both / two) <= 1 - recall:
+            break
+    return found.select("a", "b")
+
+
+def _verified(sets: DataFrame, pairs: DataFrame, least: float) -> DataFrame:
+    """(a, b, halves) of the candidates whose exact similarity reaches ``least``."""
+    right = sets.select(F.col("cid").alias("b"), F.col("tokens").alias("tb"), F.col("n").alias("nb"))
+    both = sets.select(F.col("cid").alias("a"), F.col("tokens").alias("ta"), F.col("n").alias("na")).join(pairs, "a").join(right, "b")
+    common = F.size(F.array_intersect("ta", "tb"))
+    return both.select("a", "b", "halves", "na", "nb", common.alias("common")).where(F.col("common") / (F.col("na") + F.col("nb") - F.col("common")) >= least).select("a", "b", "halves")
+
+
+def _candidates(sets: DataFrame, least: float, differing: int, shared, go: int) -> DataFrame:
+    """(a, b, halves): pairs that share a small node and pass the sketches; ``halves`` has bit 0 for trees of one half and bit 1 for the other.
+
+    Which half a node belongs to is the lowest bit of its name.
+    """
 
     def roots(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in frames:
@@ -206,12 +238,12 @@ def similar_pairs(sets: DataFrame, least: float) -> DataFrame:
             tokens, size = _flat(pdf["tokens"])
             sk = [r.tobytes() for r in sketch(tokens, np.cumsum(size) - size)]
             every = np.tile(np.arange(len(pdf)), TREES)
-            tree = np.repeat(np.arange(1, TREES + 1, dtype=np.uint64), len(pdf))
-            row, child = grow(tokens, size, shared.value, every, tree, np.full(len(every), float(shared.value.total)), least)
+            number = np.repeat(np.arange(1, TREES + 1, dtype=np.uint64), len(pdf))
+            row, child = grow(tokens, size, shared.value, every, (number + np.uint64(TREES * go)) << np.uint64(1) | (number & np.uint64(1)), np.full(len(every), float(shared.value.total)), least)
             yield pd.DataFrame({"node": child, "cid": pdf["cid"].to_numpy()[row], "n": pdf["n"].to_numpy()[row], "sk": np.array(sk, object)[row]})
 
     def compare(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        """Pairs (node null) of small nodes; members (b null) of large ones. Rows come sorted by node and n."""
+        """Pairs (node null, n the half) of small nodes; members (b null) of large ones. Rows come sorted by node and n."""
         carry: pd.DataFrame | None = None
         large = None
 
@@ -225,11 +257,10 @@ def similar_pairs(sets: DataFrame, least: float) -> DataFrame:
             if big.any():
                 yield members(pdf[big])
             own = pdf[~big & (count[number] > 1)]
-            a, b = _pairs(own["node"].to_numpy(), own["cid"].to_numpy(), own["n"].to_numpy(), _words64(own["sk"]), least, differing)
-            if len(a):
-                ab = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], 1), axis=0)
-                empty = [None] * len(ab)
-                yield pd.DataFrame({"node": pd.array(empty, "Int64"), "a": ab[:, 0], "b": pd.array(ab[:, 1], "Int64"), "n": pd.array(empty, "Int32"), "sk": pd.Series(empty, dtype=object)})
+            found = _pairs(own["node"].to_numpy(), own["cid"].to_numpy(), own["n"].to_numpy(), _words64(own["sk"]), least, differing)
+            if len(found):
+                empty = [None] * len(found)
+                yield pd.DataFrame({"node": pd.array(empty, "Int64"), "a": found[:, 0], "b": pd.array(found[:, 1], "Int64"), "n": pd.array(found[:, 2], "Int32"), "sk": pd.Series(empty, dtype=object)})
 
         for pdf in frames:
             if large is not None:
@@ -269,7 +300,7 @@ def similar_pairs(sets: DataFrame, least: float) -> DataFrame:
     found = []
     for depth in range(LEVELS):
         out = cut(level.repartition("node").sortWithinPartitions("node", "n").mapInPandas(compare, "node bigint, a bigint, b bigint, n int, sk binary"))
-        found.append(out.where("b is not null").select("a", "b"))
+        found.append(out.where("b is not null").select("a", "b", F.col("n").alias("halves")))
         large = out.where("b is null").select("node", F.col("a").alias("cid"), "n", "sk")
         if large.isEmpty():
             break
@@ -289,11 +320,7 @@ def similar_pairs(sets: DataFrame, least: float) -> DataFrame:
     pairs = found[0]
     for more in found[1:]:
         pairs = pairs.unionByName(more)
-    pairs = pairs.distinct()
-    right = sets.select(F.col("cid").alias("b"), F.col("tokens").alias("tb"), F.col("n").alias("nb"))
-    both = sets.select(F.col("cid").alias("a"), F.col("tokens").alias("ta"), F.col("n").alias("na")).join(pairs, "a").join(right, "b")
-    common = F.size(F.array_intersect("ta", "tb"))
-    return both.select("a", "b", "na", "nb", common.alias("common")).where(F.col("common") / (F.col("na") + F.col("nb") - F.col("common")) >= least).select("a", "b")
+    return pairs.groupBy("a", "b").agg(F.bit_or("halves").alias("halves"))
 
 
 def _blocks(large: DataFrame, least: float, differing: int) -> DataFrame:
@@ -314,9 +341,10 @@ def _blocks(large: DataFrame, least: float, differing: int) -> DataFrame:
             ok = np.bitwise_count(sa[i + r] ^ sb[c]).sum(1) <= differing
             left.append(np.minimum(ca[i + r[ok]], cb[c[ok]]))
             right.append(np.maximum(ca[i + r[ok]], cb[c[ok]]))
-        return pd.DataFrame({"a": np.concatenate([np.zeros(0, np.int64), *left]), "b": np.concatenate([np.zeros(0, np.int64), *right])})
+        out = pd.DataFrame({"a": np.concatenate([np.zeros(0, np.int64), *left]), "b": np.concatenate([np.zeros(0, np.int64), *right])})
+        return out.assign(halves=1 + (int(pdf["node"].iloc[0]) & 1))
 
-    return rows.groupBy("node", "i", "j").applyInPandas(block, "a bigint, b bigint")
+    return rows.groupBy("node", "i", "j").applyInPandas(block, "a bigint, b bigint, halves int")
 
 
 def near_duplicates(df: DataFrame, columns: list[str], least: float = 0.75, min_words: int = 12, id_col: str = "id") -> DataFrame:
@@ -333,10 +361,15 @@ def near_duplicates(df: DataFrame, columns: list[str], least: float = 0.75, min_
     sets = cut(records.join(kinds.select("id"), "id", "left_semi").select("kind", "n", "tokens").withColumn("cid", F.monotonically_increasing_id()))
     members = records.select("id", "kind").join(sets.select("kind", "cid"), "kind").select("cid", "id")
     links = similar_pairs(sets.select("cid", "n", "tokens"), least)
-    own = members.join(kinds.where("copies > 1").join(sets.select("kind", "cid"), "kind").select("cid"), "cid", "left_semi")
-    within = own.select("cid", F.col("id").alias("id_a")).join(own.select("cid", F.col("id").alias("id_b")), "cid").where("id_a < id_b").select("id_a", "id_b")
+    sized = kinds.where("copies > 1").join(sets.select("kind", "cid"), "kind").select("cid", F.ceil(F.col("copies") / CLASS_ROWS).cast("int").alias("blocks"))
+    # a class's pairs are dealt to tasks by pairs of blocks: block i of its rows meets block j of them
+    own = members.join(sized, "cid").withColumn("i", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+    every = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
+    left = own.select("cid", "i", every.alias("j"), F.col("id").alias("id_a"))
+    right = own.select("cid", every.alias("i"), F.col("i").alias("j"), F.col("id").alias("id_b"))
+    within = left.join(right, ["cid", "i", "j"]).where("id_a < id_b").select("id_a", "id_b")
     across = (
-        links.join(members.select(F.col("cid").alias("a"), F.col("id").alias("x")), "a")
+        links.join(members.select(F.col("cid").alias("a"), F.col("id").alias("x")), "a")  # copies of both sides are pairs by the definition
         .join(members.select(F.col("cid").alias("b"), F.col("id").alias("y")), "b")
         .select(F.least("x", "y").alias("id_a"), F.greatest("x", "y").alias("id_b"))
     )

@@ -59,6 +59,29 @@ def test_set_join_branches_and_blocks_large_nodes(spark, monkeypatch):
     assert got <= truth and len(got) / len(truth) > 0.97
 
 
+def test_set_join_grows_trees_until_enough_is_found(spark, monkeypatch):
+    """Trees that lose most pairs are repeated, so that far more is found than in one go."""
+    monkeypatch.setattr(setjoin, "NODE_ROWS", 4)
+    monkeypatch.setattr(setjoin, "LEVELS", 1)
+    monkeypatch.setattr(setjoin, "TREES", 2)
+    monkeypatch.setattr(setjoin, "CHILDREN_SHARE", 1.2)
+    data = retold(300, seed=7)
+    df, truth = spark.createDataFrame(data, SCHEMA), true_pairs(data)
+    found = {}
+    for goes in (1, 6):
+        monkeypatch.setattr(setjoin, "GOES", goes)
+        found[goes] = {tuple(r) for r in near_duplicates(df, ["a", "b", "c"]).collect()}
+        assert found[goes] <= truth
+    assert len(found[1]) < 0.97 * len(truth) and len(found[6]) > len(found[1]) and len(found[6]) > 0.97 * len(truth)
+
+
+def test_set_join_of_a_class_in_blocks(spark, monkeypatch):
+    monkeypatch.setattr(setjoin, "CLASS_ROWS", 7)
+    same = [(f"x{i:02d}", "one two three four five six seven eight nine ten eleven twelve", None, None) for i in range(40)]
+    got = near_duplicates(spark.createDataFrame(same, SCHEMA), ["a", "b", "c"]).collect()
+    assert len(got) == len(set(got)) == 40 * 39 // 2
+
+
 def one_group(count, others, seed=5, length=60, edits=9):
     """Distinct near copies of one text, each with up to ``edits`` other words, among unlike records."""
     rng = random.Random(seed)
