@@ -163,16 +163,17 @@ class Tree:
             b = cos * a + math.sqrt(1 - cos * cos) * d / np.linalg.norm(d, axis=1, keepdims=True)
         return a, b
 
-    def calibrate(self, sample: np.ndarray, threshold: float, recall: float, least: int, one_sided: bool = False) -> int:
+    def calibrate(self, sample: np.ndarray, threshold: float, recall: float, least: int, one_sided: bool = False, pairs: tuple[np.ndarray, np.ndarray] | None = None) -> int:
         """Fewest visits at which pairs of at least ``threshold`` share a leaf with rate ``recall``, ``least`` or more.
 
         Both rows visit so many leaves, or with ``one_sided`` one of them visits its first leaf only. There is no most: visits
-        widen until the rate is reached, and with as many visits as there are leaves every pair meets.
+        widen until the rate is reached, and with as many visits as there are leaves every pair meets. ``pairs`` of :meth:`near_sample` may be
+        given.
         """
         leaves = int(self.leaf.sum())
         if len(sample) < 2 * HELD_OUT:
             return leaves if leaves < least else least
-        a, b = self.near_sample(sample, threshold)
+        a, b = pairs or self.near_sample(sample, threshold)
         most, met, done = 8, np.zeros(len(a), bool), 0
         while True:
             va, vb = self.visit(a, most), self.visit(b, 1 if one_sided else most)
