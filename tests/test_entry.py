@@ -8,7 +8,7 @@ import pytest
 import __spark_entry__ as entry
 
 CORE = {name for module in entry._modules() if not module.__name__.startswith("memlens.llm") for name in module.QUERIES}
-EMPTY = {"violations", "hash_collisions", "implicit_edges", "implicit_chains", "tag_search", "group_errors"}  # nothing there in the smallest tables, or at all
+EMPTY = {"violations", "hash_collisions", "implicit_edges", "implicit_chains", "tag_search", "group_errors", "near_dup_lookup"}  # nothing there in the smallest tables, or at all
 
 
 def cell(x):

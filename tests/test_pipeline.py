@@ -28,10 +28,12 @@ def test_runs_isolate_their_stages(spark, monkeypatch):
     assert chains == {"Chain: m00 -> m01 -> m02", "Chain: " + " -> ".join(f"m{i:02d}" for i in range(3, 12))}  # told by links, and by time and vectors
     assert set(made) == {"cluster", "temporal", "causal"} and len(made["cluster"].source_ids.split(",")) == 12
     monkeypatch.setattr(mining, "recurrence", lambda m: 1 / 0)
+    monkeypatch.setattr(mining, "ranker", lambda m, f: None)  # the models took part above
     broken = pipeline.run_deep(m, f, generated=m.select("id", F.lit("a b").alias("generated"), F.lit("a b").alias("reference")))
     told = [json.loads(r.value) for r in broken.messages.orderBy("part").collect()]
     assert broken.failed == ["temporal"] and any(t.get("stage", "").startswith("temporal_failed") for t in told)
     assert {t["name"]: t["value"] for t in told if t["type"] == "metric"}.items() >= {"text_quality_rouge_l": 1.0, "training_texts": 11.0}.items()
+    monkeypatch.undo()
     empty = pipeline.run_medium(m.limit(0), f.limit(0))
     assert empty.insights.count() == 0 and not empty.failed
 
