@@ -13,8 +13,6 @@ def spark():
     s = session("tests", 4)
     s.sparkContext.setLogLevel("ERROR")
     s.conf.set("spark.sql.shuffle.partitions", "4")
-    s.conf.set("spark.sql.codegen.wholeStage", "false")  # compiling takes longer than small tables do
-    s.conf.set("spark.sql.codegen.factoryMode", "NO_CODEGEN")
     yield s
     s.stop()
 
