@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from itertools import takewhile
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -12,8 +14,9 @@ from memlens.functions.prompts import training_text
 from memlens.functions.timeutil import days_between, hours_between, instant
 from memlens.functions.vectors import blob_to_vector, cosine
 from memlens.operators.consolidation import components
+from memlens.operators.ranking import _unit
 from memlens.operators.store import training_rows
-from memlens.runtime import cut, small
+from memlens.runtime import cut, drop_table, small
 
 # Windows and thresholds of the insights; their wording stands with the builders below.
 WINDOW_HOURS, LEAST_RECURRING = 168, 3
@@ -59,17 +62,72 @@ def explicit_chains(memories: DataFrame) -> DataFrame:
 
 
 def implicit_edges(memories: DataFrame, hours: int = CHAIN_HOURS, least: float = CHAIN_SIMILARITY) -> DataFrame:
-    """(a, b, gap_hours, similarity): later row b within ``hours`` of a and of cosine ``least``; band join on time buckets.
+    """(a, b, gap_hours, similarity, ta): later row b within ``hours`` of a and of cosine ``least``.
 
-    Rows of one bucket are dense in time only as far as data come in; each row meets two buckets.
+    Rows are dealt in order of time into blocks of at most TIME_BLOCK rows, and only pairs of blocks that lie within ``hours`` of each other are
+    compared, each in a task of its own: every pair within the window is screened by a product of the blocks and decided in double precision.
     """
-    rows = training_rows(memories).select("id", instant(F.col("created_at")).alias("ts"), blob_to_vector("embedding_context").alias("vec"))
-    rows = cut(rows.where("ts is not null and vec is not null").withColumn("bucket", F.floor(F.unix_seconds("ts") / (hours * 3600))))
-    a = rows.select(F.col("id").alias("a"), F.col("ts").alias("ta"), F.col("vec").alias("va"), "bucket")
-    b = rows.select(F.col("id").alias("b"), F.col("ts").alias("tb"), F.col("vec").alias("vb"), F.explode(F.array("bucket", F.col("bucket") - 1)).alias("bucket"))
-    gap = hours_between(F.col("ta"), F.col("tb"))
-    near = a.join(b, "bucket").where(((F.col("tb") > F.col("ta")) | ((F.col("tb") == F.col("ta")) & (F.col("b") > F.col("a")))) & (gap <= hours))
-    return near.select("a", "b", gap.alias("gap_hours"), cosine(F.col("va"), F.col("vb")).alias("similarity"), "ta").where(F.col("similarity") >= least)
+    rows = training_rows(memories).select("id", instant(F.col("created_at")).alias("ts"), F.col("embedding_context").alias("vec"))
+    rows = cut(rows.where("ts is not null and octet_length(vec) > 0 and octet_length(vec) % 4 = 0").withColumn("us", F.unix_micros("ts")))
+    total = rows.count()
+    blocks = max(1, min(-(-total // TIME_BLOCK_LEAST), TIME_BLOCKS), -(-total // TIME_BLOCK))
+    dealt = cut(rows.repartitionByRange(blocks, "us", "id").withColumn("block", F.spark_partition_id()))
+    drop_table(rows)
+    bounds = [tuple(r) for r in dealt.groupBy("block").agg(F.min("us"), F.max("us")).orderBy("block").collect()]
+    pairs = [(i, j) for n, (i, _, last) in enumerate(bounds) for j in _near_blocks(bounds[n:], last, hours)]
+    # a block is the earlier side of its pairs, and the later one of those with an earlier block
+    sides = [(i, 0, i, j) for i, j in pairs] + [(j, 1, i, j) for i, j in pairs if i < j]
+    placed = dealt.join(F.broadcast(dealt.sparkSession.createDataFrame(sides, "block int, side int, i int, j int")), "block").drop("block", "ts")
+    found = placed.groupBy("i", "j").applyInPandas(lambda pdf: _edges_of_block(pdf, hours, least), "a string, b string, gap_hours double, similarity double, ta bigint")
+    return found.withColumn("ta", F.timestamp_micros("ta"))
+
+
+#: Rows of a time block at most and, where there would be fewer than TIME_BLOCKS blocks, at least.
+TIME_BLOCK, TIME_BLOCK_LEAST, TIME_BLOCKS = 1 << 15, 1 << 10, 24
+#: Cells of similarities that a task holds at once, pairs decided at once, slack of single precision.
+EDGE_CELLS, EDGE_STEP, EDGE_SCREEN = 1 << 20, 1 << 15, 1e-5
+
+
+def _near_blocks(bounds: list[tuple[int, int, int]], last: int, hours: float) -> list[int]:
+    """The blocks of ``bounds`` (block, first, last), in order of time, that begin within ``hours`` after ``last``."""
+    return [j for j, first, _ in takewhile(lambda b: (b[1] - last) / 3.6e9 <= hours, bounds)]
+
+
+def _edges_of_block(pdf: pd.DataFrame, hours: float, least: float) -> pd.DataFrame:
+    """Edges from rows of side 0 to those of side 1, or among the rows of side 0 where there are no others; vectors of other widths don't meet."""
+    out = []
+    across = bool((pdf["side"] == 1).any())
+    for _, own in pdf.sort_values("us", kind="stable").groupby(pdf["vec"].map(len)):
+        x = _unit(np.frombuffer(b"".join(own["vec"]), "<f4").reshape(len(own), -1).astype(np.float64))
+        us, ids, side = own["us"].to_numpy(), own["id"].to_numpy(), own["side"].to_numpy()
+        left = np.flatnonzero(side == 0)
+        right = np.flatnonzero(side == 1) if across else left
+        if not len(left) or not len(right):
+            continue
+        fast = x.astype(np.float32)
+        lead, later = fast[left], us[right]
+        other = fast[right]
+        step = max(16, min(1024, EDGE_CELLS // len(right)))
+        for k in range(0, len(left), step):
+            mine = left[k : k + step]
+            lo = int(np.searchsorted(later, us[mine[0]]))
+            hi = int(np.searchsorted(later, us[mine[-1]] + hours * 3.6e9 + 1, side="right"))
+            if hi <= lo:
+                continue
+            r, c = np.nonzero(lead[k : k + step] @ other[lo:hi].T >= least - EDGE_SCREEN)
+            r, c = mine[r], right[lo + c]
+            gap = (us[c] - us[r]) / 3.6e9
+            ok = (gap >= 0) & (gap <= hours) & (r != c)
+            r, c, gap = r[ok], c[ok], gap[ok]
+            tie = np.flatnonzero(gap == 0)
+            ok = np.ones(len(r), bool)
+            ok[tie] = [a is not None and b is not None and b > a for a, b in zip(ids[r[tie]], ids[c[tie]])]
+            r, c, gap = r[ok], c[ok], gap[ok]
+            sim = np.concatenate([(x[r[n : n + EDGE_STEP]] * x[c[n : n + EDGE_STEP]]).sum(1) for n in range(0, len(r), EDGE_STEP)] or [np.zeros(0)])
+            ok = sim >= least
+            out.append(pd.DataFrame({"a": ids[r[ok]], "b": ids[c[ok]], "gap_hours": gap[ok], "similarity": sim[ok], "ta": us[r[ok]]}))
+    empty = {"a": pd.Series(dtype=object), "b": pd.Series(dtype=object), "gap_hours": pd.Series(dtype=float), "similarity": pd.Series(dtype=float), "ta": pd.Series(dtype="int64")}
+    return pd.concat(out) if out else pd.DataFrame(empty)
 
 
 def implicit_chains(memories: DataFrame, hours: int = CHAIN_HOURS, least: float = CHAIN_SIMILARITY) -> DataFrame:

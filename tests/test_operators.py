@@ -2,6 +2,7 @@
 
 import sqlite3
 
+import numpy as np
 import pytest
 from conftest import rows
 from pyspark.sql import functions as F
@@ -487,3 +488,25 @@ def test_feedback_states(spark):
     assert rows(mining.pending(f)) == [("b", 2)] and tuple(mining.feedback_counts(f).first()) == (4, 1, 3)
     h = {r.bucket: r.rows for r in mining.score_histogram(memories(spark, dict(id="a", score=-1.0), dict(id="b", score=1.0), dict(id="c", score=float("nan")), dict(id="d", score=None))).collect()}
     assert h[0] == 1 and h[9] == 1 and sum(h.values()) == 2 and len(h) == 10
+
+
+def test_implicit_edges_over_many_time_blocks(spark, monkeypatch):
+    """Blocks of few rows give the pairs of the definition: equal times, the end of the window, other widths and zero vectors included."""
+    monkeypatch.setattr(mining, "TIME_BLOCK_LEAST", 16)
+    monkeypatch.setattr(mining, "EDGE_CELLS", 64)
+    rng = np.random.default_rng(3)
+    base = np.repeat(rng.standard_normal((30, 8)), 8, 0) + 0.3 * rng.standard_normal((240, 8))
+    hour = rng.integers(0, 60, 240)
+    data = [dict(id=f"r{i:03d}", created_at=f"2024-01-{1 + h // 24:02d}T{h % 24:02d}:00:00Z", embedding_context=encode(v if i % 9 else v[:4] * (i % 2))) for i, (v, h) in enumerate(zip(base, hour))]
+    truth = {}
+    for i, a in enumerate(data):
+        for j, b in enumerate(data):
+            x, y = (np.frombuffer(d["embedding_context"], "<f4").astype(float) for d in (a, b))
+            gap = int(hour[j] - hour[i])
+            if len(x) == len(y) and x.any() and y.any() and 0 <= gap <= 6 and (gap or b["id"] > a["id"]) and (s := x @ y / np.sqrt((x @ x) * (y @ y))) >= 0.7:
+                truth[a["id"], b["id"]] = (gap, round(s, 9))
+    m = memories(spark, *data)
+    found = mining.implicit_edges(m)
+    assert {(r.a, r.b): (r.gap_hours, round(r.similarity, 9)) for r in found.collect()} == truth and len(truth) > 50
+    assert "SortMergeJoin" not in found._jdf.queryExecution().toString()  # rows of wide time buckets are not joined one by one
+    assert mining.implicit_edges(m.limit(0)).count() == 0
