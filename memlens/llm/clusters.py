@@ -21,6 +21,8 @@ from memlens.operators.hierarchy import resolve_roots
 from memlens.runtime import cut, drop_table, skew_join, small
 
 SCREEN = 1e-5
+#: Cells of similarities, and pairs whose vectors are gathered, that a task holds at once.
+PAIR_CELLS, PAIR_STEP = 1 << 20, 1 << 15
 
 
 class Block:
@@ -46,7 +48,7 @@ class Block:
 
     def pairs(self) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """(row, other) of all near pairs, in both directions and in bounded pieces."""
-        for rows in row_chunks(len(self.x)):
+        for rows in row_chunks(len(self.x), PAIR_CELLS):
             s = self.x4[rows] @ self.x4.T
             hit = s >= self.least - SCREEN
             r, c = np.nonzero(hit)
@@ -57,9 +59,16 @@ class Block:
             r, c = r[ok], c[ok]
             near = s[r - rows.start, c]
             sure = near >= self.least + SCREEN
-            sure[~sure] = exact_cosine(self.x[r[~sure]], self.x[c[~sure]]) >= self.least
+            sure[~sure] = self.cosine(r[~sure], c[~sure]) >= self.least
             yield r[sure], c[sure]
 
+    def cosine(self, r: np.ndarray, c: np.ndarray) -> np.ndarray:
+        """Exact cosines of pairs. All pairs of a dense block may be near, so their vectors are gathered a step at a time."""
+        out = np.empty(len(r))
+        for i in range(0, len(r), PAIR_STEP):
+            out[i : i + PAIR_STEP] = exact_cosine(self.x[r[i : i + PAIR_STEP]], self.x[c[i : i + PAIR_STEP]])
+        return out
+
     def here(self, r: np.ndarray, c: np.ndarray) -> np.ndarray:
         """Mask of the pairs that this block counts."""
         ok = np.ones(len(r), bool)
@@ -95,7 +104,7 @@ def block_pointers(pdf: pd.DataFrame, least: float) -> pd.DataFrame:
     for r, c in b.pairs():
         denser = lead[c] < lead[r]
         r, c = r[denser], c[denser]
-        cos = exact_cosine(b.x[r], b.x[c])
+        cos = b.cosine(r, c)
         by = np.lexsort((lead[c], -cos, r))
         r, c, cos = r[by], c[by], cos[by]
         new = np.concatenate([[True], r[1:] != r[:-1]]) if len(r) else np.zeros(0, bool)

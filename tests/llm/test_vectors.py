@@ -291,3 +291,26 @@ def test_history_of_nothing(spark):
     v = triple(groups(3, 1, 0))
     assert History(table(spark, v[:0])).absorb(batch(spark, v[:0]), ["arrival"]).count() == 0
     assert History(table(spark, v)).absorb(batch(spark, v[:0]), ["arrival"]).count() == 0
+
+
+@pytest.mark.parametrize("work", ["block_density", "block_pointers", "block_borders"])
+def test_a_dense_block_stays_bounded(work):
+    """All pairs of 3,000 rows are near; the vectors of a piece of them were gigabytes."""
+    import tracemalloc
+
+    import pandas as pd
+
+    from memlens.llm import clusters as module
+
+    v = 1 + 0.01 * np.random.default_rng(5).standard_normal((3000, DIM)).astype("<f4")
+    ids = [f"m{i:05d}" for i in range(len(v))]
+    pdf = pd.DataFrame({"id": ids, "vec": [x.tobytes() for x in v], "i": 0, "j": 0, "side": 0, "copies": 1, "density": len(v) - 1, "peak": ids[0], "lower": [[]] * len(v)})
+    tracemalloc.start()
+    out = getattr(module, work)(pdf, 0.85)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 300e6, peak
+    if work == "block_density":
+        assert set(out["density"]) == {len(v) - 1} and len(out) == len(v)
+    if work == "block_pointers":
+        assert len(out) == len(v) - 1 and (out["up"] < out["id"]).all()
