@@ -144,17 +144,22 @@ def implicit_chains(memories: DataFrame, hours: int = CHAIN_HOURS, least: float
 
     def grow(pdf: pd.DataFrame) -> pd.DataFrame:
         when = dict(zip(pdf["a"], pdf["ta"])) | dict(zip(pdf["b"], pdf["tb"]))
-        after = {a: sorted(own["b"], key=lambda b: (when[b], b)) for a, own in pdf.groupby("a")}
-        used, out = set(), []
-        for start in sorted(when, key=lambda i: (when[i], i)):
-            if start in used:
+        names = sorted(when, key=lambda i: (when[i], i))
+        number = {i: n for n, i in enumerate(names)}  # in order of time
+        a, b = pdf["a"].map(number).to_numpy(np.int64), pdf["b"].map(number).to_numpy(np.int64)
+        by = np.lexsort((b, a))
+        begin, after = np.searchsorted(a[by], np.arange(len(names) + 1)).tolist(), b[by].tolist()
+        used, out = bytearray(len(names)), []
+        for start in range(len(names)):
+            if used[start]:
                 continue
             chain = [start]
-            while (step := next((b for b in after.get(chain[-1], ()) if b not in used), None)) is not None:
+            while (step := next((x for x in after[begin[chain[-1]] : begin[chain[-1] + 1]] if not used[x]), None)) is not None:
                 chain.append(step)
             if len(chain) > 1:
-                used.update(chain)
-                out += [(start, p, i) for p, i in enumerate(chain)]
+                for x in chain:
+                    used[x] = 1
+                out += [(names[start], p, names[x]) for p, x in enumerate(chain)]
         return pd.DataFrame(out, columns=["root_id", "place", "id"])
 
     return at.join(times, "b").groupBy("component").applyInPandas(grow, "root_id string, place bigint, id string")

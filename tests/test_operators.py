@@ -510,3 +510,26 @@ def test_implicit_edges_over_many_time_blocks(spark, monkeypatch):
     assert {(r.a, r.b): (r.gap_hours, round(r.similarity, 9)) for r in found.collect()} == truth and len(truth) > 50
     assert "SortMergeJoin" not in found._jdf.queryExecution().toString()  # rows of wide time buckets are not joined one by one
     assert mining.implicit_edges(m.limit(0)).count() == 0
+
+
+def test_implicit_chains_are_greedy_in_time(spark, monkeypatch):
+    """Chains over several time blocks equal the sequential pass, ties in time by id."""
+    monkeypatch.setattr(mining, "TIME_BLOCK_LEAST", 16)
+    rng = np.random.default_rng(8)
+    v = np.repeat(rng.standard_normal((12, 8)), 15, 0) + 0.35 * rng.standard_normal((180, 8))
+    hour = rng.integers(0, 48, 180)
+    data = [dict(id=f"r{(i * 7) % 180:03d}", created_at=f"2024-01-{1 + h // 24:02d}T{h % 24:02d}:00:00Z", embedding_context=encode(x)) for i, (x, h) in enumerate(zip(v, hour))]
+    x = np.stack([np.frombuffer(d["embedding_context"], "<f4").astype(float) for d in data])
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    order = sorted(range(180), key=lambda i: (hour[i], data[i]["id"]))
+    used, truth = set(), set()
+    for start in order:
+        if start in used:
+            continue
+        chain = [start]
+        while (step := next((j for j in order[order.index(chain[-1]) + 1 :] if j not in used and hour[j] - hour[chain[-1]] <= 6 and x[chain[-1]] @ x[j] >= 0.7), None)) is not None:
+            chain.append(step)
+        if len(chain) > 1:
+            used.update(chain)
+            truth |= {(data[start]["id"], p, data[i]["id"]) for p, i in enumerate(chain)}
+    assert set(rows(mining.implicit_chains(memories(spark, *data)))) == truth and len(truth) > 100
