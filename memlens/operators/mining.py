@@ -130,12 +130,12 @@ def _edges_of_block(pdf: pd.DataFrame, hours: float, least: float) -> pd.DataFra
     return pd.concat(out) if out else pd.DataFrame(empty)
 
 
-def implicit_chains(memories: DataFrame, hours: int = CHAIN_HOURS, least: float = CHAIN_SIMILARITY) -> DataFrame:
+def implicit_chains(memories: DataFrame, hours: int = CHAIN_HOURS, least: float = CHAIN_SIMILARITY, told: DataFrame | None = None) -> DataFrame:
     """(root_id, place, id): rows outside explicit chains grown greedily in time from edges; a row is in one chain.
 
-    Chains never cross components of the edges, and components run in parallel.
+    Chains never cross components of the edges, and components run in parallel. The explicit chains may be given as ``told``.
     """
-    taken = explicit_chains(memories).select("id").distinct()
+    taken = (explicit_chains(memories) if told is None else told).select("id").distinct()
     rows = memories.join(taken, "id", "left_anti")
     edges = cut(implicit_edges(rows, hours, least))
     comp = components(edges.select("a", "b"))
@@ -167,8 +167,9 @@ def implicit_chains(memories: DataFrame, hours: int = CHAIN_HOURS, least: float
 
 def chains(memories: DataFrame, hours: int = CHAIN_HOURS, least: float = CHAIN_SIMILARITY) -> DataFrame:
     """(kind, root_id, place, id): the explicit chains and, of the rows in none of them, the implicit ones."""
-    told = explicit_chains(memories).select(F.lit("explicit").alias("kind"), "root_id", "place", "id")
-    return told.unionByName(implicit_chains(memories, hours, least).select(F.lit("implicit").alias("kind"), "root_id", "place", "id"))
+    own = cut(explicit_chains(memories))
+    told = own.select(F.lit("explicit").alias("kind"), "root_id", "place", "id")
+    return told.unionByName(implicit_chains(memories, hours, least, own).select(F.lit("implicit").alias("kind"), "root_id", "place", "id"))
 
 
 def average_linkage(vectors: np.ndarray, limit: float, copies: np.ndarray | None = None) -> np.ndarray:

@@ -533,3 +533,12 @@ def test_implicit_chains_are_greedy_in_time(spark, monkeypatch):
             used.update(chain)
             truth |= {(data[start]["id"], p, data[i]["id"]) for p, i in enumerate(chain)}
     assert set(rows(mining.implicit_chains(memories(spark, *data)))) == truth and len(truth) > 100
+
+
+def test_all_chains_find_the_explicit_ones_once(spark, monkeypatch):
+    calls, explicit = [], mining.explicit_chains
+    monkeypatch.setattr(mining, "explicit_chains", lambda m: calls.append(1) or explicit(m))
+    near = encode([1.0, 0.1])
+    m = memories(spark, dict(id="a"), dict(id="b", parent_id="a"), dict(id="x", embedding_context=near), dict(id="y", embedding_context=near))
+    assert rows(mining.chains(m)) == [("explicit", "a", 0, "a"), ("explicit", "a", 1, "b"), ("implicit", "x", 0, "x"), ("implicit", "x", 1, "y")]
+    assert len(calls) == 1
