@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -71,19 +73,90 @@ def first_wins(rows: DataFrame, edges: DataFrame) -> DataFrame:
     return state.select("n", "into")
 
 
+#: Rows that are decided at once, and rows of stored vectors that one task searches.
+LEAD_ROWS, SEARCH_ROWS = 1 << 13, 1 << 17
+
+
+def _units(pdf: pd.DataFrame) -> dict[tuple[int, ...], tuple[np.ndarray, list[np.ndarray]]]:
+    """(n, unit rows of each field) of the rows by the widths of their vectors; rows with a null or empty vector are near to none."""
+    pdf = pdf.dropna()
+    width = pd.Series(list(zip(*[pdf[f].map(len) for f in FIELDS])), pdf.index, dtype=object)
+    return {key: (own["n"].to_numpy(), [ranking._unit(np.array(own[f].tolist(), np.float64)) for f in FIELDS]) for key, own in pdf.groupby(width) if all(key)}
+
+
+def _first_near(mine: list[np.ndarray], lead: list[np.ndarray], threshold: float) -> np.ndarray:
+    """Number of the first row of ``lead`` that is above ``threshold`` in all fields for each row of ``mine``, -1 without one."""
+    out = np.full(len(mine[0]), -1)
+    step = max(1, ranking.NEAR_CELLS // max(1, len(lead[0])))
+    for i in range(0, len(out) if len(lead[0]) else 0, step):
+        s = np.minimum.reduce([a[i : i + step] @ b.T for a, b in zip(mine, lead)])
+        near = s > threshold
+        r, c = np.nonzero(np.abs(s - threshold) < ranking.SCREEN)
+        near[r, c] = np.minimum.reduce([(a[i + r] * b[c]).sum(1) for a, b in zip(mine, lead)]) > threshold
+        out[i : i + step] = np.where(near.any(1), near.argmax(1), -1)
+    return out
+
+
+def _leaders(n: np.ndarray, x: list[np.ndarray], threshold: float) -> tuple[np.ndarray, np.ndarray]:
+    """Places of the rows that stay, and for each row the place of the row it falls to (-1: stays), one by one in the order of ``n``."""
+    into, kept = np.full(len(n), -1), np.zeros(0, np.int64)
+    for i in range(0, len(n), 256):
+        block = [a[i : i + 256] for a in x]
+        at = _first_near(block, [a[kept] for a in x], threshold)
+        into[i : i + 256] = np.where(at >= 0, kept[at] if len(kept) else -1, -1)
+        new: list[int] = []
+        for j in np.flatnonzero(at < 0):
+            hit = _first_near([a[j : j + 1] for a in block], [a[new] for a in block], threshold)[0] if new else -1
+            if hit < 0:
+                new.append(j)
+            else:
+                into[i + j] = i + new[hit]
+        kept = np.concatenate([kept, np.array(new, np.int64) + i])
+    return kept, into
+
+
 def within_batch(rows: DataFrame, threshold: float) -> DataFrame:
     """(n, into) as :func:`first_wins` for ``rows`` (n, the three vectors): all earlier near rows count.
 
-    Rows of three equal vectors share the first one's case: they fall to it or where it fell.
+    The first open rows are decided one by one, those that stay are broadcast, and what is near to one of them falls to the first such
+    row, so pairs are never written: most rows of a batch may be near to most others. The rest goes on, in order.
     """
-    lead = cut(rows.groupBy(*FIELDS).agg(F.min("n").alias("lead")))
-    near = cut(ranking.all_near(lead.withColumnRenamed("lead", "id"), lead.withColumnRenamed("lead", "query_id"), FIELDS, threshold, strict=True))
-    pairs = near.select(F.col("query_id").cast("long").alias("n"), F.col("id").cast("long").alias("near"))
-    alike = pairs.where("n = near").select(F.col("n").alias("lead"))  # not so where a vector is null or zero
-    copies = cut(rows.join(lead, list(FIELDS)).where("n <> lead").join(alike, "lead").select("n", "lead"))
-    told = cut(first_wins(rows.select("n").join(copies.select("n"), "n", "left_anti"), pairs.where("near < n")))
-    fallen = copies.join(told.withColumnRenamed("n", "lead"), "lead").select("n", F.coalesce("into", "lead").alias("into"))
-    return told.unionByName(fallen)
+    spark = rows.sparkSession
+    open_, made = cut(rows.select("n", *FIELDS)), []
+    while not open_.isEmpty():
+        head = open_.orderBy("n").limit(LEAD_ROWS).toPandas()
+        last = int(head["n"].max())
+        leads, told = {}, dict.fromkeys(head["n"].tolist())
+        for key, (n, x) in _units(head).items():
+            kept, into = _leaders(n, x, threshold)
+            leads[key] = (n[kept], [a[kept] for a in x])
+            told |= {int(n[i]): int(n[into[i]]) for i in np.flatnonzero(into >= 0)}
+        made.append(spark.createDataFrame([(int(n), to) for n, to in told.items()], "n long, into long"))
+        shared = spark.sparkContext.broadcast(leads)
+
+        def run(frames: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:
+            for pdf in frames:
+                pdf = pdf.reset_index(drop=True)
+                to = pd.Series(pd.NA, pdf["n"].to_numpy(), dtype="Int64")
+                for key, (n, x) in _units(pdf).items():
+                    if key in shared.value:
+                        names, lead = shared.value[key]
+                        at = _first_near(x, lead, threshold)
+                        to.loc[n[at >= 0]] = names[at[at >= 0]]
+                yield pdf.assign(into=to.to_numpy())
+
+        schema = open_.select("n", *FIELDS).withColumn("into", F.lit(None).cast("long")).schema
+        done = cut(open_.where(F.col("n") > last).mapInPandas(run, schema))
+        made.append(cut(done.where("into is not null").select("n", "into")))
+        before, open_ = open_, cut(done.where("into is null").drop("into"))
+        drop_table(before)
+        drop_table(done)
+    if not made:
+        return rows.select("n", F.lit(None).cast("long").alias("into"))
+    out = made[0]
+    for more in made[1:]:
+        out = out.unionByName(more)
+    return cut(out)
 
 
 def store_batch(
@@ -99,10 +172,11 @@ def store_batch(
         raise ValueError(f"{bad['id']}: {bad['problem']}")
     fresh = cut(embed_fields(batch, provider))
     number = batch.select("id", "n")
-    stored = []
+    stored, known = [], cut(vectors)
+    tasks = max(8, -(-known.count() // len(FIELDS) // SEARCH_ROWS))  # each task keeps hits of its own for every row
     for f in FIELDS:
         q = fresh.where(F.col("field") == f).join(number, "id").select(F.col("n").cast("string").alias("query_id"), "vec")
-        stored.append(ranking.knn(vectors.where(F.col("field") == f).select("id", "vec"), q, HITS_PER_FIELD, threshold))
+        stored.append(ranking.knn(known.where(F.col("field") == f).select("id", "vec").repartition(tasks, "id"), q, HITS_PER_FIELD, threshold))
     hits = cut(ranking.near_duplicate(stored, threshold).select(F.col("query_id").cast("long").alias("n"), F.col("id").alias("hit")))
     wide = fresh.groupBy("id").pivot("field", list(FIELDS)).agg(F.first("vec"))
     rest = cut(number.join(hits.select("n"), "n", "left_anti"))

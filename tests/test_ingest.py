@@ -79,3 +79,23 @@ def test_hyde_and_saved_search(spark):
     assert [r.t for r in df.select(ingest.hyde_text(F.col("q"), F.col("h"), 4).alias("t")).collect()] == ["a guess", "this is a longer query", "", "short"]
     found = spark.createDataFrame([(2, "late"), (1, "best")], "place int, context string")
     assert tuple(ingest.saved_search(found, "x").first()) == ("Searched for: x", "Found 2 results", "Top result: best")
+
+
+def test_within_batch_is_the_sequential_pass_without_pairs(spark, monkeypatch):
+    """Decided in heads of seven rows; vectors of other widths, null and zero ones stay; no pairs of the batch are asked for."""
+    import numpy as np
+
+    monkeypatch.setattr(ingest, "LEAD_ROWS", 7)
+    monkeypatch.setattr(ingest.ranking, "all_near", None)
+    rng = np.random.default_rng(4)
+    x = [([1.0, 0, 0] + 0.4 * rng.standard_normal(3)).tolist() for _ in range(60)]
+    x[5], x[30], x[9], x[40], x[12], x[50] = [0.0, 0.0, 0.0], [0.0, 0.0, 0.0], [1.0, 0.1], [1.0, 0.2], None, x[3]
+    n = rng.permutation(60) * 3
+    unit = [None if v is None or not any(v) else np.array(v) / np.linalg.norm(v) for v in x]
+    into = {}
+    for i in np.argsort(n):
+        near = [int(n[j]) for j in range(60) if n[j] < n[i] and into[int(n[j])] is None and unit[i] is not None and unit[j] is not None and len(unit[i]) == len(unit[j]) and unit[i] @ unit[j] > 0.95]
+        into[int(n[i])] = min(near, default=None)
+    rows = spark.createDataFrame([(int(k), v, v, v) for k, v in zip(n, x)], "n long, context array<float>, action array<float>, result array<float>")
+    assert {r.n: r.into for r in ingest.within_batch(rows, 0.95).collect()} == into and sum(v is not None for v in into.values()) > 20
+    assert ingest.within_batch(rows.limit(0), 0.95).count() == 0
