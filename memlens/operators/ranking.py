@@ -18,7 +18,10 @@ RRF_K, W_VECTOR, W_TEXT = 60, 0.7, 0.3
 SHADOW_K = (3, 5, 10, 20)
 TEXT_COLUMNS = ("context", "action", "result")
 #: Postings dealt to one task, tokens of queries in one broadcast block, cells of scores that a task holds at once.
-TASK_POSTINGS, BLOCK_TOKENS, SCORE_CELLS = 1 << 19, 1 << 20, 1 << 22
+TASK_POSTINGS, BLOCK_TOKENS, SCORE_CELLS = 1 << 20, 1 << 20, 1 << 22
+#: Rows of a group whose best score is looked at first, cells of weights held densely, and the share (one in so many of all pairs of a query and a row) that
+#: a token has to touch for its weights to be held so.
+GROUP_ROWS, DENSE_CELLS, DENSE_SHARE = 64, 1 << 22, 128
 
 
 # -- BM25
@@ -147,23 +150,25 @@ def _best(asked: DataFrame, scored: DataFrame, k: int, total: int) -> DataFrame:
     Rows are dealt to tasks with all their postings, about TASK_POSTINGS each, and the stated queries are broadcast in blocks. A task adds up
     the scores of its rows for some queries at a time, so nothing is shuffled by token and k rows a task and query are left.
     """
-    kind = dict(asked.dtypes)["query_id"]
-    entries = asked.count()
-    parts = max(1, -(-entries // BLOCK_TOKENS))
-    dealt = scored.repartition(max(8, -(-total // TASK_POSTINGS)), "id")
+    # queries and tokens go by number, so that what the driver and the tasks hold of them is small
+    names = cut(asked.select("query_id").distinct().withColumn("q", F.monotonically_increasing_id()))
+    codes = cut(asked.select("token").distinct().withColumn("code", F.monotonically_increasing_id()))
+    entries = cut(skew_join(skew_join(asked, names, ["query_id"]), codes, ["token"]).select("q", "code", "times"))
+    parts = max(1, -(-entries.count() // BLOCK_TOKENS))
+    dealt = skew_join(scored, codes, ["token"]).select("code", "id", "w").repartition(max(8, -(-total // TASK_POSTINGS)), "id")
     out: DataFrame | None = None
     for part in range(parts):
-        block = asked if parts == 1 else asked.where(F.pmod(F.xxhash64("query_id"), F.lit(parts)) == part)
-        best = _best_of_block(dealt, block.select("query_id", "token", "times").toPandas(), k, kind)
+        block = entries if parts == 1 else entries.where(F.pmod(F.xxhash64("q"), F.lit(parts)) == part)
+        best = _best_of_block(dealt, block.toArrow().to_pandas(), k)
         out = best if out is None else out.unionByName(best)
-    return out
+    return out.join(small(names), "q").select("query_id", "id", "score")
 
 
-def _best_of_block(scored: DataFrame, block: pd.DataFrame, k: int, kind: str) -> DataFrame:
-    queries, of = np.unique(block["query_id"].to_numpy(), return_inverse=True)
-    tokens, code = np.unique(block["token"].to_numpy(), return_inverse=True)
+def _best_of_block(scored: DataFrame, block: pd.DataFrame, k: int) -> DataFrame:
+    queries, of = np.unique(block["q"].to_numpy(), return_inverse=True)
+    tokens, code = np.unique(block["code"].to_numpy(), return_inverse=True)
     by = np.argsort(of, kind="stable")
-    shared = scored.sparkSession.sparkContext.broadcast((queries, tokens, of[by], code[by], block["times"].to_numpy(float)[by]))
+    shared = scored.sparkSession.sparkContext.broadcast((queries, tokens, of[by].astype(np.int32), code[by].astype(np.int32), block["times"].to_numpy(np.float32)[by]))
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         queries, tokens, of, code, times = shared.value
@@ -172,36 +177,88 @@ def _best_of_block(scored: DataFrame, block: pd.DataFrame, k: int, kind: str) ->
             return
         pdf = pd.concat(held)
         ids, row = np.unique(pdf["id"].to_numpy(), return_inverse=True)
-        at = np.searchsorted(tokens, pdf["token"].to_numpy()) if len(tokens) else np.zeros(len(pdf), int)
-        known = (at < len(tokens)) & (tokens[np.minimum(at, len(tokens) - 1)] == pdf["token"].to_numpy())
+        at = np.searchsorted(tokens, pdf["code"].to_numpy())
+        known = (at < len(tokens)) & (tokens[np.minimum(at, len(tokens) - 1)] == pdf["code"].to_numpy())
         at, row, w = at[known], row[known], pdf["w"].to_numpy()[known]
         order = np.lexsort((row, at))
-        row, w = row[order], w[order]
-        begin = np.searchsorted(at[order], np.arange(len(tokens) + 1))
-        size = np.diff(begin)
-        first = np.searchsorted(of, np.arange(len(queries) + 1))
-        work = np.concatenate([[0], np.cumsum(size[code])])[first]
-        q = 0
-        while q < len(queries):
-            # as many queries as keep the cells and the postings of the step bounded
-            end = max(q + 1, min(q + max(1, SCORE_CELLS // len(ids)), int(np.searchsorted(work, work[q] + SCORE_CELLS, side="right")) - 1))
-            own = slice(first[q], first[end])
-            n = size[code[own]]
-            place = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(begin[code[own]], n)
-            cell = np.repeat(of[own] - q, n) * len(ids) + row[place]
-            s = np.bincount(cell, np.repeat(times[own], n) * w[place], (end - q) * len(ids)).reshape(end - q, len(ids))
-            hit = s > 0
-            if len(ids) > k:
-                hit &= s >= -np.partition(-s, k - 1, axis=1)[:, k - 1 : k] - 2 * SCREEN
-            r, c = np.nonzero(hit)
-            score = s[r, c]
-            best = np.lexsort((c, -score.round(9), r))
-            r, c, score = r[best], c[best], score[best]
-            ok = np.arange(len(r)) - np.searchsorted(r, r) < k
-            yield pd.DataFrame({"query_id": queries[q + r[ok]], "id": ids[c[ok]], "score": score[ok]})
-            q = end
+        yield from _best_rows(queries, of.astype(np.int64), code.astype(np.int64), times.astype(float), ids, at[order], row[order], w[order], len(tokens), k)
+
+    return scored.select("code", "id", "w").mapInPandas(run, "q long, id string, score double")
+
 
-    return scored.select("token", "id", "w").mapInPandas(run, f"query_id {kind}, id string, score double")
+def _best_rows(queries: np.ndarray, of: np.ndarray, code: np.ndarray, times: np.ndarray, ids: np.ndarray, at: np.ndarray, row: np.ndarray, w: np.ndarray, kinds: int, k: int) -> Iterator[pd.DataFrame]:
+    """Frames (q, id, score) of the best ``k`` of the rows ``ids`` for each query, some queries at a time.
+
+    Entries (``of``, ``code``, ``times``) are the tokens of the queries, by query; postings (``at``, ``row``, ``w``) are by token and row. Scores are
+    screened in single precision: tokens of many queries and rows by one product, others posting by posting. All rows that the
+    bound of its error leaves are then summed in double precision, token by token, so that equal rows have equal scores.
+    """
+    begin = np.searchsorted(at, np.arange(kinds + 1))
+    size = np.diff(begin)
+    first = np.searchsorted(of, np.arange(len(queries) + 1))
+    groups = max(1, -(-len(ids) // GROUP_ROWS))
+    width = groups * GROUP_ROWS
+    often = np.flatnonzero(np.bincount(code, minlength=kinds) * size * DENSE_SHARE > len(queries) * len(ids))
+    often = often[np.argsort(-size[often], kind="stable")][: max(1, DENSE_CELLS // width)]
+    place = np.full(kinds, -1)
+    place[often] = np.arange(len(often))
+    weight = np.zeros((len(often), width))
+    known = place[at] >= 0
+    weight[place[at[known]], row[known]] = w[known]
+    fast, key, w4 = weight.astype(np.float32), at * len(ids) + row, w.astype(np.float32)
+    slack = 3 * (np.diff(first).max(initial=0) + 4) * 1.2e-7  # of sums of positive numbers in single precision, twice and then some
+    rare = np.where(place[code] < 0, size[code], 0)
+    work = np.concatenate([[0], np.cumsum(rare)])[first]
+    q = 0
+    while q < len(queries):
+        # as many queries as keep the cells and the postings of the step bounded
+        end = max(q + 1, min(q + max(1, SCORE_CELLS // width), int(np.searchsorted(work, work[q] + SCORE_CELLS, side="right")) - 1))
+        own = slice(first[q], first[end])
+        who, what, many = of[own] - q, code[own], times[own]
+        asked = np.zeros((end - q, len(often)), np.float32)
+        dense = place[what] >= 0
+        asked[who[dense], place[what[dense]]] = many[dense]
+        s = asked @ fast
+        n = size[what[~dense]]
+        post = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(begin[what[~dense]], n)
+        np.add.at(s.reshape(-1), np.repeat(who[~dense], n) * width + row[post], np.repeat(many[~dense].astype(np.float32), n) * w4[post])
+        # the k-th best of the groups' best is no better than the k-th best row
+        best = s.reshape(end - q, GROUP_ROWS, groups).max(1)
+        least = np.partition(best, groups - k, axis=1)[:, groups - k] * (1 - slack) - 1e-7 if groups > k else np.zeros(end - q)
+        r, g = np.nonzero((best >= least[:, None]) & (best > 0))
+        for i in range(0, len(r), 1 << 12):
+            rows, cols = r[i : i + (1 << 12)], g[i : i + (1 << 12), None] + np.arange(GROUP_ROWS) * groups
+            value = s[rows[:, None], cols]
+            at_, j = np.nonzero((value >= least[rows][:, None]) & (value > 0))
+            part = (rows[at_], cols[at_, j], value[at_, j])
+            found = part if not i else tuple(np.concatenate(x) for x in zip(found, part))
+        if len(r):
+            r, c, value = found
+            by = np.lexsort((-value, r))
+            r, c, value = r[by], c[by], value[by]
+            last = np.searchsorted(r, r) + k - 1
+            last = np.where(last < np.searchsorted(r, r, side="right"), last, -1)
+            near = (last < 0) | (value >= value[last] * (1 - slack) - 1e-7)
+            r, c = r[near], c[near]
+            score = np.empty(len(r))
+            step = max(1, (1 << 20) // int(np.diff(first).max()))
+            for i in range(0, len(r), step):
+                mine, cols = r[i : i + step], c[i : i + step]
+                n = first[q + mine + 1] - first[q + mine]
+                entry = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(first[q + mine], n)
+                token, col = code[entry], np.repeat(cols, n)
+                dense = place[token] >= 0
+                value = np.zeros(len(entry))
+                value[dense] = weight[place[token[dense]], col[dense]]
+                wanted = token[~dense] * len(ids) + col[~dense]
+                spot = np.minimum(np.searchsorted(key, wanted), len(key) - 1)
+                value[~dense] = np.where(key[spot] == wanted, w[spot], 0)
+                score[i : i + step] = np.bincount(np.repeat(np.arange(len(mine)), n), value * times[entry], len(mine))
+            by = np.lexsort((c, -score.round(9), r))
+            r, c, score = r[by], c[by], score[by]
+            ok = np.arange(len(r)) - np.searchsorted(r, r) < k
+            yield pd.DataFrame({"q": queries[q + r[ok]], "id": ids[c[ok]], "score": score[ok]})
+        q = end
 
 
 def top(df: DataFrame, k: int, order: list[Column], by: str = "query_id") -> DataFrame:

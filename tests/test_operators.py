@@ -542,3 +542,27 @@ def test_all_chains_find_the_explicit_ones_once(spark, monkeypatch):
     m = memories(spark, dict(id="a"), dict(id="b", parent_id="a"), dict(id="x", embedding_context=near), dict(id="y", embedding_context=near))
     assert rows(mining.chains(m)) == [("explicit", "a", 0, "a"), ("explicit", "a", 1, "b"), ("implicit", "x", 0, "x"), ("implicit", "x", 1, "y")]
     assert len(calls) == 1
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_screened_scores_give_the_exact_best_rows(monkeypatch, seed):
+    """Dense and posting-wise tokens, small steps, many rows of equal scores: best rows, ties to the smaller id, as in a plain sum."""
+    rng = np.random.default_rng(seed)
+    monkeypatch.setattr(ranking, "SCORE_CELLS", [100, 5000, 1 << 22][seed % 3])
+    monkeypatch.setattr(ranking, "DENSE_SHARE", [128, 1, 10**9][seed // 2])
+    rows_, kinds, asking = [7, 900][seed % 2], 60, 150
+    share = rng.random(kinds) ** 3
+    have, weight = rng.random((kinds, rows_)) < share[:, None], np.repeat(rng.random((kinds, 1)), rows_, 1)
+    have[:, rows_ // 2 :] = have[:, rng.integers(0, 3, rows_ - rows_ // 2)]
+    at, row = np.nonzero(have)
+    of, code = np.nonzero(rng.random((asking, kinds)) < share / 2)
+    times = rng.integers(1, 3, len(of)).astype(float)
+    queries, ids = np.array([f"q{i:03d}" for i in range(asking)], object), np.array([f"d{i:03d}" for i in range(rows_)], object)
+    got = {q: [] for q in queries}
+    for frame in ranking._best_rows(queries, of, code, times, ids, at, row, weight[at, row], kinds, 5):
+        for q, i, s in frame.itertuples(index=False):
+            got[q].append((i, round(s, 7)))
+    for q, name in enumerate(queries):
+        s = times[of == q] @ np.where(have, weight, 0)[code[of == q]]
+        best = np.lexsort((np.arange(rows_), -s.round(9)))[:5]
+        assert got[name] == [(ids[j], round(s[j], 7)) for j in best if s[j] > 0]
