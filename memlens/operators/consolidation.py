@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -9,9 +12,11 @@ from memlens.functions.text import probe_text
 from memlens.functions.timeutil import days_between, instant
 from memlens.operators.ranking import bm25, query_tokens
 from memlens.operators.store import set_fields
-from memlens.runtime import clean_key, cut, drop_table
+from memlens.runtime import clean_key, cut, drop_table, estimated_bytes
 
 PROBE_HITS = 5
+#: Bytes of open links from which one task takes them in order; more are decided in rounds by all tasks.
+TAIL_BYTES = 32 << 20
 # Confidences of the recommendations.
 CONFIDENCE = {"merge_model": 0.8, "keep": 0.7, "merge": 0.6, "archive": 0.9, "delete": 0.95}
 TEXTS = ("context", "action", "result")
@@ -56,7 +61,7 @@ def text_groups(memories: DataFrame, probes: DataFrame, floor: float = 0.0) -> D
     absolute ranks of the group; groups under ``floor`` are not made and take nothing. The order is kept without
     running through it: in each round every open probe that no earlier open probe shares a row with is decided, so
     the rows it meets are settled, and the result is that of the sequential pass. Rounds are as many as the longest run of
-    probes that wait for one another.
+    probes that wait for one another; once the open links are under TAIL_BYTES one task goes through the rest in order.
     """
     taken = cut(exact_members(memories).select("id").distinct())
     order = F.struct("created_at", F.col("id").alias("probe"))
@@ -65,6 +70,9 @@ def text_groups(memories: DataFrame, probes: DataFrame, floor: float = 0.0) -> D
     open_ = cut(links.join(taken.withColumnRenamed("id", "probe_id"), "probe_id", "left_anti").join(taken, "id", "left_anti"))
     made: list[DataFrame] = []
     while not open_.isEmpty():
+        if estimated_bytes(open_) <= TAIL_BYTES:
+            made.append(cut(_in_order(open_, floor)))
+            break
         # a probe meets itself and its free hits
         meets = open_.select("at", "id").unionByName(open_.select("at", F.col("probe_id").alias("id"))).distinct()
         first = meets.groupBy("id").agg(F.min("at").alias("first"))
@@ -89,6 +97,43 @@ def text_groups(memories: DataFrame, probes: DataFrame, floor: float = 0.0) -> D
     return out
 
 
+def _in_order(links: DataFrame, floor: float) -> DataFrame:
+    """(primary_id, id, similarity): the groups of open links (at, probe_id, id, rank), taken by one task in the order of ``at``."""
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        used: set[str] = set()
+        held: list[pd.DataFrame] = []
+        for pdf in frames:
+            # the last probe of a frame may go on in the next
+            pdf = pd.concat([*held, pdf]) if held else pdf
+            last = pdf["probe_id"] == pdf["probe_id"].iloc[-1] if len(pdf) else slice(0)
+            held = [pdf[last]]
+            yield _take(pdf[~last] if len(pdf) else pdf, used, floor)
+        for pdf in held:
+            yield _take(pdf, used, floor)
+
+    ordered = links.select("at.created_at", "probe_id", "id", "rank").coalesce(1).sortWithinPartitions("created_at", "probe_id", "id")
+    return ordered.select("probe_id", "id", "rank").mapInPandas(run, "primary_id string, id string, similarity double")
+
+
+def _take(links: pd.DataFrame, used: set[str], floor: float) -> pd.DataFrame:
+    """The groups of whole probes (probe_id, id, rank) in order; what they take is added to ``used``."""
+    probes, hits, ranks = (links[c].tolist() for c in ("probe_id", "id", "rank"))
+    out: list[tuple[str, str, float]] = []
+    start = 0
+    while start < len(probes):
+        probe, end = probes[start], start
+        while end < len(probes) and probes[end] == probe:
+            end += 1
+        free = [i for i in range(start, end) if hits[i] not in used] if probe not in used else []
+        start = end
+        if free and (similarity := sum(ranks[i] for i in free) / len(free)) >= floor:
+            group = [probe, *(hits[i] for i in free)]
+            used.update(group)
+            out += [(probe, i, similarity) for i in group]
+    return pd.DataFrame(out, columns=["primary_id", "id", "similarity"]).astype({"similarity": float})
+
+
 def components(links: DataFrame) -> DataFrame:
     """(id, component): the smallest id each end of the links (a, b) is connected with.
 

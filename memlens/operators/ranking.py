@@ -21,7 +21,7 @@ TEXT_COLUMNS = ("context", "action", "result")
 TASK_POSTINGS, BLOCK_TOKENS, SCORE_CELLS = 1 << 20, 1 << 20, 1 << 22
 #: Rows of a group whose best score is looked at first, cells of weights held densely, and the share (one in so many of all pairs of a query and a row) that
 #: a token has to touch for its weights to be held so.
-GROUP_ROWS, DENSE_CELLS, DENSE_SHARE = 64, 1 << 22, 128
+GROUP_ROWS, DENSE_CELLS, DENSE_SHARE = 64, 1 << 23, 256
 
 
 # -- BM25
@@ -219,9 +219,9 @@ def _best_rows(queries: np.ndarray, of: np.ndarray, code: np.ndarray, times: np.
         dense = place[what] >= 0
         asked[who[dense], place[what[dense]]] = many[dense]
         s = asked @ fast
-        n = size[what[~dense]]
-        post = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(begin[what[~dense]], n)
-        np.add.at(s.reshape(-1), np.repeat(who[~dense], n) * width + row[post], np.repeat(many[~dense].astype(np.float32), n) * w4[post])
+        for i, t, m in zip(who[~dense].tolist(), what[~dense].tolist(), many[~dense].tolist()):
+            mine = slice(begin[t], begin[t + 1])
+            s[i, row[mine]] += w4[mine] if m == 1 else w4[mine] * np.float32(m)
         # the k-th best of the groups' best is no better than the k-th best row
         best = s.reshape(end - q, GROUP_ROWS, groups).max(1)
         least = np.partition(best, groups - k, axis=1)[:, groups - k] * (1 - slack) - 1e-7 if groups > k else np.zeros(end - q)

@@ -310,6 +310,22 @@ def test_text_groups_equal_the_sequential_pass(spark):
         assert {(r.primary_id, r.id) for r in con.text_groups(m, probes, floor).collect()} == want
 
 
+@pytest.mark.parametrize("tail", [0, 32 << 20])
+def test_text_groups_wait_for_a_long_run_of_probes(spark, monkeypatch, tail):
+    """Each probe meets the next; small tables take one job for all of them, and rounds give the same groups."""
+    import random
+
+    calls, in_order = [], con._in_order
+    monkeypatch.setattr(con, "TAIL_BYTES", tail)
+    monkeypatch.setattr(con, "_in_order", lambda *a: calls.append(1) or in_order(*a))
+    ids = [f"r{i:02d}" for i in range(12)]
+    m = memories(spark, *[dict(id=i, context=i, created_at=f"2024-01-{n + 1:02d}T00:00:00Z") for n, i in enumerate(ids)])
+    found = [(p, h, -random.Random(p + h).random()) for n, p in enumerate(ids) for h in ids[n + 1 : n + 2] + ids[max(0, n - 1) : n]]
+    got = con.text_groups(m, spark.createDataFrame(found, "probe_id string, id string, rank double"), 0.0)
+    want = {(ids[n], i) for n in range(0, 12, 2) for i in ids[n : n + 2]}
+    assert {(r.primary_id, r.id) for r in got.collect()} == want and len(calls) == bool(tail)
+
+
 def test_components_of_a_long_chain(spark):
     links = spark.createDataFrame([(f"n{i:03d}", f"n{i + 1:03d}") for i in range(120)] + [("x", "y")], "a string, b string")
     got = con.components(links).groupBy("component").count()
