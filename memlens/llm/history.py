@@ -2,9 +2,10 @@
 
 The history lives in a folder that can be closed and opened again. It is a list of runs; each holds
 every record once a key, sorted by the key and range-partitioned into files. A key is the leaf of a small-leaved k-means
-tree over one field and, within the leaf, the cosine to its centre. A batch is compared with windows
-around its own records only, and only the files whose ranges its windows touch are read. Accepted
-records become a new sorted run, and small runs are merged when there are too many.
+tree over one field and, within the leaf, the cosine to its centre. A batch is first compared with narrow windows
+around its own records, and only the files whose ranges these touch are read. What they are and how many is learnt from a sample, so
+records they don't match are compared again with all that the triangle inequality leaves of the history: the sample
+decides how fast a near record is found, never whether. Accepted records become a new sorted run, and small runs are merged when there are too many.
 """
 
 from __future__ import annotations
@@ -24,8 +25,10 @@ from memlens.runtime import cut, drop_table, new_table
 
 #: Fields whose trees give the sort keys, rows a leaf is planned for, rows of a file of a run.
 KEYS, LEAF_ROWS, PART_ROWS = (0, 2), 256, 1 << 15
-#: Rate at which near pairs of the sample must meet by one key, and the margin on the widest window the sample asks for.
+#: Rate at which near pairs of the sample must meet by one key at first, and the margin on the widest window the sample asks for.
 RECALL, MARGIN = 0.998, 1.25
+#: Rows of a batch that are compared with a stretch of a leaf at once, and what rounding may add to an angle.
+STEP, ROUNDING = 256, 5e-3
 #: Bytes of one broadcast block of new records; longer batches take several passes.
 BLOCK_BYTES = 48 << 20
 #: Earlier neighbours listed for a record at once; where all of them fall away the next are asked for.
@@ -51,14 +54,13 @@ def complete(df: DataFrame, order: list[str], blobs: list[str]) -> DataFrame:
 
 
 class Key:
-    """One sort key: a tree, how many leaves to look into, how wide, and where each leaf lies in the order."""
+    """One sort key: a tree, how many leaves to look into at first, how wide, and where each leaf lies in the order."""
 
     def __init__(self, tree: Tree, sample: np.ndarray, least: float):
         self.tree = tree
         pairs = tree.near_sample(sample, least) if len(sample) else None
-        # leaves that a new record looks into for a stored one, and that both look into within a batch
+        # leaves that a new record looks into for a stored one
         self.probes = tree.calibrate(sample, least, RECALL, 2, one_sided=True, pairs=pairs)
-        self.spread = tree.calibrate(sample, least, RECALL, 2, pairs=pairs)
         self.window = math.sqrt(2 * (1 - least)) + 1e-3  # cosines to a fixed direction differ by no more between near vectors
         nodes = len(tree.centres)
         share, self.low, self.high = np.where(tree.leaf, 0.5, 0.0), np.full(nodes, -1.0), np.full(nodes, 1.0)
@@ -83,7 +85,7 @@ class Key:
 
     def arrays(self) -> dict[str, np.ndarray]:
         t = self.tree
-        return {"centres": t.centres, "kids": t.kids, "leaf": t.leaf, "gain": t.gain, "low": self.low, "high": self.high, "begin": self.begin, "end": self.end, "rest": np.array([self.probes, self.spread, self.window])}
+        return {"centres": t.centres, "kids": t.kids, "leaf": t.leaf, "gain": t.gain, "low": self.low, "high": self.high, "begin": self.begin, "end": self.end, "rest": np.array([self.probes, self.window])}
 
     @classmethod
     def of(cls, arrays: dict[str, np.ndarray]) -> Key:
@@ -92,8 +94,8 @@ class Key:
             setattr(self_tree, name, arrays[name])
         for name in ("low", "high", "begin", "end"):
             setattr(self, name, arrays[name])
-        self.tree, (probes, spread, self.window) = self_tree, arrays["rest"]
-        self.probes, self.spread = int(probes), int(spread)
+        self.tree, (probes, self.window) = self_tree, arrays["rest"]
+        self.probes = int(probes)
         return self
 
 
@@ -249,7 +251,10 @@ class History:
         found: DataFrame | None = None
         for part in range(parts):
             block = new.where(F.pmod(F.xxhash64("n"), F.lit(parts)) == part) if parts > 1 else new
-            hits = self._probe(self._asked(block).toPandas())
+            asked = self._asked(block).toPandas()
+            hits = cut(self._probe(asked))
+            rest = asked[~asked["n"].isin(hits.distinct().toPandas()["n"])]
+            hits = hits.unionByName(self._scan(rest))
             found = hits if found is None else found.unionByName(hits)
         return found.distinct()
 
@@ -322,42 +327,74 @@ class History:
 
         return self.spark.read.schema(RUN).parquet(*files).mapInPandas(run, "n long")
 
+    def _scan(self, block: pd.DataFrame) -> DataFrame:
+        """(n) of the rows of a block that are near a stored record, for certain.
+
+        Near vectors differ in their angle to any direction by no more than the angle between them. One key is enough: a row is compared with the
+        stretch of each leaf whose angles to the centre are that near to its own.
+        """
+        if not len(block) or not self.runs:
+            return self.spark.createDataFrame([], "n long")
+        f, width = KEYS[0], len(self.blobs)
+        shared = self.spark.sparkContext.broadcast((block["n"].to_numpy(), [b"".join(block[f"vec{i}"]) for i in range(width)], self.keys[f].tree.centres))
+        least, reach = self.least, math.acos(min(1.0, max(-1.0, self.least))) + ROUNDING
+
+        def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            n, raw, centres = shared.value
+            mine = [matrix([r]) for r in raw]
+            fast = mine[f].astype(np.float32)
+            hit = np.zeros(len(n), bool)
+            for pdf in frames:
+                leaf, s = pdf["leaf"].to_numpy(), pdf["s"].to_numpy()
+                edges = [0, *(np.flatnonzero((np.diff(leaf) != 0) | (np.diff(s) < 0)) + 1), len(pdf)]
+                blobs = [pdf[f"vec{i}"].to_numpy() for i in range(width)]
+                before, lead = hit.copy(), matrix(blobs[f]).astype(np.float32) if len(pdf) else None
+                for lo, hi in zip(edges, edges[1:]):
+                    if hi <= lo:
+                        continue
+                    own = s[lo:hi]
+                    angle = np.arccos(np.clip(fast @ centres[leaf[lo]], -1, 1))
+                    low, high = np.cos(np.minimum(angle + reach, np.pi)), np.cos(np.maximum(angle - reach, 0))
+                    # cosines next to 1 and -1 are rounded too
+                    low, high = np.where(angle + reach >= np.pi, -2, low), np.where(angle <= reach, 2, high)
+                    open_ = np.flatnonzero(~hit & (high >= own[0]) & (low <= own[-1]))
+                    open_ = open_[np.argsort(angle[open_])]
+                    for i in range(0, len(open_), STEP):
+                        rows = open_[i : i + STEP]
+                        a, b = np.searchsorted(own, low[rows[-1]]), np.searchsorted(own, high[rows[0]], side="right")
+                        r, c = np.nonzero(fast[rows] @ lead[lo + a : lo + b].T > least - SCREEN)
+                        if len(r):
+                            kinds, at = np.unique(c, return_inverse=True)
+                            theirs = [matrix(v[lo + a + kinds]) for v in blobs]
+                            hit[rows[r[all_above(list(zip(mine, theirs)), rows[r], at, least)]]] = True
+                new = np.flatnonzero(hit & ~before)
+                if len(new):
+                    yield pd.DataFrame({"n": n[new]})
+
+        return self._read(self.runs).where(F.col("key") == f).mapInPandas(run, "n long")
+
     # -- a batch against itself
 
     def _neighbours(self, rows: DataFrame, after: DataFrame | None) -> DataFrame:
         """(n, near, more): the first earlier neighbours of each row, beyond ``after`` (n, seen) if given.
 
-        Leaves that more than BLOCK_ROWS rows visit are compared in pairs of blocks, each a group of its own.
+        All rows are compared, in pairs of blocks of BLOCK_ROWS, each a group of its own.
         """
-        keys, least, columns = self.keys, self.least, [f"vec{i}" for i in range(len(self.blobs))]
-
-        def visits(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            for pdf in frames:
-                for f, key in keys.items():
-                    leaf, n = np.unique(key.tree.visit(matrix(pdf[columns[f]]), key.spread), return_counts=True)
-                    yield pd.DataFrame({"key": np.int32(f), "leaf": leaf.astype(np.int32), "rows": n})
-
-        counts = rows.mapInPandas(visits, "key int, leaf int, rows bigint").groupBy("key", "leaf").agg(F.sum("rows").alias("rows")).where(F.col("rows") > BLOCK_ROWS)
-        most = sum(k.spread for k in keys.values())  # no leaf can be crowded where all visits together are few
-        hot = {(r["key"], r["leaf"]): -(-r["rows"] // BLOCK_ROWS) for r in counts.collect()} if rows.count() * most > BLOCK_ROWS else {}
+        least, columns = self.least, [f"vec{i}" for i in range(len(self.blobs))]
+        blocks = max(1, -(-rows.count() // BLOCK_ROWS))
 
         def placed(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for pdf in frames:
-                for f, key in keys.items():
-                    leaves = key.tree.visit(matrix(pdf[columns[f]]), key.spread)
-                    row, _ = np.nonzero(leaves >= 0)
-                    at = leaves[leaves >= 0]
-                    blocks = np.fromiter((hot.get((f, int(x)), 1) for x in at), np.int64, len(at)) if hot else np.ones(len(at), np.int64)
-                    again = np.repeat(np.arange(len(at)), blocks)
-                    other = np.arange(len(again)) - np.repeat(np.cumsum(blocks) - blocks, blocks)
-                    row, at, own = row[again], at[again], pdf["n"].to_numpy()[row[again]] % blocks[again]
-                    yield pd.DataFrame({"key": np.int32(f), "leaf": at, "i": np.minimum(own, other).astype(np.int32), "j": np.maximum(own, other).astype(np.int32), **{c: pdf[c].to_numpy()[row] for c in pdf.columns}})
+                own = np.repeat(pdf["n"].to_numpy() % blocks, blocks)
+                other = np.tile(np.arange(blocks), len(pdf))
+                row = np.repeat(np.arange(len(pdf)), blocks)
+                yield pd.DataFrame({"i": np.minimum(own, other).astype(np.int32), "j": np.maximum(own, other).astype(np.int32), **{c: pdf[c].to_numpy()[row] for c in pdf.columns}})
 
         def block(pdf: pd.DataFrame) -> pd.DataFrame:
             pdf = pdf.sort_values("n")
-            n, f = pdf["n"].to_numpy(), int(pdf["key"].iloc[0])
+            n = pdf["n"].to_numpy()
             x = [matrix(pdf[c]) for c in columns]
-            lead, out = x[f].astype(np.float32), []
+            lead, out = x[KEYS[0]].astype(np.float32), []
             seen = pdf["seen"].to_numpy() if "seen" in pdf else np.full(len(n), -1)
             for i in range(0, len(n), 128):
                 r, c = np.nonzero(np.tril(lead[i : i + 128] @ lead[: i + 128].T > least - SCREEN, i - 1))
@@ -373,8 +410,8 @@ class History:
 
         src = rows if after is None else rows.join(after, "n", "left").withColumn("seen", F.coalesce("seen", F.lit(2**62)))
         fields = ", ".join(f"{c} binary" for c in columns) + (", seen long" if after is not None else "")
-        at = src.mapInPandas(placed, f"key int, leaf int, i int, j int, n long, {fields}")
-        pairs = at.groupBy("key", "leaf", "i", "j").applyInPandas(block, "n long, near long, last boolean")
+        at = src.mapInPandas(placed, f"i int, j int, n long, {fields}")
+        pairs = at.groupBy("i", "j").applyInPandas(block, "n long, near long, last boolean")
         return cut(pairs.groupBy("n", "near").agg(F.max("last").alias("last")))
 
     def _accept(self, rows: DataFrame) -> DataFrame:

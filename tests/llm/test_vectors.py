@@ -287,6 +287,19 @@ def test_a_batch_in_split_leaves(spark, monkeypatch):
     assert sorted(r.arrival for r in got.collect()) == truth
 
 
+@pytest.mark.parametrize("stored", [0, 160])
+def test_history_misses_nothing_where_the_sample_is_wrong(spark, monkeypatch, stored):
+    """With one leaf to look into and no width, as a sample without near pairs may have it, all near records are still found."""
+    monkeypatch.setattr(history, "LEAF_ROWS", 8)
+    monkeypatch.setattr(history, "MARGIN", 0)
+    monkeypatch.setattr("memlens.llm.vectors.Tree.calibrate", lambda *_, **__: 1)
+    v = triple(groups(40, 8, 0.22, seed=5))[np.random.default_rng(4).permutation(320)]
+    truth = greedy(v[:stored], v[stored:], 0.95)
+    h = History(table(spark, v[:stored]))
+    got = h.absorb(batch(spark, v[stored:]), ["arrival"])
+    assert sorted(r.arrival for r in got.collect()) == truth and len(truth) > 50
+
+
 def test_history_of_nothing(spark):
     v = triple(groups(3, 1, 0))
     assert History(table(spark, v[:0])).absorb(batch(spark, v[:0]), ["arrival"]).count() == 0
