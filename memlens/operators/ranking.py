@@ -18,7 +18,7 @@ RRF_K, W_VECTOR, W_TEXT = 60, 0.7, 0.3
 SHADOW_K = (3, 5, 10, 20)
 TEXT_COLUMNS = ("context", "action", "result")
 #: Postings dealt to one task, tokens of queries in one broadcast block, cells of scores that a task holds at once.
-TASK_POSTINGS, BLOCK_TOKENS, SCORE_CELLS = 1 << 20, 1 << 20, 1 << 22
+TASK_POSTINGS, BLOCK_TOKENS, SCORE_CELLS = 1 << 20, 1 << 21, 1 << 22
 #: Rows of a group whose best score is looked at first, cells of weights held densely, and the share (one in so many of all pairs of a query and a row) that
 #: a token has to touch for its weights to be held so.
 GROUP_ROWS, DENSE_CELLS, DENSE_SHARE = 64, 1 << 23, 256
@@ -141,11 +141,11 @@ def bm25(memories: DataFrame | TextIndex, tokens: DataFrame, k: int | None, stem
     asked = words.join(df.select("token"), "token", "left_semi")
     if k is None:
         return skew_join(scored, asked, ["token"]).groupBy("query_id", "id").agg((-F.sum(F.col("w") * F.col("times"))).alias("rank"))
-    return top(_best(asked, scored, k, tf.count()).select("query_id", "id", (-F.col("score")).alias("rank")), k, [F.round("rank", 9).asc()])
+    return _best(asked, scored, k, tf.count())
 
 
 def _best(asked: DataFrame, scored: DataFrame, k: int, total: int) -> DataFrame:
-    """(query_id, id, score): what each task holds of the best ``k`` rows of each query.
+    """(query_id, id, rank, pos) of the best ``k`` rows of each query, from those that each task holds.
 
     Rows are dealt to tasks with all their postings, about TASK_POSTINGS each, and the stated queries are broadcast in blocks. A task adds up
     the scores of its rows for some queries at a time, so nothing is shuffled by token and k rows a task and query are left.
@@ -161,7 +161,8 @@ def _best(asked: DataFrame, scored: DataFrame, k: int, total: int) -> DataFrame:
         block = entries if parts == 1 else entries.where(F.pmod(F.xxhash64("q"), F.lit(parts)) == part)
         best = _best_of_block(dealt, block.toArrow().to_pandas(), k)
         out = best if out is None else out.unionByName(best)
-    return out.join(small(names), "q").select("query_id", "id", "score")
+    best = top(out.select("q", "id", (-F.col("score")).alias("rank")), k, [F.round("rank", 9).asc()], by="q")
+    return best.join(small(names), "q").select("query_id", "id", "rank", "pos")
 
 
 def _best_of_block(scored: DataFrame, block: pd.DataFrame, k: int) -> DataFrame:
@@ -176,7 +177,9 @@ def _best_of_block(scored: DataFrame, block: pd.DataFrame, k: int) -> DataFrame:
         if not held or not len(queries):
             return
         pdf = pd.concat(held)
-        ids, row = np.unique(pdf["id"].to_numpy(), return_inverse=True)
+        kind, ids = pd.factorize(pdf["id"].to_numpy())
+        by = np.argsort(ids)  # rows stand in the order of their ids; only the distinct ones are sorted
+        ids, row = ids[by], np.argsort(by)[kind]
         at = np.searchsorted(tokens, pdf["code"].to_numpy())
         known = (at < len(tokens)) & (tokens[np.minimum(at, len(tokens) - 1)] == pdf["code"].to_numpy())
         at, row, w = at[known], row[known], pdf["w"].to_numpy()[known]
