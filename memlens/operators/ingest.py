@@ -17,7 +17,7 @@ from memlens.runtime import cut, drop_table
 from memlens.schemas import MEMORY
 
 FIELDS = ("context", "action", "result")
-HITS_PER_FIELD, DEDUP = 16, 0.95
+DEDUP = 0.95
 MODEL_KEY = "embedding_model"
 
 
@@ -73,8 +73,8 @@ def first_wins(rows: DataFrame, edges: DataFrame) -> DataFrame:
     return state.select("n", "into")
 
 
-#: Rows that are decided at once, and rows of stored vectors that one task searches.
-LEAD_ROWS, SEARCH_ROWS = 1 << 13, 1 << 17
+#: Rows that are decided at once.
+LEAD_ROWS = 1 << 13
 
 
 def _units(pdf: pd.DataFrame) -> dict[tuple[int, ...], tuple[np.ndarray, list[np.ndarray]]]:
@@ -165,20 +165,17 @@ def store_batch(
     """Store ``batch`` (n, id, memory_type, context, action, result[, tags, project, parent_id]) in the order of n.
 
     A row whose three vectors are all nearer than ``threshold`` to those of one searchable row, stored or earlier in the batch, only
-    touches that row. Returns the new snapshot, the new vectors (field, id, vec) and (n, id, merged_into). Fields over 10,000
-    bytes are refused.
+    touches that row: the nearest of all stored rows, else the first of the batch. Returns the new snapshot, the new vectors (field, id,
+    vec) and (n, id, merged_into). Fields over 10,000 bytes are refused.
     """
     if (bad := store.violations(batch.select("id", "memory_type", *FIELDS, F.lit(None).cast("string").alias("insight_type"))).first()) is not None:
         raise ValueError(f"{bad['id']}: {bad['problem']}")
     fresh = cut(embed_fields(batch, provider))
     number = batch.select("id", "n")
-    stored, known = [], cut(vectors)
-    tasks = max(8, -(-known.count() // len(FIELDS) // SEARCH_ROWS))  # each task keeps hits of its own for every row
-    for f in FIELDS:
-        q = fresh.where(F.col("field") == f).join(number, "id").select(F.col("n").cast("string").alias("query_id"), "vec")
-        stored.append(ranking.knn(known.where(F.col("field") == f).select("id", "vec").repartition(tasks, "id"), q, HITS_PER_FIELD, threshold))
-    hits = cut(ranking.near_duplicate(stored, threshold).select(F.col("query_id").cast("long").alias("n"), F.col("id").alias("hit")))
-    wide = fresh.groupBy("id").pivot("field", list(FIELDS)).agg(F.first("vec"))
+    by_id = lambda v: cut(v.groupBy("id").pivot("field", list(FIELDS)).agg(F.first("vec")))
+    wide, known = by_id(fresh), by_id(vectors)
+    best = ranking.best_in_all(known, wide.join(number, "id").select(F.col("n").alias("query_id"), *FIELDS), FIELDS, threshold)
+    hits = cut(best.select(F.col("query_id").cast("long").alias("n"), F.col("id").alias("hit")))
     rest = cut(number.join(hits.select("n"), "n", "left_anti"))
     into = within_batch(cut(wide.join(rest, "id").select("n", *FIELDS)), threshold)
     inside = rest.join(into, "n").join(rest.select(F.col("n").alias("into"), F.col("id").alias("mate")), "into", "left")

@@ -413,6 +413,90 @@ def nearest_in_all(rows: DataFrame, queries: DataFrame, columns: tuple[str, ...]
     return others.groupBy("query_id").agg(best.alias("b")).select("query_id", "b.id", "b.sim")
 
 
+#: Pairs of which a task sums the cosines exactly at once.
+EXACT_PAIRS = 1 << 15
+
+
+def best_in_all(rows: DataFrame, queries: DataFrame, columns: tuple[str, ...], threshold: float) -> DataFrame:
+    """(query_id, id, sim): the row above ``threshold`` in all ``columns`` with the best least cosine, to nine digits; ties to the smaller id.
+
+    Every row is compared with every query and no hit is cut, but none is written either: a task keeps the best row of each query only.
+    Vectors are treated as in :func:`all_near`, those with a number that is not finite are skipped; queries are broadcast in blocks.
+    """
+    sizes = [F.coalesce(F.max(F.size(c)), F.lit(0)) for c in columns]
+    total, *widths = queries.agg(F.count("*"), *sizes).first()
+    if not total:
+        return rows.sparkSession.createDataFrame([], "query_id string, id string, sim double")
+    parts = -(-total * sum(8 * max(w, 1) + 64 for w in widths) // QUERY_BYTES)
+    out: DataFrame | None = None
+    for part in range(parts):
+        block = queries if parts == 1 else queries.where(F.pmod(F.xxhash64("query_id"), F.lit(parts)) == part)
+        hits = _best_block(rows, block.select(F.col("query_id").cast("string"), *columns).dropna().toPandas(), columns, threshold)
+        out = hits if out is None else out.unionByName(hits)
+    best = F.min(F.struct((-F.round("sim", 9)).alias("by"), "id", "sim"))
+    return out.groupBy("query_id").agg(best.alias("b")).select("query_id", "b.id", "b.sim")
+
+
+def _units_by_width(pdf: pd.DataFrame, name: str, columns: tuple[str, ...]) -> dict[tuple[int, ...], tuple[np.ndarray, list[np.ndarray]]]:
+    """``name`` and unit rows of each column of the rows by the widths of their vectors; empty and not finite vectors are left out."""
+    width = pd.Series(list(zip(*[pdf[c].map(len) for c in columns])), pdf.index, dtype=object)
+    out = {}
+    for key, own in pdf.groupby(width):
+        if all(key):
+            x = [_unit(np.array(own[c].tolist(), np.float64)) for c in columns]
+            ok = np.logical_and.reduce([np.isfinite(a).all(1) for a in x])
+            out[key] = (own[name].to_numpy()[ok], [a[ok] for a in x])
+    return out
+
+
+def _best_block(rows: DataFrame, block: pd.DataFrame, columns: tuple[str, ...], threshold: float) -> DataFrame:
+    shared = rows.sparkSession.sparkContext.broadcast(_units_by_width(block, "query_id", columns))
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        asked = {key: (q, [a.astype(np.float32) for a in q]) for key, (_, q) in shared.value.items()}
+        held = {key: (np.full(len(names), -np.inf), np.full(len(names), "", object)) for key, (names, _) in shared.value.items()}
+        for pdf in frames:
+            for key, (ids, x) in _units_by_width(pdf, "id", columns).items():
+                if key not in asked or not len(ids):
+                    continue
+                # of equal rows the smallest id stands for all
+                by = np.argsort(ids, kind="stable")
+                by = by[~pd.Series([row.tobytes() for row in np.concatenate(x, axis=1)[by]]).duplicated().to_numpy()]
+                ids, x = ids[by], [a[by] for a in x]
+                _keep_best(*asked[key], ids, x, [np.ascontiguousarray(a.T, np.float32) for a in x], threshold, *held[key])
+        for key, (sim, ids) in held.items():
+            hit = np.isfinite(sim)
+            yield pd.DataFrame({"query_id": shared.value[key][0][hit], "id": ids[hit], "sim": sim[hit]})
+
+    return rows.select(F.col("id").cast("string").alias("id"), *columns).dropna().mapInPandas(run, "query_id string, id string, sim double")
+
+
+def _keep_best(q: list[np.ndarray], q4: list[np.ndarray], ids: np.ndarray, x: list[np.ndarray], x4: list[np.ndarray], threshold: float, sim: np.ndarray, best: np.ndarray) -> None:
+    """Put the best of the rows ``x``, in order of ``ids``, into ``sim`` and ``best`` of each query where it beats what is there.
+
+    A product in single precision leaves the rows that may be the best or tie with it; their cosines are summed row by row.
+    """
+    slack = (max(a.shape[1] for a in x) + 8) * 1.2e-7  # of sums of unit vectors in single precision, twice and then some
+    step = max(1, NEAR_CELLS // len(ids))
+    for i in range(0, len(sim), step):
+        s = q4[0][i : i + step] @ x4[0]
+        for a, b in zip(q4[1:], x4[1:]):
+            np.minimum(s, a[i : i + step] @ b, out=s)
+        least = np.maximum(np.maximum(threshold, sim[i : i + step] - SCREEN), s.max(1) - slack - SCREEN) - slack
+        r, c = np.nonzero(s >= least.astype(np.float32)[:, None])
+        if not len(r):
+            continue
+        exact = np.concatenate([np.minimum.reduce([(a[i + m] * b[n]).sum(1) for a, b in zip(q, x)]) for m, n in zip(*[np.array_split(v, -(-len(r) // EXACT_PAIRS)) for v in (r, c)])])
+        near = exact > threshold
+        r, c, exact = r[near], c[near], exact[near]
+        by = np.lexsort((c, -exact.round(9), r))
+        by = by[np.diff(r[by], prepend=-1) > 0]
+        r, c, exact = i + r[by], c[by], exact[by]
+        new, old = exact.round(9), sim[r].round(9)
+        better = (new > old) | ((new == old) & (ids[c] < best[r]))
+        sim[r[better]], best[r[better]] = exact[better], ids[c[better]]
+
+
 def vector_classes(vectors: DataFrame, least: float) -> tuple[DataFrame, DataFrame]:
     """(class, id) and (a, b, sim) of :func:`all_near` classes a <= b: rows of equal vectors are one class, named by its smallest id."""
     own = vectors.select(F.col("id").cast("string").alias("id"), "vec").where("vec is not null")

@@ -99,3 +99,53 @@ def test_within_batch_is_the_sequential_pass_without_pairs(spark, monkeypatch):
     rows = spark.createDataFrame([(int(k), v, v, v) for k, v in zip(n, x)], "n long, context array<float>, action array<float>, result array<float>")
     assert {r.n: r.into for r in ingest.within_batch(rows, 0.95).collect()} == into and sum(v is not None for v in into.values()) > 20
     assert ingest.within_batch(rows.limit(0), 0.95).count() == 0
+
+
+def test_store_finds_the_stored_row_behind_many_nearer_in_one_field(spark):
+    """Over 16 stored rows are nearer to the row in each single field than the only ones that are near in all three."""
+    import math
+
+    import pandas as pd
+
+    known = {"same": [1.0, 0.0], "near": [math.cos(0.2), math.sin(0.2)], "next": [math.cos(0.25), math.sin(0.25)], "far": [0.0, 1.0]}
+
+    @F.pandas_udf("array<float>")
+    def provider(text: pd.Series) -> pd.Series:
+        return text.map(known.get)
+
+    texts = [("same", "far", "far")] * 40 + [("far", "same", "far")] * 40 + [("far", "far", "same")] * 40 + [("next",) * 3] * 40 + [("near",) * 3] * 40
+    have = [(f, f"s{i:03d}", known[t]) for i, row in enumerate(texts) for f, t in zip(ingest.FIELDS, row)]
+    m = memories(spark, *[dict(id=f"s{i:03d}") for i in range(len(texts))])
+    v = spark.createDataFrame(have, "field string, id string, vec array<float>").repartition(7)
+    batch = spark.createDataFrame([(0, "a", "bugfix", "same", "same", "same", None), (1, "b", "bugfix", "far", "far", "far", None), (2, "c", "bugfix", "far", "far", "far", None)], BATCH)
+    m, _, out = ingest.store_batch(m, v, batch, lambda c: provider(c), "t1")
+    assert {r.id: r.merged_into for r in out.collect()} == {"a": "s160", "b": None, "c": "b"}
+    assert m.where("id = 's160'").first().used_count == 1 and m.count() == len(texts) + 1
+
+
+def test_best_in_all_equals_every_pair_compared(spark, monkeypatch):
+    """Copies over several tasks, rows as near as single precision tells, other widths, zero, null and not finite vectors; small steps and blocks."""
+    import numpy as np
+
+    monkeypatch.setattr(ingest.ranking, "NEAR_CELLS", 300)
+    monkeypatch.setattr(ingest.ranking, "EXACT_PAIRS", 7)
+    monkeypatch.setattr(ingest.ranking, "QUERY_BYTES", 1 << 14)
+    rng = np.random.default_rng(5)
+    centre = rng.standard_normal((3, 16))
+    draw = lambda k, by: [[v.astype("f4").tolist() for v in centre + by * rng.standard_normal((3, 16))] for _ in range(k)]
+    rows = draw(60, 0.3) + draw(60, 0.1) + draw(30, 1e-7)
+    rows += [rows[i] for i in range(60, 140, 2)] + [[[0.0] * 16] * 3, [[float("nan")] * 16] * 3, [[1.0, 2.0]] * 3]
+    asked = draw(40, 0.2) + draw(20, 1e-7) + rows[70:90] + [[[0.0] * 16] * 3, [[float("nan")] * 16] * 3, [[1.0, 2.0]] * 3]
+    order = rng.permutation(len(rows))
+    kind = "array<float>, ".join(["id string, context ", "action ", "result "]) + "array<float>"
+    v = spark.createDataFrame([(f"m{order[i]:03d}", *x) for i, x in enumerate(rows)] + [("null", None, *rows[0][1:])], kind).repartition(5)
+    q = spark.createDataFrame([(f"q{i:03d}", *x) for i, x in enumerate(asked)] + [("qnull", None, *rows[0][1:])], kind.replace("id", "query_id", 1))
+    unit = lambda x: [np.array(f, float) / max(np.linalg.norm(f), 1e-300) for f in x]
+    own, truth = [(f"m{order[i]:03d}", unit(x)) for i, x in enumerate(rows)], {}
+    for i, x in enumerate(map(unit, asked)):
+        near = [(-round(s, 9), k) for k, y in own if len(y[0]) == len(x[0]) and (s := min(float((a * b).sum()) for a, b in zip(x, y))) > 0.95]
+        if near:
+            truth[f"q{i:03d}"] = min(near)
+    got = {r.query_id: (-round(r.sim, 9), r.id) for r in ingest.ranking.best_in_all(v, q, ingest.FIELDS, 0.95).collect()}
+    assert got == truth and 40 < len(truth) < len(asked)
+    assert ingest.ranking.best_in_all(v, q.limit(0), ingest.FIELDS, 0.95).count() == 0 and ingest.ranking.best_in_all(v.limit(0), q, ingest.FIELDS, 0.95).count() == 0
